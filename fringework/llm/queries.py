@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm import ans, bpe, chat, common, langid, packing, quality, secretscan, topk
+from fringework.llm import ans, bpe, chat, common, hmm, langid, packing, quality, secretscan, simhash, topk
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.crc_mod("doc_id", 7) == 2
+    out = hmm.score(common.table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.groups(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal(F.col("code")).alias("fingerprint"), "component_id")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -62,7 +73,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_chat_formatting, op4_best_fit_packing, op5_secret_scans, op6_language_id, op7_bpe, op8_token_output, op9_quality_rules, op10_exact_top_k]
+    own = [op1_lm_scoring, op2_simhash, op3_chat_formatting, op4_best_fit_packing, op5_secret_scans, op6_language_id, op7_bpe, op8_token_output, op9_quality_rules, op10_exact_top_k]
     return {f.__name__: f for f in own}
 
 
