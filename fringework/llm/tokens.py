@@ -1,79 +1,180 @@
-"""Ids of whole texts by the tokenizers library, at the speed of a dictionary lookup for words seen before.
+"""Ids of whole texts by the tokenizers library, which sees each distinct pre-token once per worker.
 
-Pre-tokens are independent of each other, so the library needs to see each of them once per worker. Texts with
-characters beyond U+02AF, or that might hold an added token, go to the library whole.
+Pre-tokens don't depend on each other. Those of a slice of texts are found with array operations over its code points,
+told apart by two 64-bit hashes, and looked up in a table of pre-tokens that the library has encoded; what is new there goes
+to the library in one call. Texts with characters beyond U+02AF, or that might hold an added token, go to it whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 
 import numpy as np
 
-from fringework.llm.bpe import BEYOND_LATIN, LATIN, LATIN_N, SPACE, WORDS_LATIN, WordCache
+from fringework.llm.bpe import BEYOND_LATIN, LATIN, LATIN_N, SPACE, WordCache
 
-PIECES_LATIN = re.compile(rf" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[{LATIN_N}]+| ?[^{SPACE}{LATIN}{LATIN_N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+MOST_CHARS = 3_000_000  # of a slice
+BLANK, WHITE, LETTER, NUMBER, OTHER = range(5)
+
+
+def _class_table() -> np.ndarray:
+    import re
+
+    out = np.full(0x2B0, OTHER, np.uint8)
+    for pattern, kind in ((f"[{LATIN}]", LETTER), (f"[{LATIN_N}]", NUMBER), (f"[{SPACE}]", WHITE), (" ", BLANK)):
+        out[[c for c in range(0x2B0) if re.match(pattern, chr(c))]] = kind
+    return out
+
+
+_class = _class_table()
+_odd = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+
+
+@functools.cache
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = int(_odd[k])
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """A polynomial hash, modulo 2**64, of each piece."""
+    size = 1 << max(16, (len(codes) + 1).bit_length())
+    up, down = _powers(k, size)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts]
 
 
 class Ids:
     """``encode`` gives the ids of each text, little-endian, in ``dtype``."""
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        import json
-
         spec = json.loads(self.lib.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
-        kinds = [x.get("type") for x in norm.get("normalizers", [])]
-        self.dtype, self.cache = dtype, WordCache()
-        self.lower = kinds == ["NFC", "Replace", "Lowercase"]
-        self.pattern = WORDS_LATIN if self.lower else PIECES_LATIN if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not norm else None
-        self.added = any(not t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.dtype, self.cache = dtype, WordCache(most)
+        #: lower-cased words without white space, or byte-level pieces with a blank before them
+        self.words = [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        known = self.words or (pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm)
+        self.fast = known and all(t["content"].startswith("<|") for t in spec["added_tokens"])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cache, pattern, lower = self.cache, self.pattern, self.lower
-        out, split, missing = [], [], {}
-        for t in texts:
+        out: list[bytes] = [b""] * len(texts)
+        held, places, size = [], [], 0
+        for i, t in enumerate(texts):
             if not t:
-                out.append(b"")
-            elif pattern is None or self.added or "<|" in t or BEYOND_LATIN.search(low := t.lower() if lower else t) or (lower and BEYOND_LATIN.search(t)):
-                out.append(self.whole(t))
+                continue
+            low = t.lower() if self.words else t
+            if not self.fast or "<|" in t or len(t) > 4 * MOST_CHARS or BEYOND_LATIN.search(low) or (self.words and BEYOND_LATIN.search(t)):
+                out[i] = self.whole(t)
+                continue
+            held.append(low)
+            places.append(i)
+            size += len(low)
+            if size >= MOST_CHARS:
+                for p, x in zip(places, self._slice(held), strict=True):
+                    out[p] = x
+                held, places, size = [], [], 0
+        if held:
+            for p, x in zip(places, self._slice(held), strict=True):
+                out[p] = x
+        return out
+
+    def pieces(self, codes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each pre-token. cuts: where texts begin."""
+        n = len(codes)
+        kind = _class[codes]
+        white = kind <= WHITE
+        group = np.where(white, np.uint8(WHITE), kind)
+        first = np.zeros(n + 1, bool)
+        first[cuts] = first[n] = True
+        start = first.copy()
+        start[1:n] |= group[1:] != group[:-1]
+        inside = ~first[1:]  # the next character belongs to the same text
+        if self.words:
+            start[:n] |= kind == NUMBER
+        else:
+            last = np.zeros(n, bool)  # the last white character before something else
+            last[:-1] = white[:-1] & ~white[1:] & inside[:-1]
+            start[:n] |= last
+            start[1:] &= ~(last & (kind == BLANK))
+        # 's 't 'm 'd 're 've 'll are pieces if the apostrophe begins one.
+        at = np.flatnonzero((codes[:-1] == 39) & start[: n - 1] & (kind[1:] == LETTER) & inside[:-1])
+        if len(at):
+            c1 = codes[at + 1]
+            c2 = np.where(at + 2 < n, codes[np.minimum(at + 2, n - 1)], 0)
+            c2[(at + 2 < n) & first[np.minimum(at + 2, n)]] = 0
+            one = np.isin(c1, [115, 116, 109, 100])
+            two = ((c1 == 114) & (c2 == 101)) | ((c1 == 118) & (c2 == 101)) | ((c1 == 108) & (c2 == 108))
+            start[at[one | two] + 1] = False
+            start[at[one] + 2] = start[at[two] + 3] = True
+        edges = np.flatnonzero(start)
+        s, e = edges[:-1], edges[1:]
+        if self.words:
+            keep = ~white[s]
+            s, e = s[keep], e[keep]
+        return s, e
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        cuts = np.cumsum([0, *map(len, texts)])
+        s, e = self.pieces(codes, cuts[:-1])
+        h = _hashes(codes, s, e, 0)
+        order = np.argsort(h)
+        sorted_ = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        sample = order[new]
+        if (_hashes(codes, s, e, 1) != _hashes(codes, s[sample], e[sample], 1)[number]).any():
+            return [self.whole(t) for t in texts]  # two pieces with one hash
+        known = self._known([joined[a:b] for a, b in zip(s[sample].tolist(), e[sample].tolist(), strict=True)])
+        size = np.dtype(self.dtype).itemsize
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // size
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        many = lengths[number]
+        ends = np.cumsum(many)
+        source = np.repeat((np.cumsum(lengths) - lengths)[number] - (ends - many), many)
+        source += np.arange(len(source))
+        raw = flat[source].tobytes()
+        bounds = np.concatenate([[0], ends])[np.searchsorted(s, cuts)] * size
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        cache = self.cache
+        out = list(map(cache.get, pieces))
+        holes = [i for i, x in enumerate(out) if x is None]
+        rest = []
+        for i in holes:
+            x = cache.old.get(pieces[i])
+            if x is None:
+                rest.append(i)
             else:
-                words = pattern.findall(low)
-                ids = list(map(cache.get, words))
-                if None in ids:
-                    holes = [i for i, x in enumerate(ids) if x is None]
-                    split.append((len(out), words, ids, holes))
-                    missing.update((words[i], None) for i in holes)
-                    out.append(None)
-                else:
-                    out.append(b"".join(ids))
-        if missing:
-            new = {w: cache.old[w] for w in missing if w in cache.old}
-            if rest := [w for w in missing if w not in new]:
-                e = self.lib.encode(rest, is_pretokenized=True, add_special_tokens=False)
-                ids, of = np.array(e.ids, self.dtype), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-                ends = np.searchsorted(of, np.arange(len(rest)), side="right").tolist()
-                raw, size, start = ids.tobytes(), ids.itemsize, 0
-                for w, end in zip(rest, ends, strict=True):
-                    new[w] = raw[start * size : end * size]
-                    start = end
-            for at, words, ids, holes in split:
-                for i in holes:
-                    ids[i] = new[words[i]]
-                out[at] = b"".join(ids)
-            for w, x in new.items():
-                cache.put(w, x)
+                out[i] = x
+        if rest:
+            e = self.lib.encode([pieces[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(e.ids, self.dtype), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+            ends = np.searchsorted(of, np.arange(len(rest)), side="right").tolist()
+            raw, size, start = ids.tobytes(), ids.itemsize, 0
+            for i, end in zip(rest, ends, strict=True):
+                out[i] = raw[start * size : end * size]
+                start = end
+        for i in holes:
+            cache.put(pieces[i], out[i])
         return out
 
 
