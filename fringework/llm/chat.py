@@ -41,6 +41,7 @@ class Template:
 
 DEFAULT = Template()
 ESCAPE = "\\"
+REFUSED = ""  # the state after a turn out of order
 
 
 def escape(c: Column, t: Template = DEFAULT) -> Column:
@@ -98,16 +99,16 @@ def format_chats(chats: DataFrame, template: Template = DEFAULT, id_col: str = "
         return F.array(seg(opening, F.lit(False)), seg(text, loss), seg(closing, F.lit(False)))
 
     def step(acc: Column, x: Column) -> Column:
-        state, nxt = acc["state"], F.lit(None).cast("string")
+        state, nxt = acc["state"], F.lit(REFUSED)
         for now, moves in t.order.items():
             for role, then in moves.items():
                 nxt = F.when((state == now) & (x["role"] == role), F.lit(then)).otherwise(nxt)
-        bad = F.when(acc["bad"].isNull() & nxt.isNull(), acc["n"]).otherwise(acc["bad"])
+        bad = F.when(acc["bad"].isNull() & (nxt == REFUSED), acc["n"]).otherwise(acc["bad"])
         return F.struct(nxt.alias("state"), bad.alias("bad"), (acc["n"] + 1).alias("n"))
 
     start = F.struct(F.lit("start").alias("state"), F.lit(None).cast("int").alias("bad"), F.lit(0).alias("n"))
     out = grouped.select("id", F.flatten(F.transform("turns", parts)).alias("segments"), F.aggregate("turns", start, step).alias("fsm"))
-    bad = F.coalesce(F.col("fsm.bad"), F.when(~F.coalesce(F.col("fsm.state").isin(*t.final), F.lit(False)), F.col("fsm.n")))
+    bad = F.coalesce(F.col("fsm.bad"), F.when(~F.col("fsm.state").isin(*t.final), F.col("fsm.n")))
     return out.select(
         F.col("id").alias(id_col),
         "segments",

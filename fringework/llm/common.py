@@ -2,78 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are handled in slices of about this many characters, whatever the size of an Arrow batch.
-SLICE_CHARS = 8_000_000
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers that have no copy of it (``--py-files`` does the same)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[2]
-    if not (top / "fringework").is_dir():  # already running from a shipped archive
-        return
-    out = os.path.join(tempfile.mkdtemp(prefix="fringework-"), "fringework.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted((top / "fringework").rglob("*.py")):
-            z.write(p, p.relative_to(top))
-    spark.sparkContext.addPyFile(out)
-    _shipped.add(app)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from fringework.shared import drop_table, materialise, shared_dir, ship, table
 
+__all__ = ["crc_mod", "drop_table", "materialise", "shared_dir", "ship", "slices", "table", "words_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own one only where it is unset (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jsc.isDefined():
-        return jsc.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="fringework-checkpoint-")
-    spark.sparkContext.setCheckpointDir(own)
-    import atexit
-
-    atexit.register(shutil.rmtree, own, True)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, order: list | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fringework-{name}-{uuid.uuid4().hex}"
-    if order:
-        df = df.sortWithinPartitions(*order)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that ``materialise`` returned, once nothing reads them."""
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "fringework-" in p.getName():
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Texts are handled in slices of about this many characters, whatever the size of an Arrow batch.
+SLICE_CHARS = 8_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -191,6 +191,8 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
                 work.append(x)
                 found.update((kind, *x.span(a, b)) for kind, a, b in find(x.text))
     rank = {k: i for i, k in enumerate(KINDS)}
+    own = set(base)  # of the others, one that lies in a longer find of its kind says nothing new
+    found = {s for s in found if s in own or not any(s != t and s[0] == t[0] and t[1] <= s[1] and s[2] <= t[2] for t in found)}
     return base, sorted(found, key=lambda s: (s[1], rank[s[0]], s[2])), skipped
 
 
