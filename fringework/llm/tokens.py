@@ -1,8 +1,8 @@
 """Ids of whole texts by the tokenizers library, which sees each distinct pre-token once per worker.
 
 Pre-tokens don't depend on each other. Those of a slice of texts are found with array operations over its code points,
-told apart by two 64-bit hashes, and looked up in a table of pre-tokens that the library has encoded; what is new there goes
-to the library in one call. Texts with characters beyond U+02AF, or that might hold an added token, go to it whole.
+told apart by two 64-bit hashes, and looked up in a sorted table of pre-tokens that the library has encoded; what is new
+there goes to the library in one call. Texts with characters beyond U+02AF, or that might hold an added token, go to it whole.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from fringework.llm.bpe import BEYOND_LATIN, LATIN, LATIN_N, SPACE, WordCache
+from fringework.llm.bpe import BEYOND_LATIN, LATIN, LATIN_N, SPACE
 
 MOST_CHARS = 3_000_000  # of a slice
 BLANK, WHITE, LETTER, NUMBER, OTHER = range(5)
@@ -52,7 +52,7 @@ def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) ->
 class Ids:
     """``encode`` gives the ids of each text, little-endian, in ``dtype``."""
 
-    def __init__(self, path: str, dtype: str = "<u4", most: int = 400_000):
+    def __init__(self, path: str, dtype: str = "<u4", most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,12 +61,19 @@ class Ids:
         self.lib.no_padding()
         spec = json.loads(self.lib.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
-        self.dtype, self.cache = dtype, WordCache(most)
+        self.dtype, self.most = dtype, most
+        self._forget()
         #: lower-cased words without white space, or byte-level pieces with a blank before them
         self.words = [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         known = self.words or (pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm)
         self.fast = known and all(t["content"].startswith("<|") for t in spec["added_tokens"])
 
+    def _forget(self) -> None:
+        """Empty the table: two hashes of each piece, ascending by the first, and where its ids lie in ``flat``."""
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -140,42 +147,47 @@ class Ids:
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
         sample = order[new]
-        if (_hashes(codes, s, e, 1) != _hashes(codes, s[sample], e[sample], 1)[number]).any():
+        second = _hashes(codes, s, e, 1)
+        h1, h2 = sorted_[new], second[sample]
+        if (second != h2[number]).any():
             return [self.whole(t) for t in texts]  # two pieces with one hash
-        known = self._known([joined[a:b] for a, b in zip(s[sample].tolist(), e[sample].tolist(), strict=True)])
-        size = np.dtype(self.dtype).itemsize
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // size
-        flat = np.frombuffer(b"".join(known), self.dtype)
+        if len(self.h1) > self.most:
+            self._forget()
+        place = np.searchsorted(self.h1, h1)
+        known = np.zeros(len(h1), bool)
+        if len(self.h1):
+            near = np.minimum(place, len(self.h1) - 1)
+            known = self.h1[near] == h1
+            if (self.h2[near[known]] != h2[known]).any():
+                return [self.whole(t) for t in texts]
+        starts, lengths = np.empty(len(h1), np.int64), np.empty(len(h1), np.int64)
+        starts[known], lengths[known] = self.at[place[known]], self.many[place[known]]
+        gone = ~known
+        if gone.any():
+            at = sample[gone]
+            many = self._learn([joined[x:y] for x, y in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+            lengths[gone] = many
+            starts[gone] = self.used - many.sum() + np.cumsum(many) - many
+            for name, own in (("h1", h1), ("h2", h2), ("at", starts), ("many", lengths)):
+                setattr(self, name, np.insert(getattr(self, name), place[gone], own[gone]))
         many = lengths[number]
         ends = np.cumsum(many)
-        source = np.repeat((np.cumsum(lengths) - lengths)[number] - (ends - many), many)
+        source = np.repeat(starts[number] - (ends - many), many)
         source += np.arange(len(source))
-        raw = flat[source].tobytes()
-        bounds = np.concatenate([[0], ends])[np.searchsorted(s, cuts)] * size
-        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        cache = self.cache
-        out = list(map(cache.get, pieces))
-        holes = [i for i, x in enumerate(out) if x is None]
-        rest = []
-        for i in holes:
-            x = cache.old.get(pieces[i])
-            if x is None:
-                rest.append(i)
-            else:
-                out[i] = x
-        if rest:
-            e = self.lib.encode([pieces[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(e.ids, self.dtype), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            ends = np.searchsorted(of, np.arange(len(rest)), side="right").tolist()
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            for i, end in zip(rest, ends, strict=True):
-                out[i] = raw[start * size : end * size]
-                start = end
-        for i in holes:
-            cache.put(pieces[i], out[i])
-        return out
+        raw = self.flat[source].tobytes()
+        bounds = np.concatenate([[0], ends])[np.searchsorted(s, cuts)] * self.flat.itemsize
+        return [raw[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Append the ids of new pieces to ``flat``; how many each has."""
+        e = self.lib.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, self.dtype)
+        many = np.bincount(np.array([w for w in e.word_ids if w is not None], np.int64), minlength=len(pieces))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), self.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return many
 
 
 @functools.cache
