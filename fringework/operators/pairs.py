@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringework import shared
 from fringework.functions.columns import wrap
 
 KEY = ["ref", "rep"]
@@ -81,12 +82,14 @@ def limit_degree(pairs: DataFrame, limit: int = 2, iterations: int = 1) -> DataF
 
     A fixed number of passes, not a fixed point: a date of smaller degree may be left.
     """
+    now = shared.materialise(pairs, "network")
     for degree in range(1, limit + 1):
         for _ in range(iterations):
-            ends = pairs.select(F.col("ref").alias("date")).unionAll(pairs.select(F.col("rep").alias("date")))
+            ends = now.select(F.explode(F.array("ref", "rep")).alias("date"))
             good = ends.groupBy("date").agg(F.count("*").alias("n")).filter(F.col("n") >= degree).select("date")
-            pairs = pairs.join(good, pairs["ref"] == good["date"], "left_semi").join(good, pairs["rep"] == good["date"], "left_semi")
-    return pairs
+            kept = now.join(good.withColumnRenamed("date", "ref"), "ref", "left_semi").join(good.withColumnRenamed("date", "rep"), "rep", "left_semi")
+            now = shared.materialise(kept.select(*pairs.columns), "network")  # a plan that grows with each pass would not end
+    return now
 
 
 def extend(pairs: DataFrame) -> DataFrame:

@@ -74,9 +74,14 @@ def explode(table: DataFrame, *keys: str) -> DataFrame:
     return table.select(*keys, F.explode("params").alias("name", "value"))
 
 
+def _short(v: Column) -> Column:
+    """A number with six significant digits, as ``%g`` writes it but without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", v), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows (name, value) that only one of both has, numbers compared by value."""
-    plain = lambda d: d.select("name", F.coalesce(F.format_string("%.6g", F.col("value").try_cast("double")), F.col("value")).alias("value"))
+    plain = lambda d: d.select("name", F.coalesce(_short(F.col("value").try_cast("double")), F.col("value")).alias("value"))
     a, b = plain(a), plain(b)
     return a.unionAll(b).groupBy("name", "value").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
 

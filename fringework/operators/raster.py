@@ -309,27 +309,23 @@ def nearest_point(data: DataFrame, y: float, x: float, values: list[str], keys:
     return data.groupBy(*(keys or [])).agg(F.min_by(F.struct("y", "x", *values), d).alias("s")).select(*(keys or []), "s.*")
 
 
-def _taps(f: Column, method: str) -> list[tuple[int, Column]]:
-    """Offsets from the cell below, and weights, of an interpolation at fraction ``f``."""
+def _weights(f: Column, method: str) -> tuple[int, Column]:
+    """The first offset from the cell below, and the weights from there on, of an interpolation at fraction ``f``."""
     if method == "linear":
-        return [(0, 1 - f), (1, f)]
+        return 0, F.array(1 - f, f)
     if method == "cubic":
         a = -0.75
-
-        def w(t: Column) -> Column:
-            near = ((a + 2) * t - (a + 3)) * t * t + 1
-            far = ((a * t - 5 * a) * t + 8 * a) * t - 4 * a
-            return F.when(t <= 1, near).otherwise(far)
-
-        return [(-1, w(1 + f)), (0, w(f)), (1, w(1 - f)), (2, w(2 - f))]
+        near = lambda t: ((a + 2) * t - (a + 3)) * t * t + 1
+        far = lambda t: ((a * t - 5 * a) * t + 8 * a) * t - 4 * a
+        return -1, F.array(far(1 + f), near(f), near(1 - f), far(2 - f))
     if method == "lanczos":
 
         def sinc(t: Column) -> Column:
             return F.when(F.abs(t) < 1e-9, F.lit(1.0)).otherwise(F.sin(math.pi * t) * F.sin(math.pi * t / 4) * 4 / (math.pi * math.pi * t * t))
 
-        raw = [(k, sinc(f - k)) for k in range(-3, 5)]
-        total = sum((w for _, w in raw[1:]), raw[0][1])
-        return [(k, w / total) for k, w in raw]
+        raw = F.transform(F.array(*(F.lit(float(k)) for k in range(-3, 5))), lambda k: sinc(f - k))
+        total = F.aggregate(raw, F.lit(0.0), lambda x, y: x + y)
+        return -3, F.transform(raw, lambda w: w / total)
     raise ValueError(f"no interpolation named {method}")
 
 
@@ -348,8 +344,8 @@ def regrid(data: DataFrame, value: str, source: Grid, target: DataFrame, method:
         return F.when(i < 0, -i - 1).when(i >= n, F.lit(2 * n - 1) - i).otherwise(i).cast("int")
 
     def taps(f: Column, n: int) -> Column:
-        low = F.floor(f)
-        return F.explode(F.array(*(F.struct(reflected(low + k, n).alias("i"), w.alias("w")) for k, w in _taps(f - low, method))))
+        first, weights = _weights(f - F.floor(f), method)
+        return F.explode(F.transform(weights, lambda w, k: F.struct(reflected(F.floor(f).cast("int") + first + k, n).alias("i"), w.alias("w"))))
 
     many = {"linear": 4, "cubic": 16, "lanczos": 64}[method]
     spots = spots.withColumn("a", taps(fy, source.ny)).withColumn("b", taps(fx, source.nx))
