@@ -104,11 +104,14 @@ def polynomial(rows: DataFrame, by: list[str], t: Column, v: Column, degree: int
     if degree == 1:
         return rows.groupBy(*by).agg(F.array(F.regr_intercept(v, t), F.regr_slope(v, t)).alias("coef"))
     shared.ship(rows.sparkSession)
-    good = rows.select(*by, (t / YEAR).alias("_t"), v.cast("double").alias("_v")).filter("_t IS NOT NULL AND _v IS NOT NULL")
+    centre = rows.agg(F.avg(t)).first()[0] or 0.0  # powers of numbers around 0 keep the sums well conditioned
+    good = rows.select(*by, ((t - centre) / YEAR).alias("_t"), v.cast("double").alias("_v")).filter("_t IS NOT NULL AND _v IS NOT NULL")
     one = [F.pow(F.col("_t"), F.lit(k)) for k in range(degree + 1)] + [F.col("_v")]
     sums = [F.sum(one[i] * one[j]) for i in range(degree + 2) for j in range(i, degree + 2)]
-    fit = good.groupBy(*by).agg(F.array(*sums).alias("g"))
-    return fit.select(*by, F.transform(_solver(degree + 1)("g"), lambda c, i: c / F.pow(F.lit(YEAR), i)).alias("coef"))
+    fit = good.groupBy(*by).agg(F.array(*sums).alias("g")).select(*by, _solver(degree + 1)("g").alias("c"))
+    # c_k ((t - centre) / year)^k as powers of t
+    terms = [sum((F.col("c")[k] * (math.comb(k, j) * (-centre) ** (k - j) / YEAR**k) for k in range(j + 1, degree + 1)), F.col("c")[j] / YEAR**j) for j in range(degree + 1)]
+    return fit.select(*by, F.array(*terms).alias("coef"))
 
 
 def pair_polynomial(data: DataFrame, value: str, degree: int = 0, weight: str | None = None, max_days: int | None = None, count: int | None = None) -> DataFrame:

@@ -85,7 +85,8 @@ def unwrap_tile(phase: np.ndarray, weight: np.ndarray, config: Config) -> np.nda
         q = apply(wy * np.diff(d, axis=0), wx * np.diff(d, axis=1))
         step = rz / (d * q).sum()
         x, r = x + step * d, r - step * q
-    k = np.round((x - p - np.median((x - p)[~gone])) / (2 * np.pi))
+    shift = np.angle(np.exp(1j * (x - p)[~gone]).mean())  # the solution is free by a constant
+    k = np.round((x - p - shift) / (2 * np.pi))
     return np.where(gone, np.nan, p + 2 * np.pi * k)
 
 

@@ -84,9 +84,9 @@ def _pruning(steps: list[int]) -> str:
     return ", " + ", ".join(parts) + f" SELECT ref, rep, pair FROM {last}"
 
 
-@query(_pruning([1, 1, 2, 2, 3, 3, 4, 4]))
+@query(_pruning([1, 2, 3, 4, 5, 6, 7, 8]))
 def pairs_limit_degree(spark, sf):
-    return P.limit_degree(S.pairs(spark, sf), 4, 2).select("ref", "rep", "pair")
+    return P.limit_degree(S.pairs(spark, sf), 8, 1).select("ref", "rep", "pair")
 
 
 EXTENDED = f"""m AS (SELECT a.ref, b.rep, a.rep AS rel, a.ref_baseline, b.rep_baseline FROM pairs a JOIN pairs b ON a.rep = b.ref ANTI JOIN pairs p ON p.ref = a.ref AND p.rep = b.rep),
