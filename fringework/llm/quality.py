@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (+1) or bad (-1) on a document, or abstains (0). Expectation-maximisation over the counts of vote
-patterns (at most ``3 ** len(RULES)`` numbers, however many documents) estimates how often each rule votes each way on
+patterns (at most ``3 ** len(RULES)`` numbers, however many documents) of those that pass the base rules estimates how often each rule votes each way on
 good and on bad documents. The posterior probability of good then decides, in place of a filter that all rules must pass.
 """
 
@@ -20,6 +20,7 @@ from fringework.llm import common
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
+SLICE = 2_000_000  # bytes of text measured at a time
 
 _classes = {
     "symbol": SYMBOLS,
@@ -50,10 +51,11 @@ RULES = {
     "bars": (lambda m: _share(m["bar"], m["n_words"]) > 0.2, lambda m: _share(m["bar"], m["n_words"]) < 0.05),
     "bangs": (lambda m: _share(m["bang"], m["n_words"]) > 0.3, lambda m: _share(m["bang"], m["n_words"]) < 0.1),
     "capitals": (lambda m: _share(m["upper"], m["upper"] + m["lower"]) > 0.5, lambda m: _share(m["upper"], m["upper"] + m["lower"]) < 0.2),
+    "letters": (lambda m: _share(m["letters"], m["word_chars"]) < 0.75, lambda m: _share(m["letters"], m["word_chars"]) > 0.85),
     "digits": (lambda m: _share(m["digit"], m["word_chars"]) > 0.3, lambda m: _share(m["digit"], m["word_chars"]) < 0.1),
-    "repeated_lines": (lambda m: _share(m["n_dup_lines"], m["n_lines"]) > 0.3, lambda m: _share(m["n_dup_lines"], m["n_lines"]) < 0.1),
+    "repeated_lines": (lambda m: (m["n_dup_lines"] >= 3) & (_share(m["n_dup_lines"], m["n_lines"]) > 0.3), lambda m: _share(m["n_dup_lines"], m["n_lines"]) < 0.1),
     "repeated_words": (lambda m: _share(m["n_repeat_words"], m["n_words"]) > 0.3, lambda m: _share(m["n_repeat_words"], m["n_words"]) < 0.1),
-    "variety": (lambda m: (m["n_words"] >= 50) & (m["n_distinct"] < 0.08 * np.minimum(m["n_words"], 2000)), lambda m: m["n_distinct"] >= 0.2 * np.minimum(m["n_words"], 1000)),
+    "variety": (lambda m: (m["n_words"] >= 30) & (m["n_distinct"] < 0.25 * np.minimum(m["n_words"], 200)), lambda m: m["n_distinct"] >= 0.4 * np.minimum(m["n_words"], 200)),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -104,6 +106,7 @@ def metrics(col: pa.Array) -> dict[str, np.ndarray]:
     m = {k: per_doc(t[data]) for k, t in _tables.items()}
     m["n_symbols"] = m.pop("symbol")
     m["word_chars"] = per_doc((data & 0xC0) != 0x80) - m.pop("space")
+    m["letters"] = m["upper"] + m["lower"] + per_doc(data >= 0xC0)  # beyond ASCII nearly all are
     words = [x.split() for x in raw]
     m["n_words"] = lengths = np.array([len(w) for w in words], np.int64)
     number = defaultdict(itertools.count().__next__)
@@ -132,11 +135,13 @@ def patterns(m: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(counts: dict[int, int], rounds: int = 100, prior_share: float = 0.02) -> dict[int, float]:
+def fit(counts: dict[int, int], rounds: int = 200, prior_share: float = 0.02, doubt: float = 0.02, praise: float = 0.25) -> dict[int, float]:
     """Posterior probability of good for each pattern counted, by expectation-maximisation.
 
-    ``prior_share``: the weight, relative to all documents, of a prior by which bad votes are rare on good documents. A
-    rule's bad vote never speaks for good, nor a good vote for bad.
+    ``prior_share``: the weight, relative to all documents, of a prior by which bad votes are rare on good documents and
+    common on bad ones. Bad documents are of many kinds, and to a rule for one kind the others look good; so its good vote
+    counts for at most ``praise`` (in log odds), while its bad vote is taken to be wrong on at most ``doubt`` of good
+    documents.
     """
     if not counts:
         return {}
@@ -148,11 +153,12 @@ def fit(counts: dict[int, int], rounds: int = 100, prior_share: float = 0.02) ->
     prior = {1: np.array([0.01, 0.14, 0.85]), 0: np.array([0.35, 0.25, 0.4])}
     for _ in range(rounds):
         p_good = (n @ good + 0.9 * weight) / (n.sum() + weight)
-        log = {}
+        p = {}
         for y, w in ((1, n * good), (0, n * (1 - good))):
-            log[y] = np.stack([(np.bincount(votes[:, j], w, 3) + weight * prior[y]) / (w.sum() + weight) for j in range(len(RULES))])
-        ratio = np.log(log[1]) - np.log(log[0])
-        ratio[:, 0], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.maximum(ratio[:, 2], 0)
+            p[y] = np.stack([(np.bincount(votes[:, j], w, 3) + weight * prior[y]) / (w.sum() + weight) for j in range(len(RULES))])
+        p[1][:, 0] = np.minimum(p[1][:, 0], doubt)
+        ratio = np.log(p[1]) - np.log(p[0])
+        ratio[:, 0], ratio[:, 1], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.clip(ratio[:, 1], -praise, praise), np.clip(ratio[:, 2], 0, praise)
         odds = np.log(p_good) - np.log1p(-p_good) + sum(ratio[j, votes[:, j]] for j in range(len(RULES)))
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         done, good = np.abs(new - good).max() < 1e-9, new
@@ -167,7 +173,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 1):
+        for b in common.slices(batches, 1, SLICE):
             m = metrics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in BASE), pa.array(base_failed(m)), pa.array(patterns(m))], names=[id_col, *BASE, "base_failed", "pattern"])
 
@@ -175,7 +181,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def count_patterns(votes: DataFrame) -> dict[int, int]:
-    return {r.pattern: r.n for r in votes.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    """Documents by pattern: all patterns, with those that the base rules reject anyway counted as none."""
+    return {r.pattern: r.n for r in votes.groupBy("pattern").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n")).collect()}
 
 
 def score(docs: DataFrame, keep: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +209,7 @@ def keep_good(docs: DataFrame, keep: float = 0.5, text_col: str = "text") -> Dat
     quality = fit(count_patterns(measured(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, place):
+        for b in common.slices(batches, place, SLICE):
             m = metrics(b.column(place))
             yield b.filter(pa.array(~base_failed(m) & np.array([quality[p] >= keep for p in patterns(m).tolist()])))
 
