@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Mapping
-from datetime import date as Date
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringework import shared
@@ -232,10 +231,3 @@ def tidal_los(pairs: DataFrame, tidal: DataFrame, look: DataFrame, grid: Grid) -
     one = los.select(F.col("date").alias("ref"), "y", "x", F.col("los").alias("l1")).join(p, "ref")
     two = los.select(F.col("date").alias("rep"), "y", "x", F.col("los").alias("l2"))
     return one.join(two, ["rep", "y", "x"]).select("ref", "rep", "y", "x", (F.col("l2") - F.col("l1")).alias("tidal_los"))
-
-
-def acquired_on(day: Date, seconds: float) -> Column:
-    return F.lit(day).cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))
-
-
-Resampler = Callable[[np.ndarray], np.ndarray]

@@ -17,13 +17,12 @@ from fringework.operators import raster
 from fringework.operators.raster import Grid
 
 
-def read_samples(spark: SparkSession, path: str, width: int, shape: tuple[int, int] | None = None, scale: float = 2.5e-07, lines: int = 512) -> DataFrame:
+def read_samples(spark: SparkSession, path: str, width: int, shape: tuple[int, int] | None = None, scale: float = 2.5e-07) -> DataFrame:
     """Interleaved little-endian int16 re/im samples of ``width`` columns: ``path, y, x, re, im``; coordinates are index + 0.5.
 
     The file is split by Spark into records of a line each (fixed-length binary records), so lines of one file are read by
     many tasks. ``shape`` crops, or fills up with zeros, to (rows, columns). A sample of 0 is missing (NULL).
     """
-    del lines
     shared.ship(spark)
     rows, cols = shape or (None, width)
     raw = spark.sparkContext.newAPIHadoopFile(
