@@ -49,20 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, order: list | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fringework-{name}-{uuid.uuid4().hex}"
-    if order:
-        df = df.sortWithinPartitions(*order)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a DataFrame that ``materialise`` returned, once nothing reads them."""
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "fringework-" in p.getName():
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._table)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
