@@ -24,6 +24,7 @@ from fringework.llm import common
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+SLICE = 4_000_000  # bytes of text labelled at a time
 
 #: First code points of ranges of letters of a script; a range ends where the next one starts.
 SCRIPTS = [
@@ -53,33 +54,32 @@ def grams(word: str) -> list[str]:
 @dataclass
 class Model:
     langs: list[str]
-    rows: dict[str, np.ndarray]  # gram -> log probability for each language
-    floor: np.ndarray  # of a gram not seen
+    rows: dict[str, int]  # gram -> its row in ``log``
+    log: np.ndarray  # log probability of each gram for each language; the last row is that of a gram not seen
     scripts: dict[str, np.ndarray]  # script -> whether each language is a candidate
     cap: float = 6.0
     switch: float = 8.0
     tag: str = field(default_factory=lambda: uuid.uuid4().hex)
     _number: dict[str, int] = field(default_factory=dict)
-    _scores: np.ndarray | None = None
+    _scores: np.ndarray | None = None  # of the words numbered so far
+    _sizes: np.ndarray | None = None  # their lengths
 
     def score(self, word: str) -> np.ndarray:
         """Log score of each language for a lower-cased word, 0 for the best, at least ``-cap``; all 0 if the script is unknown."""
         candidates = self.scripts.get(script(word))
         if candidates is None:
             return np.zeros(len(self.langs), np.float32)
-        total = np.zeros(len(self.langs))
-        for g in grams(word[:64]):
-            total += self.rows.get(g, self.floor)
+        get, unseen = self.rows.get, len(self.log) - 1
+        total = self.log[[get(g, unseen) for g in grams(word[:64])]].sum(0)
         total = np.where(candidates, total, -np.inf)
         return np.maximum(total - total.max(), np.where(candidates, -self.cap, -2 * self.cap)).astype(np.float32)
 
-    def numbers(self, words: list[str]) -> list[int]:
+    def numbers(self, words: list[str]) -> np.ndarray:
         """Row of each word in the table of scores seen by this worker."""
-        get = self._number.get
-        out = list(map(get, words))
+        out = list(map(self._number.get, words))
+        if self._scores is None:
+            self._scores, self._sizes = np.zeros((1 << 16, len(self.langs)), np.float32), np.zeros(1 << 16, np.int32)
         if None in out:
-            if self._scores is None:
-                self._scores = np.zeros((1 << 16, len(self.langs)), np.float32)
             for i, x in enumerate(out):
                 if x is None:
                     w = words[i]
@@ -88,23 +88,21 @@ class Model:
                         k = self._number[w] = len(self._number)
                         if k >= len(self._scores):
                             self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-                        self._scores[k] = self.score(w)
+                            self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
+                        self._scores[k], self._sizes[k] = self.score(w), len(w)
                     out[i] = k
-        return out
+        return np.array(out, np.int32)
 
-    def forget(self, most: int = 400_000) -> None:
+    def label(self, texts: list[np.ndarray], most: int = 300_000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The language index and the length of each word of each text, given as numbers."""
+        if not self.langs:
+            return [np.full(len(w), -1) for w in texts], [np.zeros(len(w), np.int32) for w in texts]
+        labels = viterbi(texts, self._scores, self.switch) if texts else []
+        sizes = [self._sizes[w] for w in texts]
         if len(self._number) > most:
             self._number.clear()
-            self._scores = None
-
-    def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The language index of each word of each text."""
-        if not self.langs:
-            return [np.full(len(w), -1) for w in texts]
-        ids = [np.array(self.numbers(w), np.int64) for w in texts]
-        out = viterbi(ids, self._scores, self.switch) if self._scores is not None else [np.zeros(0, np.int64) for _ in texts]
-        self.forget()
-        return out
+            self._scores = self._sizes = None
+        return labels, sizes
 
 
 def viterbi(seqs: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
@@ -120,8 +118,9 @@ def viterbi(seqs: list[np.ndarray], scores: np.ndarray, switch: float) -> list[n
     lane = np.repeat(np.arange(len(order)), lengths)
     first = np.cumsum(lengths) - lengths
     place = offset[np.arange(total) - first[lane]] + lane
-    obs = np.empty(total, np.int64)
+    obs = np.empty(total, np.int32)
     obs[place] = np.concatenate([seqs[i] for i in order])
+    del lane
     langs = scores.shape[1]
     best_before, stayed = np.empty(total, np.int8 if langs < 128 else np.int16), np.empty((total, langs), bool)
     e = scores[obs]
@@ -138,7 +137,7 @@ def viterbi(seqs: list[np.ndarray], scores: np.ndarray, switch: float) -> list[n
         best_before[o : o + m] = arg
         v = np.maximum(v, moved) + e[o : o + m]
     ends[: len(v)] = v.argmax(1)
-    labels = np.empty(total, np.int64)
+    labels = np.empty(total, np.int32)
     now = ends.copy()
     for t in range(steps - 1, -1, -1):
         m, o = int(active[t]), int(offset[t])
@@ -164,7 +163,7 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
     sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, np.zeros(0), {}, **options)
+        return Model([], {}, np.zeros((1, 0)), {}, **options)
     share = F.element_at(F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, per_lang / n))) for k, n in sizes.items())), F.col("lang"))
     sample = own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -192,28 +191,43 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
     used = wide.filter("kind = 's'").collect()
     letters = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in used] or [[0] * len(langs)], np.float64)
     candidates = {r.value: c for r, c in zip(used, letters / np.maximum(letters.sum(0), 1) >= 0.05, strict=False) if c.any()}
-    top = wide.filter("kind = 'g'").orderBy(F.desc("n"), "value").limit(most_grams).collect()
-    n = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in top] or [[0] * len(langs)], np.float64)
-    bottom = n.sum(0) + 0.5 * (len(n) + 1)
-    log = np.log((n + 0.5) / bottom)
+    top = wide.filter("kind = 'g'").orderBy(F.desc("n"), "value").limit(most_grams).toArrow()
+    n = np.stack([np.asarray(top.column(f"n{i}"), np.float64) for i in range(len(langs))], 1)
+    n = np.vstack([n, np.zeros((1, len(langs)))])
+    log = np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n)))
     common.drop_table(spark, wide)
-    return Model(langs, {r.value: x for r, x in zip(top, log, strict=False)}, np.log(0.5 / bottom), candidates, **options)
+    return Model(langs, {g: i for i, g in enumerate(top.column("value").to_pylist())}, log, candidates, **options)
+
+
+def _known(model: Model, words: list[str]) -> bool:
+    """Whether a text with these words has a language at all: some letter (numerals may look like words)."""
+    return bool(words) and bool(model.langs) and (len(words) > 8 or any(c.isalpha() for w in words for c in w))
+
+
+def _verdict(model: Model, known: bool, labels: np.ndarray, sizes: np.ndarray) -> tuple[str, float]:
+    if not known:
+        return UNKNOWN, 0.0
+    letters = np.bincount(labels, weights=sizes, minlength=len(model.langs))
+    k = int(letters.argmax())
+    return model.langs[k], float(letters[k] / letters.sum())
 
 
 def summary(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
     """Prediction, score and spans (start, end in code points, language) of each text."""
-    words, places = [], []
+    ids, known, places = [], [], []
     for t in texts:
         found = list(WORD.finditer(t)) if t else []
-        words.append([m.group().lower() for m in found])
+        words = [m.group().lower() for m in found]
+        known.append(_known(model, words))
+        ids.append(model.numbers(words))
         places.append([m.span() for m in found])
     preds, scores, spans = [], [], []
-    for t, w, p, lab in zip(texts, words, places, model.label(words), strict=True):
-        pred, score = _verdict(model, t, w, lab)
+    for k, p, lab, sizes in zip(known, places, *model.label(ids), strict=True):
+        pred, score = _verdict(model, k, lab, sizes)
         preds.append(pred)
         scores.append(score)
         own = []
-        if pred != UNKNOWN:
+        if k:
             cuts = np.flatnonzero(np.diff(lab)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
                 own.append((p[a][0], p[b - 1][1], model.langs[lab[a]]))
@@ -221,30 +235,20 @@ def summary(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return preds, scores, spans
 
 
-def _verdict(model: Model, text: str | None, words: list[str], labels: np.ndarray) -> tuple[str, float]:
-    if not words or not model.langs or (len(words) < 9 and not any(c.isalpha() for w in words for c in w)):
-        return UNKNOWN, 0.0
-    letters = np.bincount(labels, weights=np.fromiter(map(len, words), np.int64, len(words)), minlength=len(model.langs))
-    k = int(letters.argmax())
-    return model.langs[k], float(letters[k] / letters.sum())
-
-
 def verdicts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    both = [_verdict(model, t, w, lab) for t, w, lab in zip(texts, words, model.label(words), strict=True)]
+    ids, known = [], []
+    for t in texts:
+        words = WORD.findall(t.lower()) if t else []
+        known.append(_known(model, words))
+        ids.append(model.numbers(words))
+    both = [_verdict(model, k, lab, sizes) for k, lab, sizes in zip(known, *model.label(ids), strict=True)]
     return [x for x, _ in both], [x for _, x in both]
 
 
-_held: dict[str, Model] = {}
-
-
 def _here(shared) -> Model:
     """The broadcast model, one for each worker, so that its table of words lasts from task to task."""
     model = shared.value
-    if model.tag not in _held:
-        _held.clear()
-        _held[model.tag] = model
-    return _held[model.tag]
+    return common.held(("language", model.tag), lambda: model)
 
 
 def predict(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +265,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(shared)
-        for b in common.slices(batches, 1):
+        for b in common.slices(batches, 1, SLICE):
             texts = b.column(1).to_pylist()
             more = []
             if spans:
@@ -284,7 +288,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(shared)
-        for b in common.slices(batches, place):
+        for b in common.slices(batches, place, SLICE):
             p, s = verdicts(own, b.column(place).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(p, s, strict=True)], pa.bool_()))
 
