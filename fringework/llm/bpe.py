@@ -162,10 +162,9 @@ class Bpe:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.cache
 def load(path: str) -> Bpe:
     """One instance, with its cache, for each Python worker."""
-    return Bpe(path)
+    return common.held(("bpe", path), lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

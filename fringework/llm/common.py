@@ -2,37 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from fringework.shared import drop_table, materialise, shared_dir, ship, table
+from fringework import shared
+from fringework.shared import drop_table, materialise, shared_dir, table
 
-__all__ = ["crc_mod", "drop_table", "materialise", "shared_dir", "ship", "slices", "table", "words_of"]
+__all__ = ["crc_mod", "drop_table", "gathered", "held", "materialise", "shared_dir", "ship", "slices", "table", "words_of"]
 
 #: Texts are handled in slices of about this many characters, whatever the size of an Arrow batch.
 SLICE_CHARS = 8_000_000
 
+_held: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept by a Python worker from task to task until another key is asked for: one vocabulary or
+    model at a time, with the tables it has filled."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+#: Rows of an Arrow batch of texts. Texts can be long, and a batch is held several times on its way to Python and back.
+BATCH_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers and keep Arrow batches small."""
+    shared.ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the string column number ``text`` holds about ``most`` bytes in each."""
+    """The rows in batches whose string column number ``text`` holds about ``most`` bytes each, whatever batches they came in."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        col = b.column(text)
-        if col.nbytes <= most or b.num_rows == 1:
-            yield b
-            continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
-        start = total = 0
-        for i, n in enumerate(sizes):
-            if i > start and total + n > most:
-                yield b.slice(start, i - start)
-                start, total = i, 0
+        start = 0
+        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_pylist()):
             total += n
-        yield b.slice(start)
+            if total >= most:
+                held.append(b.slice(start, i + 1 - start))
+                yield pa.concat_batches(held)
+                held, total, start = [], 0, i + 1
+        if start < b.num_rows:
+            held.append(b.slice(start))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at least ``rows`` (but the last)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -149,7 +149,7 @@ def _one(rows: DataFrame, asking: DataFrame, dims: int, k: int) -> DataFrame:
         best = Best(len(ids), k)
         best.least = least.copy()
         if len(ids):
-            for b in batches:
+            for b in common.gathered(batches, BLOCK_ROWS):
                 for at in range(0, b.num_rows, BLOCK_ROWS):
                     part = b.slice(at, BLOCK_ROWS)
                     search_block(queries, ids, _matrix(part.column(1), queries.shape[1]), np.asarray(part.column(0), np.int64), best)
