@@ -135,7 +135,7 @@ def patterns(m: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(counts: dict[int, int], rounds: int = 200, prior_share: float = 0.02, doubt: float = 0.02, praise: float = 0.25) -> dict[int, float]:
+def fit(counts: dict[int, int], rounds: int = 200, prior_share: float = 0.02, doubt: float = 0.05, praise: float = 0.5) -> dict[int, float]:
     """Posterior probability of good for each pattern counted, by expectation-maximisation.
 
     ``prior_share``: the weight, relative to all documents, of a prior by which bad votes are rare on good documents and
