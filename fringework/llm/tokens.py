@@ -13,9 +13,11 @@ import os
 
 import numpy as np
 
+from fringework.llm import common
 from fringework.llm.bpe import BEYOND_LATIN, LATIN, LATIN_N, SPACE
 
-MOST_CHARS = 3_000_000  # of a slice
+MOST_CHARS = 900_000  # of a slice
+POWERS = 1 << 20  # kept; a longer slice, which is one text, computes its own
 BLANK, WHITE, LETTER, NUMBER, OTHER = range(5)
 
 
@@ -42,8 +44,7 @@ def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     """A polynomial hash, modulo 2**64, of each piece."""
-    size = 1 << max(16, (len(codes) + 1).bit_length())
-    up, down = _powers(k, size)
+    up, down = _powers(k, POWERS) if len(codes) < POWERS else _powers.__wrapped__(k, len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
     return (total[ends] - total[starts]) * down[starts]
@@ -84,7 +85,7 @@ class Ids:
             if not t:
                 continue
             low = t.lower() if self.words else t
-            if not self.fast or "<|" in t or len(t) > 4 * MOST_CHARS or BEYOND_LATIN.search(low) or (self.words and BEYOND_LATIN.search(t)):
+            if not self.fast or "<|" in t or len(t) > 10 * MOST_CHARS or BEYOND_LATIN.search(low) or (self.words and BEYOND_LATIN.search(t)):
                 out[i] = self.whole(t)
                 continue
             held.append(low)
@@ -190,6 +191,6 @@ class Ids:
         return many
 
 
-@functools.cache
 def load(path: str, dtype: str = "<u4") -> Ids:
-    return Ids(path, dtype)
+    """One instance, with its table, for each Python worker."""
+    return common.held(("tokens", path, dtype), lambda: Ids(path, dtype))
