@@ -1,6 +1,7 @@
 """Language identification of mixed-language text.
 
-Script ranges narrow the candidate languages of a word; a Viterbi pass over per-word scores with a switching penalty
+Script ranges narrow the candidate languages of a word; words are cut where their script changes, and runs of more letters
+than a word has (texts written without spaces) into consecutive pieces, all of which are read; a Viterbi pass over per-word scores with a switching penalty
 labels each word; runs of equal labels are the spans of a text. Word scores come from character trigrams and whole words,
 counted on a bounded sample of labelled documents.
 """
@@ -25,6 +26,8 @@ from fringework.llm import common
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 SLICE = 4_000_000  # bytes of text labelled at a time
+LONG = 64  # letters; a longer run isn't one word and is read in pieces of PIECE letters
+PIECE = 16
 
 #: First code points of ranges of letters of a script; a range ends where the next one starts.
 SCRIPTS = [
@@ -42,11 +45,48 @@ def script(word: str) -> str:
     return _names[max(0, bisect.bisect_right(_starts, ord(word[0])) - 1)]
 
 
-def grams(word: str) -> list[str]:
-    """Trigrams with blanks for the word's ends, then the word itself marked by blanks on both sides."""
-    w = f" {word} "
+def _one_script() -> re.Pattern:
+    ranges: dict[str, str] = {}
+    for a, b, n in zip(_starts, [*_starts[1:], 0x110000], _names, strict=True):
+        ranges[n] = ranges.get(n, "") + f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}"
+    return re.compile("|".join(f"[{x}]+" for x in ranges.values()))
+
+
+ONE_SCRIPT = _one_script()
+
+
+def cuts(word: str) -> list[tuple[int, int]]:
+    """Start and end of the pieces of a word: one for most; every letter is in one piece.
+
+    Modifier letters and numerals have no script of their own and cut nothing.
+    """
+    borders = [0]
+    if word.isascii() or ONE_SCRIPT.fullmatch(word):
+        if len(word) <= LONG:
+            return [(0, len(word))]
+    else:
+        now = script(word)
+        for i, c in enumerate(word):
+            if not 0x2B0 <= ord(c) < 0x370 and c.isalpha() and script(c) != now:
+                now = script(c)
+                if i:
+                    borders.append(i)
+    out = []
+    for a, b in zip(borders, [*borders[1:], len(word)], strict=True):
+        step = PIECE if b - a > LONG else LONG
+        out += [(k, min(k + step, b)) for k in range(a, b, step)]
+    return out
+
+
+def framed(word: str, start: int, end: int) -> str:
+    """A piece between its neighbours in the word, blanks at the word's ends."""
+    return f"{word[start - 1] if start else ' '}{word[start:end]}{word[end] if end < len(word) else ' '}"
+
+
+def grams(w: str) -> list[str]:
+    """Trigrams of a framed piece, then the piece itself if it is a whole word (blanks on both sides)."""
     out = [w[i : i + 3] for i in range(len(w) - 2)]
-    if len(w) > 3:
+    if len(w) > 3 and w[0] == w[-1] == " ":
         out.append(w)
     return out
 
@@ -64,37 +104,63 @@ class Model:
     _scores: np.ndarray | None = None  # of the words numbered so far
     _sizes: np.ndarray | None = None  # their lengths
 
-    def score(self, word: str) -> np.ndarray:
-        """Log score of each language for a lower-cased word, 0 for the best, at least ``-cap``; all 0 if the script is unknown."""
-        candidates = self.scripts.get(script(word))
+    def score(self, piece: str) -> np.ndarray:
+        """Log score of each language for a lower-cased framed piece, 0 for the best, at least ``-cap``; all 0 if the script is unknown."""
+        candidates = self.scripts.get(script(piece[1]))
         if candidates is None:
             return np.zeros(len(self.langs), np.float32)
         get, unseen = self.rows.get, len(self.log) - 1
-        total = self.log[[get(g, unseen) for g in grams(word[:64])]].sum(0)
+        total = self.log[[get(g, unseen) for g in grams(piece)]].sum(0)
         total = np.where(candidates, total, -np.inf)
         return np.maximum(total - total.max(), np.where(candidates, -self.cap, -2 * self.cap)).astype(np.float32)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Row of each word in the table of scores seen by this worker."""
+    def _add(self, key: str, piece: str) -> int:
+        k = self._number[key] = len(self._number)
+        if k >= len(self._scores):
+            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+            self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
+        self._scores[k], self._sizes[k] = self.score(piece), len(piece) - 2
+        return k
+
+    def numbers(self, words: list[str], places: list[tuple[int, int]] | None = None) -> np.ndarray:
+        """Row of each piece of each word in the table of scores seen by this worker; ``places`` of words become those of pieces."""
         out = list(map(self._number.get, words))
         if self._scores is None:
             self._scores, self._sizes = np.zeros((1 << 16, len(self.langs)), np.float32), np.zeros(1 << 16, np.int32)
         if None in out:
+            many: list[tuple[int, list[int], list[tuple[int, int]]]] = []
             for i, x in enumerate(out):
                 if x is None:
                     w = words[i]
                     k = self._number.get(w)
                     if k is None:
-                        k = self._number[w] = len(self._number)
-                        if k >= len(self._scores):
-                            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-                            self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
-                        self._scores[k], self._sizes[k] = self.score(w), len(w)
+                        own = cuts(w)
+                        if len(own) > 1:
+                            rows = []
+                            for a, b in own:
+                                piece = framed(w, a, b)
+                                key = f" {piece}"  # no word starts with a blank
+                                k = self._number.get(key)
+                                rows.append(self._add(key, piece) if k is None else k)
+                            many.append((i, rows, own))
+                            continue
+                        k = self._add(w, f" {w} ")
                     out[i] = k
+            if many:
+                flat, spans, at = [], [], 0
+                for i, rows, own in many:
+                    flat += out[at:i] + rows
+                    if places is not None:
+                        start = places[i][0]
+                        spans += places[at:i] + [(start + a, start + b) for a, b in own]
+                    at = i + 1
+                out = flat + out[at:]
+                if places is not None:
+                    places[:] = spans + places[at:]
         return np.array(out, np.int32)
 
     def label(self, texts: list[np.ndarray], most: int = 300_000) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The language index and the length of each word of each text, given as numbers."""
+        """The language index and the length of each piece of each text, given as numbers."""
         if not self.langs:
             return [np.full(len(w), -1) for w in texts], [np.zeros(len(w), np.int32) for w in texts]
         labels = viterbi(texts, self._scores, self.switch) if texts else []
@@ -172,9 +238,11 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
         for b in common.slices(batches, 0):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(WORD.findall(text.lower())).items():
-                    for g in grams(w[:64]):
-                        total[lang, "g", g] += n
-                    total[lang, "s", script(w)] += n * len(w)
+                    own = cuts(w)
+                    for a, b in own:
+                        for g in grams(f" {w} " if len(own) == 1 else framed(w, a, b)):
+                            total[lang, "g", g] += n
+                        total[lang, "s", script(w[a])] += n * (b - a)
             if len(total) > 300_000:
                 yield out(total)
                 total.clear()
@@ -204,6 +272,12 @@ def _known(model: Model, words: list[str]) -> bool:
     return bool(words) and bool(model.langs) and (len(words) > 8 or any(c.isalpha() for w in words for c in w))
 
 
+def _lower(word: str) -> str:
+    """Lower-cased letter by letter where the whole would change its length, so that places stay."""
+    x = word.lower()
+    return x if len(x) == len(word) else "".join(c.lower()[0] for c in word)
+
+
 def _verdict(model: Model, known: bool, labels: np.ndarray, sizes: np.ndarray) -> tuple[str, float]:
     if not known:
         return UNKNOWN, 0.0
@@ -217,10 +291,11 @@ def summary(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     ids, known, places = [], [], []
     for t in texts:
         found = list(WORD.finditer(t)) if t else []
-        words = [m.group().lower() for m in found]
+        words = [_lower(m.group()) for m in found]
+        own = [m.span() for m in found]
         known.append(_known(model, words))
-        ids.append(model.numbers(words))
-        places.append([m.span() for m in found])
+        ids.append(model.numbers(words, own))
+        places.append(own)
     preds, scores, spans = [], [], []
     for k, p, lab, sizes in zip(known, places, *model.label(ids), strict=True):
         pred, score = _verdict(model, k, lab, sizes)

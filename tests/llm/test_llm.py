@@ -352,6 +352,30 @@ def test_language_spans(spark):
     assert langid.summary(model, ["123 !?", None, ""])[0] == ["und"] * 3
 
 
+@pytest.fixture(scope="module")
+def three_languages(spark):
+    rows = [(i, "the quick brown fox jumps over this lazy dog and that was with them", "en") for i in range(30)]
+    rows += [(100 + i, "der schnelle braune fuchs springt nicht durch zwischen schlafen und wurde", "de") for i in range(30)]
+    rows += [(200 + i, "привет мир это новый день для всех людей", "ru") for i in range(30)]
+    return langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+
+
+def test_language_of_long_runs_is_read_to_the_end(three_languages):
+    english, german, russian = "thequickbrownfoxandthatwaswiththem", "derschnellebraunefuchsspringtnichtdurch", "приветмирэтоновыйдень"
+    text = english * 4 + german * 100
+    (pred,), (score,), (spans,) = langid.summary(three_languages, [text])
+    assert pred == "de" and 0.9 < score < 1 and [x[2] for x in spans] == ["en", "de"]
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and abs(spans[0][1] - 4 * len(english)) <= 2 * langid.PIECE
+    text = english * 2 + russian * 5
+    (pred,), (score,), (spans,) = langid.summary(three_languages, ["x " + text])
+    assert pred == "ru" and spans == [(0, 2 + 2 * len(english), "en"), (2 + 2 * len(english), 2 + len(text), "ru")]
+    assert langid.verdicts(three_languages, ["x " + text]) == ([pred], [score])
+    for word in (text, english * 50, "a", "п\u02bcять"):
+        own = langid.cuts(word)
+        assert "".join(word[a:b] for a, b in own) == word and all(b - a <= langid.LONG for a, b in own)
+    assert langid.cuts("п\u02bcять") == [(0, 5)]
+
+
 def test_viterbi_matches_all_paths():
     r = np.random.default_rng(3)
     scores = r.normal(size=(6, 3)).astype(np.float32)
