@@ -269,7 +269,7 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
 
 def _known(model: Model, words: list[str]) -> bool:
     """Whether a text with these words has a language at all: some letter (numerals may look like words)."""
-    return bool(words) and bool(model.langs) and (len(words) > 8 or any(c.isalpha() for w in words for c in w))
+    return bool(words) and bool(model.langs) and any(c.isalpha() for w in words for c in w)
 
 
 def _lower(word: str) -> str:

@@ -376,6 +376,12 @@ def test_language_of_long_runs_is_read_to_the_end(three_languages):
     assert langid.cuts("п\u02bcять") == [(0, 5)]
 
 
+def test_numerals_have_no_language(three_languages):
+    for n in (1, 8, 9, 40):
+        text = " ".join("½²①Ⅻ"[i % 4] for i in range(n))
+        assert langid.verdicts(three_languages, [text, text + " und"])[0] == [langid.UNKNOWN, "de"], n
+
+
 def test_viterbi_matches_all_paths():
     r = np.random.default_rng(3)
     scores = r.normal(size=(6, 3)).astype(np.float32)
