@@ -3,7 +3,8 @@
 A worklist holds the layers of a text: the text itself, then what its percent escapes, Unicode escapes, base64 runs and
 compressed base64 runs decode to, and so on until nothing new appears; a layer seen before in the same text is not taken
 again, which ends cycles. Each layer is scanned and its finds are mapped to spans of the original text: those in escapes
-character by character, those in a base64 run to the run.
+character by character, those in a base64 run to the run. Compressed layers of any size are unwrapped member by member in
+windows; a window ends where no token can go on, so that none is cut.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +32,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-#: Compressed layers are unwrapped up to this many bytes each; a larger one is left as it is and counted in ``n_skipped``.
-MOST_INFLATED = 64 << 20
+#: Decoded bytes are scanned in windows of about this size; one grows while a single run goes on.
+WINDOW = 4 << 20
+PIECE = 1 << 20  # inflated at a time
+#: After these bytes no find, run or escape goes on, in one-byte text or UTF-16; a blank between letters ends them as well.
+BREAK = re.compile(rb"[^A-Za-z0-9+/_.=\-\"':%\\{}&#;\s\x00]|\x00\x00")
+BLANK = re.compile(rb"[A-Za-z0-9]\x20(?=[A-Za-z]{3})")  # backwards
 
 Span = tuple[str, int, int]
 
@@ -54,12 +58,18 @@ def find(text: str, lower: str | None = None, runs: bool = True) -> list[Span]:
 class Layer:
     """A decoded text with the span of the original that each of its characters comes from."""
 
-    __slots__ = ("text", "lo", "hi")
+    __slots__ = ("text", "lo", "hi", "whole")
 
-    def __init__(self, text: str, lo: list[int] | None, hi: list[int] | None):
-        self.text, self.lo, self.hi = text, lo, hi
+    def __init__(self, text: str, lo: list[int] | None, hi: list[int] | None, whole: tuple[int, int] | None = None):
+        self.text, self.lo, self.hi, self.whole = text, lo, hi, whole  # whole: the one span that all characters come from
+
+    def key(self) -> bytes:
+        ends = self.whole or ((self.lo[:1], self.hi[-1:]) if self.lo is not None else ([0], [len(self.text)]))
+        return hashlib.sha256(repr((ends, self.text)).encode()).digest()
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         if self.lo is None:
             return start, end
         return min(self.lo[start:end]), max(self.hi[start:end])
@@ -67,6 +77,11 @@ class Layer:
     def replaced(self, parts: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
         """This layer with each (start, end) in the place of its decoded characters (character, start, end in this layer)."""
         text, lo, hi, at = [], [], [], 0
+        if self.whole is not None:
+            for start, end, chars in parts:
+                text += [self.text[at:start], *(c for c, _, _ in chars)]
+                at = end
+            return Layer("".join(text) + self.text[at:], None, None, self.whole)
         own_lo = range(len(self.text)) if self.lo is None else self.lo
         own_hi = range(1, len(self.text) + 1) if self.hi is None else self.hi
         for start, end, chars in parts:
@@ -121,75 +136,131 @@ def _unbase64(run: str) -> bytes | None:
         return None
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """The content of a compressed layer, or None; and whether it was left for its size."""
+def _opener(raw: bytes) -> Callable | None:
+    """What unwraps a compressed layer that starts so."""
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 5 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        d = zlib.decompressobj(47)
-        unzip = lambda: d.decompress(raw, MOST_INFLATED)
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-        unzip = lambda: d.decompress(raw, MOST_INFLATED)
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor(memlimit=256 << 20)
-        unzip = lambda: d.decompress(raw, MOST_INFLATED)
-    else:
-        return None, False
-    try:
-        out = unzip()
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, False
-    return (out, False) if len(out) < MOST_INFLATED else (None, True)
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if text and 10 * plain >= 9 * len(text) else None
+        return lambda: zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lambda: lzma.LZMADecompressor(memlimit=256 << 20)
+    return None
+
+
+def _inflate(chunks: Iterator[bytes], left: set[bytes]) -> Iterator[bytes]:
+    """The content of all members of a compressed layer in pieces, up to its end or damage; ``left`` gets the head of one that
+    takes too much memory to unwrap."""
+    data = b""
+    while True:
+        while len(data) < 8 and (more := next(chunks, None)) is not None:
+            data = (data + more).lstrip(b"\0")  # padding between members
+        head, make = data[:64], _opener(data)
+        if make is None:
+            return
+        d = make()
+        try:
+            while not d.eof:
+                if not data and getattr(d, "needs_input", True) and not (data := next(chunks, b"")):
+                    return
+                out = d.decompress(data, PIECE)
+                data = getattr(d, "unconsumed_tail", b"")
+                if out:
+                    yield out
+        except lzma.LZMAError as e:
+            if "emory" in str(e):
+                left.add(head)
+            return
+        except (zlib.error, OSError, EOFError, ValueError):
+            return
+        data = (d.unused_data + data if not hasattr(d, "unconsumed_tail") else d.unused_data).lstrip(b"\0")
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes in windows that end where no token can go on; together they are all bytes."""
+    held, want = bytearray(), WINDOW
+    for c in chunks:
+        held += c
+        if len(held) >= want:
+            back = bytes(held[::-1])
+            if m := BREAK.search(back):
+                cut = len(held) - m.start()
+            elif m := BLANK.search(back):
+                cut = len(held) - m.start() - 1
+            else:
+                want = 2 * len(held)
+                continue
+            yield bytes(held[:cut])
+            del held[:cut]
+            want = len(held) + WINDOW
+    if held:
+        yield bytes(held)
+
+
+def _views(raw: bytes) -> Iterator[str]:
+    """Bytes as text: finds are ASCII, so one byte a character shows those of all one-byte forms and UTF-8."""
+    yield raw.decode("latin-1")
+
+
+def _texts(raw: bytes, left: set[bytes]) -> Iterator[str]:
+    """All texts in decoded bytes: their own, and those of the compressed layers that lie in each other."""
+    if _opener(raw) is None:
+        yield from _views(raw)
+        return
+    source: Callable[[], Iterator[bytes]] = lambda: iter([raw])
+    seen: set[bytes] = set()
+    while True:
+        digest, head = hashlib.sha256(), b""
+        for window in _windows(source()):
+            head = head or window
+            digest.update(window)
+            yield from _views(window)
+        if digest.digest() in seen or _opener(head) is None:  # a compressed layer can hold itself
+            return
+        seen.add(digest.digest())
+        source = lambda inner=source: _inflate(inner(), left)
+
+
+def _decoded(layer: Layer, loose: bool, left: set[bytes]) -> Iterator[tuple[Layer, bool]]:
+    """What escapes and base64 runs of a layer decode to, and whether its places may be too long."""
+    if "%" in layer.text and (parts := [(*m.span(), _percent(m)) for m in PERCENT.finditer(layer.text)]):
+        yield layer.replaced(parts), loose
+    if ("\\" in layer.text or "&#" in layer.text) and (parts := [(*m.span(), _escapes(m)) for m in ESCAPE.finditer(layer.text)]):
+        yield layer.replaced(parts), loose
+    for m in RUN.finditer(layer.text):
+        pieces = [m.span()]
+        if any(c in m[0] for c in "/+-_"):  # a path or a name may stand before the run proper
+            pieces += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p.span() != (0, len(m[0]))]
+        for a, b in pieces:
+            if raw := _unbase64(layer.text[a:b]):
+                for x in _texts(raw, left):
+                    yield Layer(x, None, None, layer.span(a, b)), loose
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
-    """Spans of the text itself, all spans (those found in decoded layers too), and compressed layers left for their size."""
+    """Spans of the text itself, all spans (those found in decoded layers too), and compressed layers left (xz that takes over 256 MB to unwrap)."""
     if not text:
         return [], [], 0
     has_run = RUN.search(text) is not None
     base = find(text, runs=has_run)
     if not has_run and "%" not in text and "\\" not in text and "&#" not in text:
         return base, base, 0
-    found, skipped = set(base), 0
-    seen = {hashlib.sha256(repr(([0], [len(text)], text)).encode()).digest()}
-    work = deque([Layer(text, None, None)])
+    found, left = set(base), set()
+    weak: set[Span] = set()  # finds whose place may be too long
+    seen = {(False, Layer(text, None, None).key())}
+    work = [iter([(Layer(text, None, None), False)])]  # depth first: windows of a large layer come one by one
     while work:
-        layer = work.popleft()
-        new: list[Layer] = []
-        if "%" in layer.text and (parts := [(*m.span(), _percent(m)) for m in PERCENT.finditer(layer.text)]):
-            new.append(layer.replaced(parts))
-        if ("\\" in layer.text or "&#" in layer.text) and (parts := [(*m.span(), _escapes(m)) for m in ESCAPE.finditer(layer.text)]):
-            new.append(layer.replaced(parts))
-        for m in RUN.finditer(layer.text):
-            pieces = [m.span()]
-            if any(c in m[0] for c in "/+-_"):  # a path or a name may stand before the run proper
-                pieces += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p.span() != (0, len(m[0]))]
-            for a, b in pieces:
-                raw, inner = _unbase64(layer.text[a:b]), set()
-                while raw and raw not in inner:  # a compressed layer can hold itself
-                    inner.add(raw)
-                    child = _readable(raw)
-                    if child is not None:
-                        lo, hi = layer.span(a, b)
-                        new.append(Layer(child, [lo] * len(child), [hi] * len(child)))
-                        break
-                    raw, left = _inflate(raw)  # compressed layers may lie in each other
-                    skipped += left
-        for x in new:
-            key = x.lo[:1], x.hi[-1:], x.text
-            key = hashlib.sha256(repr(key).encode()).digest()
-            if key not in seen:
-                seen.add(key)
-                work.append(x)
-                found.update((kind, *x.span(a, b)) for kind, a, b in find(x.text))
+        if (got := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, loose = got
+        if layer.lo is not None or layer.whole is not None:  # not the text itself
+            if (key := (loose, layer.key())) in seen:
+                continue
+            seen.add(key)
+            (weak if loose else found).update((kind, *layer.span(a, b)) for kind, a, b in find(layer.text))
+        work.append(_decoded(layer, loose, left))
+    found.update({w for w in weak if not any(w[0] == t[0] and w[1] <= t[1] and t[2] <= w[2] for t in found)})
+    skipped = len(left)
     rank = {k: i for i, k in enumerate(KINDS)}
     own = set(base)  # of the others, one that lies in a longer find of its kind says nothing new
     found = {s for s in found if s in own or not any(s != t and s[0] == t[0] and t[1] <= s[1] and s[2] <= t[2] for t in found)}
