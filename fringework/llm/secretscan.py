@@ -29,6 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, as ``+`` would take it
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
@@ -38,6 +39,7 @@ PIECE = 1 << 20  # inflated at a time
 #: After these bytes no find, run or escape goes on, in one-byte text or UTF-16; a blank between letters ends them as well.
 BREAK = re.compile(rb"[^A-Za-z0-9+/_.=\-\"':%\\{}&#;\s\x00]|\x00\x00")
 BLANK = re.compile(rb"[A-Za-z0-9]\x20(?=[A-Za-z]{3})")  # backwards
+WIDE = re.compile(rb"(?:[\x01-\x7f]\x00){13}")
 
 Span = tuple[str, int, int]
 
@@ -197,8 +199,12 @@ def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _views(raw: bytes) -> Iterator[str]:
-    """Bytes as text: finds are ASCII, so one byte a character shows those of all one-byte forms and UTF-8."""
+    """Bytes as text: finds are ASCII, so one byte a character shows those of all one-byte forms and UTF-8; and as UTF-16 of either
+    order and alignment where some stretch has that form."""
     yield raw.decode("latin-1")
+    if WIDE.search(raw):
+        for at in (0, 1):
+            yield (raw[at:] + b"\0" * ((len(raw) - at) % 2)).decode("utf-16-le", "replace")
 
 
 def _texts(raw: bytes, left: set[bytes]) -> Iterator[str]:
@@ -220,6 +226,40 @@ def _texts(raw: bytes, left: set[bytes]) -> Iterator[str]:
         source = lambda inner=source: _inflate(inner(), left)
 
 
+def _wrapped(m: re.Match) -> Iterator[tuple[str, int, int, bool]]:
+    """Ways to read base64 on several lines: the joined run, its place, and whether it may be too long.
+
+    Encoders wrap at one width: lines of equal length belong together with a shorter one after them, perhaps with the rest of
+    the line before; other ways count only where no closer place has the same kind of find.
+    """
+    lines = [(x[0], m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[A-Za-z0-9+/_=-]+", m[0])]
+
+    def part(i: int, j: int, loose: bool) -> tuple[str, int, int, bool]:
+        run = "".join(x[0] for x in lines[i:j])
+        return run[: len(run) - (len(run.rstrip("=")) % 4 == 1)], lines[i][1], lines[j - 1][2], loose
+
+    i = 0
+    while i < len(lines):
+        j = i + 1
+        while j < len(lines) and len(lines[j][0]) == len(lines[i][0]):
+            j += 1
+        width = len(lines[i][0])
+        more = j < len(lines) and len(lines[j][0]) < width
+        whole = more and (sum(len(x[0]) for x in lines[i : j + 1])) % 4 == 0
+        if width >= 16:
+            if whole:
+                yield part(i, j + 1, False)
+            else:
+                if j - i > 1:
+                    yield part(i, j, False)
+                if more:
+                    yield part(i, j + 1, True)
+            if i:
+                yield part(i - 1, j + more, True)
+        i = j
+    yield part(0, len(lines), True)
+
+
 def _decoded(layer: Layer, loose: bool, left: set[bytes]) -> Iterator[tuple[Layer, bool]]:
     """What escapes and base64 runs of a layer decode to, and whether its places may be too long."""
     if "%" in layer.text and (parts := [(*m.span(), _percent(m)) for m in PERCENT.finditer(layer.text)]):
@@ -234,6 +274,12 @@ def _decoded(layer: Layer, loose: bool, left: set[bytes]) -> Iterator[tuple[Laye
             if raw := _unbase64(layer.text[a:b]):
                 for x in _texts(raw, left):
                     yield Layer(x, None, None, layer.span(a, b)), loose
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            for run, a, b, wide in _wrapped(m):
+                if raw := _unbase64(run):
+                    for x in _texts(raw, left):
+                        yield Layer(x, None, None, layer.span(a, b)), loose or wide
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
