@@ -3,11 +3,13 @@
 Candidates lie in vertical layout, a row of the matrix for each dimension. Scores accumulate dimension block by dimension
 block; after each block a candidate's score is at most what it has so far plus the product of the remaining masses
 (norms) of query and candidate. Candidates whose bound is under the query's k-th best score so far are dropped and the
-survivors compacted.
+survivors compacted. Vectors with components too large for 63-bit sums are scored in Python integers, wherever a float64
+estimate with its error bound can't rule them out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,10 @@ from fringework.llm import common
 BLOCK_DIMS = 16
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 64
-#: Scaled components must be smaller than this, so that scores of up to 64 dimensions fit 63 bits.
+#: Vectors whose scaled components are all smaller than this take the fast way: scores of up to 64 dimensions fit 63 bits.
 MOST = 1 << 28
+#: Scores beyond a long are held as this or its negative; one in a result is an error, as it is for a cast to BIGINT.
+BEYOND = (1 << 63) - 1
 
 
 class Best:
@@ -49,6 +53,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     dims = queries.shape[1]
     top = max(int(np.abs(queries).max(initial=0)), int(np.abs(vectors).max(initial=0)))
     kind = np.float64 if top * top * dims < 1 << 52 else np.int64
+    slack = 1 if kind is np.float64 else 4096  # float64 rounds larger sums
     columns = np.ascontiguousarray(vectors.T).astype(kind)  # vertical layout
     own = queries.astype(kind)
     cuts = list(range(0, dims, BLOCK_DIMS))
@@ -68,7 +73,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
             s = slice(cut, cut + BLOCK_DIMS)
             if qi is None:
                 dense += own[part, s] @ columns[s]
-                bound = dense + rest_q[j + 1, part][:, None] * rest_c[j + 1] * (1 + 1e-9) + 1
+                bound = dense + rest_q[j + 1, part][:, None] * rest_c[j + 1] * (1 + 1e-9) + slack
                 alive = bound >= least[:, None]
                 if j == 0:
                     alive &= query_ids[part][:, None] != ids
@@ -80,7 +85,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
                     score = dense[qi, ci]
             else:
                 score = score + (own[part, s][qi] * columns[s][:, ci].T).sum(1)
-                alive = score + rest_q[j + 1, part][qi] * rest_c[j + 1, ci] * (1 + 1e-9) + 1 >= least[qi]
+                alive = score + rest_q[j + 1, part][qi] * rest_c[j + 1, ci] * (1 + 1e-9) + slack >= least[qi]
                 qi, ci, score = qi[alive], ci[alive], score[alive]
         if qi is None:
             qi, ci = np.nonzero(kept)
@@ -106,17 +111,54 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _large(col: pa.Array, dims: int) -> np.ndarray:
+    """Which vectors have a scaled component of ``MOST`` or more among the first ``dims``."""
+    n = np.asarray(pa.compute.list_value_length(col), np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    large = (np.abs(np.asarray(col.flatten(), np.float64)) >= MOST / 1024) & (nth < dims)
+    return np.bincount(row[large], minlength=len(n)) > 0
+
+
+def _integers(col: pa.Array, dims: int) -> np.ndarray:
+    """``floor(1024 * x)`` as Python integers of any size."""
+    out = np.zeros((len(col), dims), object)
+    for i, v in enumerate(col.to_pylist()):
+        for j, x in enumerate(v[:dims]):
+            out[i, j] = math.floor(x * 1024) if abs(x) < 1 << 60 else int(x) * 1024
+    return out
+
+
+def search_large(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best) -> None:
+    """Search rows for all queries, both as Python integers: exact at any size."""
+    if not len(ids) or not len(query_ids):
+        return
+    unit = float(2 ** max(0, max(int(np.abs(queries).max()), int(np.abs(vectors).max())).bit_length() - 500))  # keeps the estimate finite
+    q_near, v_near = ((x / unit).astype(np.float64) for x in (queries, vectors))
+    q_size, v_size = (np.sqrt((x**2).sum(1)) for x in (q_near, v_near))
+    off = (queries.shape[1] + 8) * 4e-16
+    for at in range(0, len(query_ids), BLOCK_QUERIES):
+        for start in range(0, len(ids), 512):
+            part, rows = slice(at, at + BLOCK_QUERIES), slice(start, start + 512)
+            most = q_near[part] @ v_near[rows].T + off * q_size[part][:, None] * v_size[rows]
+            least = best.least[part].astype(np.float64) / unit / unit
+            qi, ci = np.nonzero((most >= least[:, None] - np.abs(least[:, None]) * 1e-15) & (query_ids[part][:, None] != ids[rows]))
+            if len(qi):
+                score = [sum(a * b for a, b in zip(queries[at + q], vectors[start + c], strict=True)) for q, c in zip(qi.tolist(), ci.tolist(), strict=True)]
+                best.add(qi + at, np.array([max(-BEYOND, min(BEYOND, x)) for x in score], np.int64), ids[rows][ci])
+
+
 def usable(vector: Column) -> Column:
-    """Whether a vector takes part: neither null itself nor with a null, non-finite or too large component."""
-    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < MOST / 1024) & ~F.isnan(x)), F.lit(False))
+    """Whether a vector takes part: neither null itself nor with a null or non-finite component."""
+    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x)), F.lit(False))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, most_queries: int = 1 << 15, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` highest scores of each query against every row but its own: ``query_id, rank, vec_id, score``.
 
     Ties go to the smaller id. Queries are taken ``most_queries`` at a time, in blocks that bound what the driver and a
-    broadcast hold; every block meets all rows. Null vectors, and vectors with null, NaN, infinite or huge (over 2**18)
-    components, take no part, nor do rows with a null id. Rows that share a query's id are its own; of several rows with
+    broadcast hold; every block meets all rows. Null vectors, and vectors with null, NaN or infinite components, take
+    no part, nor do rows with a null id. A listed score that a long can't hold is an error. Rows that share a query's id are its own; of several rows with
     a query's id the least vector asks. Missing components of shorter vectors count as zero. Extra columns are ignored;
     an empty table gives an empty result.
     """
@@ -131,28 +173,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, most_queries: int
     for x in found[1:]:
         out = out.unionByName(x)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.abs("score") < BEYOND, F.col("score")).otherwise(F.raise_error(F.lit("a score of the top k is too large for a long")).cast("long"))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def _one(rows: DataFrame, asking: DataFrame, dims: int, k: int) -> DataFrame:
     got = asking.orderBy("id").toArrow()
-    ids = np.asarray(got.column("id"), np.int64)
-    queries = _matrix(got.column("v").combine_chunks(), dims) if len(ids) else np.zeros((0, dims), np.int64)
+    ids, col = np.asarray(got.column("id"), np.int64), got.column("v").combine_chunks()
+    large = _large(col, dims) if len(ids) else np.zeros(0, bool)
+    large_ids, large_queries = ids[large], _integers(col.filter(pa.array(large)), dims) if large.any() else np.zeros((0, dims), object)
+    ids = ids[~large]
+    queries = _matrix(col.filter(pa.array(~large)), dims) if len(ids) else np.zeros((0, dims), np.int64)
     seeds = Best(len(ids), k)  # the queries are rows too: a first k-th best for each
     some = slice(0, BLOCK_ROWS)
     if len(ids):
         search_block(queries, ids, queries[some], ids[some], seeds)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, queries, seeds.least))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries, seeds.least, large_ids, large_queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, least = shared.value
-        best = Best(len(ids), k)
+        ids, queries, least, large_ids, large_queries = shared.value
+        best, large_best = Best(len(ids), k), Best(len(large_ids), k)
         best.least = least.copy()
-        if len(ids):
+        if len(ids) or len(large_ids):
             for b in common.gathered(batches, BLOCK_ROWS):
                 for at in range(0, b.num_rows, BLOCK_ROWS):
                     part = b.slice(at, BLOCK_ROWS)
-                    search_block(queries, ids, _matrix(part.column(1), queries.shape[1]), np.asarray(part.column(0), np.int64), best)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.int64())], names=["query_id", "vec_id", "score"])
+                    if len(large_ids):
+                        search_large(large_queries, large_ids, _integers(part.column(1), dims), np.asarray(part.column(0), np.int64), large_best)
+                    large = _large(part.column(1), dims)
+                    if large.any():
+                        some = part.filter(pa.array(large))
+                        search_large(queries.astype(object), ids, _integers(some.column(1), dims), np.asarray(some.column(0), np.int64), best)
+                        part = part.filter(pa.array(~large))
+                    if len(ids) and part.num_rows:
+                        search_block(queries, ids, _matrix(part.column(1), dims), np.asarray(part.column(0), np.int64), best)
+        for own, found in ((ids, best), (large_ids, large_best)):
+            yield pa.RecordBatch.from_arrays([pa.array(own[found.q], pa.int64()), pa.array(found.id, pa.int64()), pa.array(found.score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     return rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score long")

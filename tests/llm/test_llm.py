@@ -611,6 +611,24 @@ def test_top_k(spark, most_queries):
 # ---- registry
 
 
+def test_top_k_of_large_components(spark):
+    random.seed(7)
+    rows = [(i, [random.choice([1.0, 3e5, -2.6e5, 5e5 * (i % 9 == 0)]) * random.uniform(-1, 1) for _ in range(20)]) for i in range(300)]
+    rows += [(300, [float(1 << 18)] + [0.0] * 19), (301, [float("inf")] * 20), (302, [None] * 20)]
+    rows += [(303, [1e30] + [0.0] * 19), (304, [0.0] * 20)]
+    rows = [(i, [0.0, *v[1:]] if i < 300 else v) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in topk.search(vectors, (F.col("vec_id") % 15 == 0) & (F.col("vec_id") < 300), k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    own = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i not in (301, 302)}
+    for q in (i for i in range(0, 300, 15)):
+        want = sorted((-sum(a * b for a, b in zip(own[q], v, strict=True)), i) for i, v in own.items() if i != q)[:5]
+        assert got[q] == [(i, -x) for x, i in want], q
+    with pytest.raises(Exception, match="too large for a long"):
+        topk.search(vectors, F.col("vec_id") == 300, k=1).collect()
+
+
 def test_pipeline_drops_and_keeps(spark, sf_dir):
     import corpus_pipeline
 
