@@ -124,6 +124,14 @@ def test_lm_head_and_tail_make_a_distribution(spark):
     assert np.allclose(model.emit.sum(0), 1, atol=1e-5) and np.allclose(model.move.sum(1), 1)
 
 
+def test_lm_end_outside_the_head(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a x")], "doc_id long, text string")
+    one, two = hmm.score(docs, F.col("doc_id") == 1).orderBy("doc_id").collect()
+    assert (one.n_tokens, one.n_known, two.n_tokens, two.n_known) == (4, 4, 3, 2)
+    assert one.base_score == pytest.approx(math.log10(3 * 3 * 2 * 2 / 8**4))
+    assert two.base_score == pytest.approx(math.log10(3 * 1 * 2 / 8**3))
+
+
 def test_lm_odd_rows(odd, nothing):
     rows = hmm.score(odd, common.crc_mod("doc_id", 7) != 2, states=2, rounds=1).collect()
     assert sorted(r.n_tokens for r in rows) == sorted(len((t or "").split()) + 1 for _, t, *_ in ODD)
