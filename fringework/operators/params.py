@@ -79,11 +79,11 @@ def _short(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", v), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows (name, value) that only one of both has, numbers compared by value."""
-    plain = lambda d: d.select("name", F.coalesce(_short(F.col("value").try_cast("double")), F.col("value")).alias("value"))
+def difference(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, name, value) that only one of both has, numbers compared by value."""
+    plain = lambda d: d.select(*keys, "name", F.coalesce(_short(F.col("value").try_cast("double")), F.col("value")).alias("value"))
     a, b = plain(a), plain(b)
-    return a.unionAll(b).groupBy("name", "value").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    return a.unionAll(b).groupBy(*keys, "name", "value").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:

@@ -333,3 +333,10 @@ def test_exports(spark):
     assert export.reference_system(["lat", "lon"]) == 4326
     with pytest.raises(ValueError):
         export.reference_system(["a"])
+
+
+def test_parameter_difference_by_key(spark):
+    cols = "k long, name string, value string"
+    a = spark.createDataFrame([(1, "x", "1"), (1, "y", "2"), (2, "x", "1"), (2, "y", "3")], cols)
+    b = spark.createDataFrame([(1, "x", "1.0"), (1, "y", "2"), (2, "x", "2"), (2, "y", "3")], cols)
+    assert sorted(map(tuple, params.difference(a, b, "k").collect())) == [(2, "x", "1"), (2, "x", "2")]
