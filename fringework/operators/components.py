@@ -30,7 +30,9 @@ def stars(edges: DataFrame) -> DataFrame:
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out._table = now._table  # so that ``drop_table`` takes it
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
