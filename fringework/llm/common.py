@@ -10,9 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fringework import shared
-from fringework.shared import drop_table, materialise, shared_dir, table
+from fringework.shared import drop_table, materialise, new_path, result, run_dir, shared_dir, table
 
-__all__ = ["crc_mod", "drop_table", "gathered", "held", "materialise", "shared_dir", "ship", "slices", "table", "words_of"]
+__all__ = ["crc_mod", "drop_table", "gathered", "held", "materialise", "new_path", "result", "run_dir", "shared_dir", "ship", "slices", "table", "words_of"]
 
 #: Texts are handled in slices of about this many characters, whatever the size of an Arrow batch.
 SLICE_CHARS = 8_000_000
