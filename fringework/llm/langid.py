@@ -14,18 +14,17 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringework.llm import common
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-SLICE = 4_000_000  # bytes of text labelled at a time
+SLICE = 4_000_000  # bytes of text labelled at a time, fewer with more than 16 languages
 LONG = 64  # letters; a longer run isn't one word and is read in pieces of PIECE letters
 PIECE = 16
 
@@ -91,84 +90,147 @@ def grams(w: str) -> list[str]:
     return out
 
 
-@dataclass
+def _trigrams(codes: np.ndarray) -> np.ndarray:
+    """Each three code points in a row as one number."""
+    c = codes.astype(np.uint64)
+    return c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+
+
 class Model:
-    langs: list[str]
-    rows: dict[str, int]  # gram -> its row in ``log``
-    log: np.ndarray  # log probability of each gram for each language; the last row is that of a gram not seen
-    scripts: dict[str, np.ndarray]  # script -> whether each language is a candidate
-    cap: float = 6.0
-    switch: float = 8.0
-    tag: str = field(default_factory=lambda: uuid.uuid4().hex)
-    _number: dict[str, int] = field(default_factory=dict)
-    _scores: np.ndarray | None = None  # of the words numbered so far
-    _sizes: np.ndarray | None = None  # their lengths
-
-    def score(self, piece: str) -> np.ndarray:
-        """Log score of each language for a lower-cased framed piece, 0 for the best, at least ``-cap``; all 0 if the script is unknown."""
-        candidates = self.scripts.get(script(piece[1]))
-        if candidates is None:
-            return np.zeros(len(self.langs), np.float32)
-        get, unseen = self.rows.get, len(self.log) - 1
-        total = self.log[[get(g, unseen) for g in grams(piece)]].sum(0)
-        total = np.where(candidates, total, -np.inf)
-        return np.maximum(total - total.max(), np.where(candidates, -self.cap, -2 * self.cap)).astype(np.float32)
-
-    def _add(self, key: str, piece: str) -> int:
-        k = self._number[key] = len(self._number)
-        if k >= len(self._scores):
-            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-            self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
-        self._scores[k], self._sizes[k] = self.score(piece), len(piece) - 2
-        return k
-
-    def numbers(self, words: list[str], places: list[tuple[int, int]] | None = None) -> np.ndarray:
-        """Row of each piece of each word in the table of scores seen by this worker; ``places`` of words become those of pieces."""
-        out = list(map(self._number.get, words))
-        if self._scores is None:
-            self._scores, self._sizes = np.zeros((1 << 16, len(self.langs)), np.float32), np.zeros(1 << 16, np.int32)
-        if None in out:
-            many: list[tuple[int, list[int], list[tuple[int, int]]]] = []
-            for i, x in enumerate(out):
-                if x is None:
-                    w = words[i]
-                    k = self._number.get(w)
-                    if k is None:
-                        own = cuts(w)
-                        if len(own) > 1:
-                            rows = []
-                            for a, b in own:
-                                piece = framed(w, a, b)
-                                key = f" {piece}"  # no word starts with a blank
-                                k = self._number.get(key)
-                                rows.append(self._add(key, piece) if k is None else k)
-                            many.append((i, rows, own))
-                            continue
-                        k = self._add(w, f" {w} ")
-                    out[i] = k
-            if many:
+    """Word scores of a fitted model; ``grams[i]`` is the gram of row i of ``log``, whose last row is that of a gram not seen.
+
+    ``scripts``: script -> whether each language is a candidate. Scores of words seen by this worker are kept in two
+    generations: the older one goes when the younger one is full, so frequent words stay.
+    """
+
+    def __init__(self, langs: list[str], grams: list[str], log: np.ndarray, scripts: dict[str, np.ndarray], cap: float = 6.0, switch: float = 8.0, most: int = 300_000):
+        self.langs, self.log, self.scripts, self.cap, self.switch, self.most = langs, log.astype(np.float32), scripts, cap, switch, most
+        three = [i for i, g in enumerate(grams) if len(g) == 3]
+        keys = _trigrams(np.frombuffer("".join(grams[i] for i in three).encode("utf-32-le", "surrogatepass"), "<u4"))[::3] if three else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], np.array(three, np.int64)[order]
+        self.words = {g: i for i, g in enumerate(grams) if len(g) > 3}
+        self.allowed = np.zeros((len(SCRIPTS), len(langs)), bool)
+        for k, name in enumerate(_names):
+            if name in scripts:
+                self.allowed[k] = scripts[name]
+        self.slice = SLICE * 16 // max(16, len(langs))
+        self.tag = uuid.uuid4().hex
+        self._forget()
+        self._old: tuple[dict[str, int], np.ndarray, np.ndarray] | None = None
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}  # of a word of several pieces: -1 - its place in ``_many``
+        self._many: list[tuple[list[int], list[tuple[int, int]]]] = []
+        self._used = 0
+        self._scores, self._sizes = np.zeros((1 << 16, len(self.langs)), np.float32), np.zeros(1 << 16, np.int32)
+
+    def score(self, pieces: list[str]) -> np.ndarray:
+        """Log scores of all languages for lower-cased framed pieces: 0 for the best, at least ``-cap``; all 0 if the script is unknown."""
+        if not pieces:
+            return np.zeros((0, len(self.langs)), np.float32)
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.array(list(map(len, pieces)), np.int64)
+        starts = np.cumsum(lengths) - lengths
+        unseen = len(self.log) - 1
+        keys = _trigrams(codes)
+        place = np.searchsorted(self.keys, keys)
+        row = np.full(len(codes), unseen)
+        if len(self.keys):
+            near = np.minimum(place, len(self.keys) - 1)
+            row[:-2] = np.where(self.keys[near] == keys, self.rows[near], unseen)
+        values = self.log[row]
+        ends = starts + lengths
+        values[ends - 1] = values[ends - 2] = 0  # a trigram lies within a piece
+        total = np.add.reduceat(values, starts, axis=0)
+        whole = (codes[starts] == 32) & (codes[ends - 1] == 32) & (lengths > 3)
+        get = self.words.get
+        total[whole] += self.log[[get(pieces[i], unseen) for i in np.flatnonzero(whole).tolist()]]
+        allowed = self.allowed[np.maximum(np.searchsorted(_starts, codes[starts + 1], side="right") - 1, 0)]
+        total = np.where(allowed, total, -np.inf)
+        best = total.max(1, keepdims=True, initial=-np.inf)
+        known = allowed.any(1)
+        best[~known] = 0
+        out = np.maximum(total - best, np.where(allowed, -self.cap, -2 * self.cap)).astype(np.float32)
+        out[~known] = 0
+        return out
+
+    def _add(self, keys: list[str], scores: np.ndarray, sizes: np.ndarray) -> None:
+        end = self._used + len(keys)
+        if end > len(self._scores):
+            more = max(end, 2 * len(self._scores)) - len(self._scores)
+            self._scores = np.concatenate([self._scores, np.zeros((more, len(self.langs)), np.float32)])
+            self._sizes = np.concatenate([self._sizes, np.zeros(more, np.int32)])
+        self._scores[self._used : end], self._sizes[self._used : end] = scores, sizes
+        self._number.update(zip(keys, range(self._used, end), strict=True))
+        self._used = end
+
+    def _learn(self, words: set[str]) -> None:
+        """Number words not seen yet, and the pieces of those that have several."""
+        if self._old is not None:
+            old, scores, sizes = self._old
+            again = [w for w in words if old.get(w, -1) >= 0]
+            if again:
+                at = np.array([old[w] for w in again], np.int64)
+                self._add(again, scores[at], sizes[at])
+                words = words.difference(again)
+        single, pieces, several = [], [], []
+        for w in words:
+            if len(w) <= LONG and (w.isascii() or ONE_SCRIPT.fullmatch(w)):
+                single.append(w)
+                pieces.append(f" {w} ")
+                continue
+            own = cuts(w)
+            if len(own) == 1:
+                single.append(w)
+                pieces.append(f" {w} ")
+            else:
+                several.append((w, own))
+        known, part = self._number, {}
+        for w, own in several:  # a piece's key starts with a blank, as no word does
+            for a, b in own:
+                key = " " + framed(w, a, b)
+                if key not in known:
+                    part[key] = None
+        if single or part:
+            framed_ = pieces + [k[1:] for k in part]
+            self._add([*single, *part], self.score(framed_), np.array([len(x) - 2 for x in framed_], np.int32))
+        for w, own in several:
+            known[w] = -1 - len(self._many)
+            self._many.append(([known[" " + framed(w, a, b)] for a, b in own], own))
+
+    def numbers(self, texts: list[list[str]], places: list[list[tuple[int, int]]] | None = None) -> list[np.ndarray]:
+        """Row of each piece of each word of each text in the table of scores; ``places`` of words become those of pieces."""
+        if self._used > self.most:
+            self._old = self._number, self._scores, self._sizes
+            self._forget()
+        new = set(itertools.chain.from_iterable(texts)).difference(self._number)
+        if new:
+            self._learn(new)
+        get, out = self._number.__getitem__, []
+        for t, words in enumerate(texts):
+            got = np.array(list(map(get, words)), np.int32)
+            if len(got) and got.min() < 0:
                 flat, spans, at = [], [], 0
-                for i, rows, own in many:
-                    flat += out[at:i] + rows
+                for i in np.flatnonzero(got < 0).tolist():
+                    rows, own = self._many[-1 - got[i]]
+                    flat += [got[at:i], np.array(rows, np.int32)]
                     if places is not None:
-                        start = places[i][0]
-                        spans += places[at:i] + [(start + a, start + b) for a, b in own]
+                        start = places[t][i][0]
+                        spans += places[t][at:i] + [(start + a, start + b) for a, b in own]
                     at = i + 1
-                out = flat + out[at:]
+                got = np.concatenate([*flat, got[at:]])
                 if places is not None:
-                    places[:] = spans + places[at:]
-        return np.array(out, np.int32)
+                    places[t][:] = spans + places[t][at:]
+            out.append(got)
+        return out
 
-    def label(self, texts: list[np.ndarray], most: int = 300_000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def label(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The language index and the length of each piece of each text, given as numbers."""
         if not self.langs:
             return [np.full(len(w), -1) for w in texts], [np.zeros(len(w), np.int32) for w in texts]
         labels = viterbi(texts, self._scores, self.switch) if texts else []
-        sizes = [self._sizes[w] for w in texts]
-        if len(self._number) > most:
-            self._number.clear()
-            self._scores = self._sizes = None
-        return labels, sizes
+        return labels, [self._sizes[w] for w in texts]
 
 
 def viterbi(seqs: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
@@ -218,20 +280,21 @@ def viterbi(seqs: list[np.ndarray], scores: np.ndarray, switch: float) -> list[n
     return out
 
 
-def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int = 1 << 17, most_langs: int = 256, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **options) -> Model:
+def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int = 1 << 17, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **options) -> Model:
     """Fit on about ``per_lang`` documents of each language, chosen by a hash of their ids among the ``usable`` ones.
 
-    ``per_lang``, ``most_grams`` and ``most_langs`` bound what is read for the fit and what reaches the driver.
+    Every lang value found is learned. ``per_lang`` bounds what is read for the fit; the model's table holds about
+    ``most_grams`` grams, each language's commonest ones in equal parts, 256 at least, so that none goes without.
     """
     spark = docs.sparkSession
     common.ship(spark)
     own = docs.filter(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    langs = sorted(sizes)
+    sizes = sorted((r.lang, r.n) for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    langs = [x for x, _ in sizes]
     if not langs:
-        return Model([], {}, np.zeros((1, 0)), {}, **options)
-    share = F.element_at(F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, per_lang / n))) for k, n in sizes.items())), F.col("lang"))
-    sample = own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+        return Model([], [], np.zeros((1, 0)), {}, **options)
+    shares = spark.createDataFrame([(x, min(1.0, per_lang / n)) for x, n in sizes], "lang string, share double")
+    sample = own.join(shares, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -239,10 +302,10 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(WORD.findall(text.lower())).items():
                     own = cuts(w)
-                    for a, b in own:
-                        for g in grams(f" {w} " if len(own) == 1 else framed(w, a, b)):
+                    for a, e in own:
+                        for g in grams(f" {w} " if len(own) == 1 else framed(w, a, e)):
                             total[lang, "g", g] += n
-                        total[lang, "s", script(w[a])] += n * (b - a)
+                        total[lang, "s", script(w[a])] += n * (e - a)
             if len(total) > 300_000:
                 yield out(total)
                 total.clear()
@@ -254,17 +317,22 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
         return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(kind), pa.array(value), pa.array(total.values(), pa.int64())], names=["lang", "kind", "value", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(run, "lang string, kind string, value string, n long")
-    wide = counts.groupBy("kind", "value").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)))
-    wide = common.materialise(wide.withColumn("n", sum(F.col(f"n{i}") for i in range(len(langs)))), "grams")
-    used = wide.filter("kind = 's'").collect()
-    letters = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in used] or [[0] * len(langs)], np.float64)
-    candidates = {r.value: c for r, c in zip(used, letters / np.maximum(letters.sum(0), 1) >= 0.05, strict=False) if c.any()}
-    top = wide.filter("kind = 'g'").orderBy(F.desc("n"), "value").limit(most_grams).toArrow()
-    n = np.stack([np.asarray(top.column(f"n{i}"), np.float64) for i in range(len(langs))], 1)
-    n = np.vstack([n, np.zeros((1, len(langs)))])
+    counts = common.materialise(counts.groupBy("kind", "value", "lang").agg(F.sum("n").alias("n")), "grams")
+    index = {x: i for i, x in enumerate(langs)}
+    letters: dict[str, np.ndarray] = {}
+    for r in counts.filter("kind = 's'").collect():
+        letters.setdefault(r.value, np.zeros(len(langs)))[index[r.lang]] = r.n
+    whole = np.maximum(sum(letters.values(), np.zeros(len(langs))), 1)
+    candidates = {k: c for k, v in letters.items() if (c := v / whole >= 0.05).any()}
+    commonest = Window.partitionBy("lang").orderBy(F.desc("n"), "value")
+    top = counts.filter("kind = 'g'").withColumn("nth", F.row_number().over(commonest)).filter(F.col("nth") <= max(256, most_grams // len(langs)))
+    used = counts.filter("kind = 'g'").join(top.select("value").distinct(), "value", "left_semi").select("value", "lang", "n").toArrow()
+    names, place = np.unique(used.column("value").to_numpy(zero_copy_only=False).astype(object), return_inverse=True) if used.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    n = np.zeros((len(names) + 1, len(langs)))
+    n[place, [index[x] for x in used.column("lang").to_pylist()]] = used.column("n").to_numpy()
     log = np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n)))
-    common.drop_table(spark, wide)
-    return Model(langs, {g: i for i, g in enumerate(top.column("value").to_pylist())}, log, candidates, **options)
+    common.drop_table(spark, counts)
+    return Model(langs, names.tolist(), log, candidates, **options)
 
 
 def _known(model: Model, words: list[str]) -> bool:
@@ -294,8 +362,9 @@ def summary(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
         words = [_lower(m.group()) for m in found]
         own = [m.span() for m in found]
         known.append(_known(model, words))
-        ids.append(model.numbers(words, own))
+        ids.append(words)
         places.append(own)
+    ids = model.numbers(ids, places)
     preds, scores, spans = [], [], []
     for k, p, lab, sizes in zip(known, places, *model.label(ids), strict=True):
         pred, score = _verdict(model, k, lab, sizes)
@@ -315,8 +384,8 @@ def verdicts(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
     for t in texts:
         words = WORD.findall(t.lower()) if t else []
         known.append(_known(model, words))
-        ids.append(model.numbers(words))
-    both = [_verdict(model, k, lab, sizes) for k, lab, sizes in zip(known, *model.label(ids), strict=True)]
+        ids.append(words)
+    both = [_verdict(model, k, lab, sizes) for k, lab, sizes in zip(known, *model.label(model.numbers(ids)), strict=True)]
     return [x for x, _ in both], [x for _, x in both]
 
 
@@ -340,7 +409,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(shared)
-        for b in common.slices(batches, 1, SLICE):
+        for b in common.slices(batches, 1, own.slice):
             texts = b.column(1).to_pylist()
             more = []
             if spans:
@@ -355,7 +424,12 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, id_col: str = "d
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of at least ``least``."""
+    """The rows, with all their columns, whose language is known with a score of at least ``least``.
+
+    Null texts and texts without a letter go, as does every row where no language was learned; rows with null or repeated
+    ids are judged row by row; no column is looked at but the text, so extra ones may have any names; an empty table gives
+    an empty result.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     place = docs.columns.index(text_col)
@@ -363,7 +437,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(shared)
-        for b in common.slices(batches, place, SLICE):
+        for b in common.slices(batches, place, own.slice):
             p, s = verdicts(own, b.column(place).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(p, s, strict=True)], pa.bool_()))
 
