@@ -1,8 +1,9 @@
 """Quality rules by weak supervision.
 
-Each rule votes good (+1) or bad (-1) on a document, or abstains (0). Expectation-maximisation over the counts of vote
-patterns (at most ``3 ** len(RULES)`` numbers, however many documents) of those that pass the base rules estimates how often each rule votes each way on
-good and on bad documents. The posterior probability of good then decides, in place of a filter that all rules must pass.
+Each rule votes good or bad on a document, or abstains. Expectation-maximisation over the counts of vote patterns (at most
+``3 ** len(RULES)`` numbers, however many documents) of those that pass the base rules estimates how common good documents
+are and how often each rule, where it votes, votes bad on good and on bad documents. The posterior probability of good then
+decides, in place of a filter that all rules must pass.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,6 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: name -> (bad, good) as conditions on the metrics m; where neither holds, the rule abstains.
 RULES = {
-    "length": (lambda m: m["n_words"] < 20, lambda m: m["n_words"] >= 50),
     "word_length": (lambda m: (_share(m["word_chars"], m["n_words"]) > 15) | (_share(m["word_chars"], m["n_words"]) < 2), lambda m: (_share(m["word_chars"], m["n_words"]) <= 10) & (_share(m["word_chars"], m["n_words"]) >= 3)),
     "symbols": (lambda m: _share(m["n_symbols"], m["n_words"]) > 0.25, lambda m: _share(m["n_symbols"], m["n_words"]) < 0.05),
     "bars": (lambda m: _share(m["bar"], m["n_words"]) > 0.2, lambda m: _share(m["bar"], m["n_words"]) < 0.05),
@@ -54,7 +55,6 @@ RULES = {
     "letters": (lambda m: _share(m["letters"], m["word_chars"]) < 0.75, lambda m: _share(m["letters"], m["word_chars"]) > 0.85),
     "digits": (lambda m: _share(m["digit"], m["word_chars"]) > 0.3, lambda m: _share(m["digit"], m["word_chars"]) < 0.1),
     "repeated_lines": (lambda m: (m["n_dup_lines"] >= 3) & (_share(m["n_dup_lines"], m["n_lines"]) > 0.3), lambda m: _share(m["n_dup_lines"], m["n_lines"]) < 0.1),
-    "repeated_words": (lambda m: _share(m["n_repeat_words"], m["n_words"]) > 0.3, lambda m: _share(m["n_repeat_words"], m["n_words"]) < 0.1),
     "variety": (lambda m: (m["n_words"] >= 30) & (m["n_distinct"] < 0.25 * np.minimum(m["n_words"], 200)), lambda m: m["n_distinct"] >= 0.4 * np.minimum(m["n_words"], 200)),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -135,49 +135,61 @@ def patterns(m: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(counts: dict[int, int], rounds: int = 200, prior_share: float = 0.02, doubt: float = 0.05, praise: float = 0.5) -> dict[int, float]:
-    """Posterior probability of good for each pattern counted, by expectation-maximisation.
+@dataclass
+class Estimate:
+    """What the data say: the share of good documents, and for each rule how often its vote is bad on good and on bad documents."""
 
-    ``prior_share``: the weight, relative to all documents, of a prior by which bad votes are rare on good documents and
-    common on bad ones. Bad documents are of many kinds, and to a rule for one kind the others look good; so its good vote
-    counts for at most ``praise`` (in log odds), while its bad vote is taken to be wrong on at most ``doubt`` of good
-    documents.
+    good: float
+    bad_on_good: np.ndarray
+    bad_on_bad: np.ndarray
+    posterior: dict[int, float]  # of good, by pattern
+
+
+def _votes(keys: np.ndarray) -> np.ndarray:
+    return np.stack([keys // 3 ** (len(RULES) - 1 - j) % 3 for j in range(len(RULES))], 1)
+
+
+def estimate(counts: dict[int, int], rounds: int = 500) -> Estimate:
+    """Expectation-maximisation over the counted patterns.
+
+    It starts from the rules' meaning: documents with a bad vote are thought good with probability 0.1, others with 0.95.
+    From there on only the counts speak; each rate gets one pseudo-vote each way, so that none becomes 0 or 1. A rule that
+    abstains on a document says nothing about it. Patterns counted as none get a posterior too.
     """
-    if not counts:
-        return {}
     keys = np.array(sorted(counts), np.int64)
     n = np.array([counts[k] for k in keys.tolist()], np.float64)
-    votes = np.stack([keys // 3 ** (len(RULES) - 1 - j) % 3 for j in range(len(RULES))], 1)
-    good = np.where((votes == 0).any(1), 0.1, 0.95)
-    weight = prior_share * n.sum() + 1
-    prior = {1: np.array([0.01, 0.14, 0.85]), 0: np.array([0.35, 0.25, 0.4])}
+    votes = _votes(keys)
+    bad, good_vote = (votes == 0).astype(np.float64), (votes == 2).astype(np.float64)
+    good = np.where(bad.any(1), 0.1, 0.95)
     for _ in range(rounds):
-        p_good = (n @ good + 0.9 * weight) / (n.sum() + weight)
-        p = {}
-        for y, w in ((1, n * good), (0, n * (1 - good))):
-            p[y] = np.stack([(np.bincount(votes[:, j], w, 3) + weight * prior[y]) / (w.sum() + weight) for j in range(len(RULES))])
-        p[1][:, 0] = np.minimum(p[1][:, 0], doubt)
-        ratio = np.log(p[1]) - np.log(p[0])
-        ratio[:, 0], ratio[:, 1], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.clip(ratio[:, 1], -praise, praise), np.clip(ratio[:, 2], 0, praise)
-        odds = np.log(p_good) - np.log1p(-p_good) + sum(ratio[j, votes[:, j]] for j in range(len(RULES)))
+        share = (n @ good + 1) / (n.sum() + 2)
+        rate = []
+        for w in (n * good, n * (1 - good)):
+            rate.append((w @ bad + 1) / (w @ (bad + good_vote) + 2))
+        odds = np.log(share) - np.log1p(-share) + bad @ np.log(rate[0] / rate[1]) + good_vote @ (np.log1p(-rate[0]) - np.log1p(-rate[1]))
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        done, good = np.abs(new - good).max() < 1e-9, new
+        done, good = np.abs(new - good).max(initial=0) < 1e-9, new
         if done:
             break
-    return dict(zip(keys.tolist(), good.tolist(), strict=True))
+    return Estimate(float(share), rate[0], rate[1], dict(zip(keys.tolist(), good.tolist(), strict=True)))
+
+
+def fit(counts: dict[int, int]) -> dict[int, float]:
+    """Posterior probability of good for each pattern counted."""
+    return estimate(counts).posterior if counts else {}
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the base counts, base_failed and the vote pattern of each row."""
+    """``doc_id``, the base counts, base_failed and the vote pattern of each row."""
     common.ship(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 1, SLICE):
             m = metrics(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in BASE), pa.array(base_failed(m)), pa.array(patterns(m))], names=[id_col, *BASE, "base_failed", "pattern"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in BASE), pa.array(base_failed(m)), pa.array(patterns(m))], names=["doc_id", *BASE, "base_failed", "pattern"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{k} long' for k in BASE)}, base_failed boolean, pattern long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in BASE)}, base_failed boolean, pattern long")
 
 
 def count_patterns(votes: DataFrame) -> dict[int, int]:
@@ -196,21 +208,26 @@ def score(docs: DataFrame, keep: float = 0.5, id_col: str = "doc_id", text_col:
     m = common.materialise(measured(docs, id_col, text_col), "votes")
     rows = sorted(fit(count_patterns(m)).items())
     known = spark.createDataFrame(rows, "pattern long, quality double")
-    return (
-        m.join(F.broadcast(known), "pattern", "left")  # at most 3 ** len(RULES) rows
-        .select(id_col, *BASE, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= keep)).alias("kept"))
-    )
+    out = m.join(F.broadcast(known), "pattern", "left")  # at most 3 ** len(RULES) rows
+    out = out.select(F.col("doc_id").alias(id_col), *BASE, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= keep)).alias("kept"))
+    return common.result(out, "quality", m)
 
 
 def keep_good(docs: DataFrame, keep: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that ``score`` keeps. The texts are read twice and never shuffled."""
-    common.ship(docs.sparkSession)
+    """The rows, with all their columns, that ``score`` keeps. The texts are read twice and never shuffled.
+
+    Null texts have no words and go, as do texts that break a base rule; rows with null or repeated ids are judged row by row;
+    no column is looked at but the text, so extra ones may have any names; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
     place = docs.columns.index(text_col)
-    quality = fit(count_patterns(measured(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text")))
+    shared = spark.sparkContext.broadcast(fit(count_patterns(measured(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quality = shared.value
         for b in common.slices(batches, place, SLICE):
             m = metrics(b.column(place))
-            yield b.filter(pa.array(~base_failed(m) & np.array([quality[p] >= keep for p in patterns(m).tolist()])))
+            yield b.filter(pa.array(~base_failed(m) & np.array([quality[p] >= keep for p in patterns(m).tolist()], bool)))
 
     return docs.mapInArrow(run, docs.schema)
