@@ -20,6 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fringework.llm import common
 from fringework.operators import components
@@ -250,20 +251,26 @@ def _blocks(rows: DataFrame, block: int, most: int) -> DataFrame:
     return cut.select(F.col("block").alias("at"), "code").join(ends, "at").select(F.col("block").alias("path"), F.col("block2").alias("key"), "code")
 
 
-def links(codes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
-    """Edges between distinct codes (long column ``code``) whose components are those of all pairs within ``most`` bits (3 or fewer)."""
+def links(codes: DataFrame, most: int = 3, block: int = 4096, used: list[DataFrame] | None = None) -> DataFrame:
+    """Edges between distinct codes (long column ``code``) whose components are those of all pairs within ``most`` bits (3 or fewer).
+
+    ``used`` gets the tables that can be dropped once the edges are written.
+    """
     if most > 3:
         raise ValueError("four bands find pairs of at most 3 differing bits")
+    used = [] if used is None else used
     rows = codes.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("key"), F.col("code").alias("rest"), "code")
     found: list[DataFrame] = []
     for depth, bits in enumerate(DEPTHS):
         rows = _split(rows, bits)
         large = common.materialise(rows.groupBy("path", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).drop("n"), f"large{depth}")
+        used.append(large)
         if large.isEmpty():
             found.append(_links(rows, most))
             break
         found.append(_links(rows.join(large, ["path", "key"], "left_anti"), most))
         rows = common.materialise(rows.join(large, ["path", "key"], "left_semi"), f"rows{depth}")
+        used.append(rows)
     else:
         found.append(_links(_blocks(rows, block, most), most))
     out = found[0]
@@ -280,33 +287,60 @@ def groups(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096,
     the id of their component, null if it has none; repeated ids and rows are kept row by row; extra columns are ignored;
     an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = common.materialise(fingerprints(docs, shingle, id_col, text_col), "codes")
     codes = common.materialise(rows.groupBy("code").agg(F.min("doc_id").alias("least")), "distinct")
-    star = components.stars(links(codes, most, block))
-    rooted = common.materialise(codes.join(star, codes["code"] == star["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
+    used: list[DataFrame] = []
+    edges = common.materialise(links(codes, most, block, used), "links")
+    star = components.stars(edges)
+    rooted = common.result(codes.join(star, codes["code"] == star["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted", codes, edges, star, *used)
     ids = common.materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    whole = common.materialise(rooted.join(ids, "root").select("code", "root", "component_id"), "labels")
-    return rows.join(whole, "code").select("doc_id", "code", "root", "component_id")
+    whole = common.result(rooted.join(ids, "root").select("code", "root", "component_id"), "labels", rooted, ids)
+    return common.result(rows.join(whole, "code").select("doc_id", "code", "root", "component_id"), "groups", rows, whole)
 
 
 def hexadecimal(code: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row of each component: that with the smallest id, of several such rows one with the smallest code."""
-    common.ship(docs.sparkSession)
-    all_rows = groups(docs, shingle, most, block, id_col, text_col)
-    first = all_rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("code", "doc_id")).alias("x")).select(F.col("x.code").alias("_code"), F.col("x.doc_id").alias("_id"))
-    first = common.materialise(first, "kept")
-    place, names = docs.columns.index(text_col), docs.columns
+#: A table of ids up to this size is broadcast; a larger one meets the texts in a shuffle join.
+FEW_IDS, FEW_BYTES = 1_000_000, 32 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, place):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, shingle) for t in b.column(place).to_pylist()], pa.int64())], names=[*names, "_own_code"])
 
-    from pyspark.sql.types import LongType, StructField, StructType
+def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096, few_ids: int = FEW_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each component: that with the smallest id (null if it has no other), of several such rows one
+    with the smallest code.
 
-    coded = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_own_code", LongType())]))
-    kept = coded.join(first, (coded["_own_code"] == first["_code"]) & coded[id_col].eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_own_code"]).select(*names)
+    Null and empty texts have fingerprint 0 and are one component. Of repeated rows one stays. Extra columns may have any
+    names; an empty table gives an empty result. Texts are shuffled only if over ``few_ids`` ids go, but for those of ids
+    that several rows share.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    rows = groups(docs, shingle, most, block, id_col, text_col)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.filter(own).groupBy("root").agg(F.min(F.struct("code", "doc_id")).alias("x")).select(F.col("x.code").alias("kept_code"), F.col("x.doc_id").alias("kept_id"))
+    first = common.materialise(first, "kept")
+    # An id can be kept as a whole or not at all if one row has it; ids of several rows are looked at row by row.
+    ids = rows.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
+    chosen = first.select("kept_id").distinct()
+    ids = ids.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").filter("several").unionByName(ids.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_anti").withColumn("several", F.lit(False)))
+    ids = common.result(ids, "ids", rows)
+    names = docs.columns
+    whole = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    place, key = names.index(text_col), F.col(f"c{names.index(id_col)}")
+    many, size = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("doc_id").cast("string"))), F.lit(0))).first()
+    few = many <= few_ids and size <= FEW_BYTES
+    out = whole.join(F.broadcast(ids) if few else ids, key.eqNullSafe(F.col("doc_id")), "left_anti")
+    several = ids.filter("several")
+    if not several.isEmpty():
+        mixed = whole.join(F.broadcast(several) if few else several, key.eqNullSafe(F.col("doc_id")), "left_semi")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in common.slices(batches, place):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, shingle) for t in b.column(place).to_pylist()], pa.int64())], names=[*b.schema.names, "code"])
+
+        mixed = mixed.mapInArrow(run, StructType([*whole.schema.fields, StructField("code", LongType())]))
+        mixed = mixed.join(first, (F.col("code") == F.col("kept_code")) & key.eqNullSafe(F.col("kept_id")), "left_semi")
+        out = out.unionByName(mixed.dropDuplicates([f"c{names.index(id_col)}", "code"]).drop("code"))
+    return out.toDF(*names)
