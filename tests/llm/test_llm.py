@@ -8,6 +8,7 @@ import io
 import lzma
 import math
 import random
+import re
 import tarfile
 import urllib.parse
 import zlib
@@ -37,6 +38,9 @@ ODD = [
     (8, "éèê 中文 \U0001f600 İstanbul ΣΑΣ <|endoftext|> tail", "fr", "s", 9),
 ]
 CLASH = ["n", "key", "code", "row", "item", "ids", "word", "c", "pattern", "score", "x", "id", "path", "size", "bin"]
+#: more names that the operators use themselves, in and between their steps
+CLASH += ["_own_code", "_code", "_id", "own_code", "kept_code", "kept_id", "several", "root", "component_id", "least", "node", "rest", "c0", "c1", "quality", "kept", "base_failed", "n_words"]
+CLASH += ["sequence_id", "offset", "length", "piece", "start", "fill", "formatted", "turns", "segments", "fsm", "asks", "v", "rank", "vec_id", "spans", "lang_pred", "r", "nth", "hits", "gain", "training", "tail", "share", "value", "kind", "part", "chunk", "lengths", "payload", "n_tokens", "decoded", "text_", "i"]
 
 
 @pytest.fixture(scope="module")
@@ -71,26 +75,95 @@ def forward_by_hand(model, ids):
     return log
 
 
-def test_hmm_forward_and_counts_match_plain_recursions():
+def counts_by_hand(model, seqs):
+    """Forward and backward of each sequence in plain loops: expected starts, moves, and the states' probabilities of each token."""
+    starts, moves, found = np.zeros(len(model.start)), np.zeros_like(model.move), []
+    for s in seqs:
+        e = model.emit[s].astype(np.float64)
+        alpha, beta = np.empty_like(e), np.ones_like(e)
+        for t in range(len(s)):
+            a = (model.start if t == 0 else alpha[t - 1] @ model.move) * e[t]
+            alpha[t] = a / a.sum()
+        for t in range(len(s) - 2, -1, -1):
+            b = model.move @ (e[t + 1] * beta[t + 1])
+            beta[t] = b / b.sum()
+        g = alpha * beta
+        g /= g.sum(1, keepdims=True)
+        for t in range(1, len(s)):
+            x = model.move * np.outer(alpha[t - 1], e[t] * beta[t])
+            moves += x / x.sum()
+        starts += g[0]
+        found.append(g)
+    return starts, moves, found
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40, 3])
+def test_hmm_forward_and_counts_match_plain_recursions(most):
+    """With blocks of all steps, of some, and of one; up to sequences far longer than a block."""
     r = np.random.default_rng(0)
     m = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), r.dirichlet(np.ones(5), 2).T.astype(np.float32))
-    seqs = [r.integers(0, 5, n) for n in (1, 7, 3, 12)]
-    lanes = hmm.Lanes(seqs)
-    logs, _, _ = m.forward(lanes)
-    assert np.allclose([logs[lanes.order.index(i)] for i in range(4)], [forward_by_hand(m, s) for s in seqs], atol=1e-4)
-    starts, moves, emits, _ = m.expected(lanes)
-    want_s, want_m, want_e = np.zeros(2), np.zeros((2, 2)), np.zeros((5, 2))
-    for s in seqs:  # all state paths
-        paths = np.array(np.meshgrid(*[[0, 1]] * len(s))).reshape(len(s), -1).T
-        p = m.start[paths[:, 0]] * np.prod([m.emit[s[t], paths[:, t]] for t in range(len(s))], 0) * np.prod([np.ones(len(paths))] + [m.move[paths[:, t - 1], paths[:, t]] for t in range(1, len(s))], 0)
-        p = p / p.sum()
-        for path, w in zip(paths, p, strict=True):
-            want_s[path[0]] += w
-            for t, z in enumerate(path):
-                want_e[s[t], z] += w
-                if t:
-                    want_m[path[t - 1], z] += w
-    assert np.allclose(starts, want_s, atol=1e-4) and np.allclose(moves, want_m, atol=1e-3) and np.allclose(emits, want_e, atol=1e-3)
+    seqs = [r.integers(0, 5, n) for n in (1, 7, 3, 2500, 12)]
+    lanes = hmm.Lanes(seqs, most)
+    assert len(lanes.blocks) == {1 << 20: 1}.get(most, len(lanes.blocks)) and lanes.blocks[-1][1] == 2500
+    assert np.allclose(m.forward(lanes)[0], [forward_by_hand(m, s) for s in seqs], atol=1e-3)
+    flat = np.concatenate(seqs)
+    others = lanes.place[np.flatnonzero(flat == 4)]
+    starts, moves, emits, states = m.expected(lanes, others)
+    want_s, want_m, found = counts_by_hand(m, seqs)
+    want_e = np.stack([np.bincount(flat, weights=np.concatenate(found)[:, j], minlength=5) for j in range(2)], 1)
+    assert np.allclose(starts, want_s, atol=1e-4) and np.allclose(moves, want_m, rtol=1e-4, atol=1e-3) and np.allclose(emits, want_e, rtol=1e-4, atol=1e-3)
+    assert np.allclose(states, np.concatenate(found)[flat == 4], atol=1e-4)
+    assert abs(moves.sum() - (len(flat) - len(seqs))) < 0.01  # a whole text starts once
+
+
+def model_by_hand(rows, training, states, rounds, most_head, prior=2000.0):
+    """The whole operator in plain loops: doc_id -> log10 probability."""
+    lists = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
+    c = Counter(w for i, ws in lists if training(i) for w in ws)
+    level = {w: math.floor(math.log2(n) * 4 + 1e-9) for w, n in c.items()}
+    cut = next((x for x in range(4, 200) if sum(level[w] >= x and len(w) <= 64 for w in c) <= most_head), 200)
+    head = sorted((w for w in c if level[w] >= cut and len(w) <= 64), key=lambda w: (-c[w], w))
+    number = {w: k for k, w in enumerate(head)}
+    voc = hmm.Vocabulary(None, sum(c.values()), len(c), 0, head, np.array([c[w] for w in head], np.int64))
+    model, other = hmm.first_guess(voc, states), len(head)
+    base = np.append(voc.head_counts, max(1, voc.tail_tokens)).astype(float)
+    base /= base.sum()
+    seqs = [np.array([number.get(w, other) for w in ws]) for i, ws in lists if training(i)]
+    names = [w for i, ws in lists if training(i) for w in ws]
+    for _ in range(rounds):
+        starts, moves, found = counts_by_hand(model, seqs)
+        flat, g = np.concatenate(seqs), np.concatenate(found)
+        emit = np.stack([np.bincount(flat, weights=g[:, j], minlength=other + 1) for j in range(states)], 1) + prior * base[:, None]
+        model = hmm.Hmm((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emit / emit.sum(0))
+    mine = defaultdict(lambda: np.zeros(states))
+    for w, x, k in zip(names, g, flat, strict=True):
+        if k == other:
+            mine[w] += x
+    share = sum(mine.values(), np.zeros(states))
+    share = share / share.sum()
+    ratio = {w: (x + share) / (x.sum() + 1) / share for w, x in mine.items()}
+    all_, total = sum(c[w] + 1 for w in ratio), sum((c[w] + 1) * x for w, x in ratio.items())
+    part = voc.tail_tokens + voc.tail_words + 1
+    out = {}
+    for i, ws in lists:
+        log, a = 0.0, None
+        for w in ws:
+            e = model.emit[number[w]] if w in number else model.emit[other] * (c[w] + 1) / part * (ratio[w] * all_ / total if w in ratio else 1)
+            a = (model.start if a is None else a @ model.move) * e
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        out[i] = log
+    return out
+
+
+@pytest.mark.parametrize("most_head", [1 << 16, 150])
+def test_lm_scores_match_a_model_in_plain_loops(spark, docs, most_head):
+    some = docs.filter("doc_id % 5 = 0")  # plain loops are slow
+    got = {r.doc_id: r.score for r in hmm.score(some, common.crc_mod("doc_id", 7) != 2, states=3, rounds=2, most_head=most_head).collect()}
+    want = model_by_hand([(r.doc_id, r.text) for r in some.collect()], lambda i: not held_out(i, 7), 3, 2, most_head)
+    assert got.keys() == want.keys()
+    for i, x in want.items():
+        assert abs(got[i] - x) < 2e-4 * abs(x) + 1e-3
 
 
 def by_hand_base(rows, mod=7):
@@ -118,9 +191,12 @@ def test_lm_head_and_tail_make_a_distribution(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b", "a x y z", "b b a"])], "doc_id long, text string")
     voc = hmm.count_words(df, F.lit(True), most_head=2)
     assert voc.tokens == 16 and voc.words == 7 and len(voc.head) <= 2
-    model = hmm.train(hmm.encode(df, voc, {}), voc, states=2, rounds=2)
-    share = [(r.c + 1) / (voc.tail_tokens + voc.tail_words + 1) for r in voc.counts.collect() if r.word not in voc.head]
-    assert abs(sum(share) + 1 / (voc.tail_tokens + voc.tail_words + 1) - 1) < 1e-9
+    model, words = hmm.train(hmm.encode(df, voc, {}), voc, states=2, rounds=2)
+    part = voc.tail_tokens + voc.tail_words + 1
+    rows = hmm.tail_emissions(words, voc, 2).collect()
+    assert {r.word for r in rows} == {r.word for r in voc.counts.collect()} - set(voc.head)
+    for j in range(2):  # known words beyond the head and the unknown
+        assert abs(sum((r.c + 1) / part * r.r[j] for r in rows) + 1 / part - 1) < 1e-6
     assert np.allclose(model.emit.sum(0), 1, atol=1e-5) and np.allclose(model.move.sum(1), 1)
 
 
@@ -219,6 +295,22 @@ def test_simhash_odd_rows(odd, nothing):
     kept = simhash.keep_one(odd).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, 1), (False, 2), (False, 5), (False, 7), (False, 8), (True, None)]
     assert simhash.keep_one(odd).columns == odd.columns
+    assert sorted(map(str, simhash.keep_one(odd, few_ids=0).collect())) == sorted(map(str, kept))  # by a shuffle join
+    assert simhash.keep_one(nothing).collect() == []
+
+
+@pytest.mark.parametrize("few_ids", [0, 10**6])
+def test_keep_one_keeps_the_smallest_id_of_each_group(spark, docs, few_ids):
+    rows = docs.unionByName(docs.filter("doc_id < 20")).withColumn("doc_id", F.when(F.col("doc_id") % 50 != 7, F.col("doc_id") - F.col("doc_id") % 3))  # repeated, shared and null ids
+    all_ = [(r.doc_id, r.text) for r in rows.collect()]
+    codes = [fingerprint_by_hand(t) for _, t in all_]
+    label = components_by_hand(codes)
+    best = {}
+    for (i, t), c, k in zip(all_, codes, label, strict=True):
+        x = (i is None, i, c - (1 << 64) if c >> 63 else c)
+        best[k] = min(best.get(k, x), x)
+    got = Counter((r.doc_id is None, r.doc_id, (lambda c: c - (1 << 64) if c >> 63 else c)(fingerprint_by_hand(r.text))) for r in simhash.keep_one(rows, few_ids=few_ids).collect())
+    assert got == Counter(best.values())
 
 
 # ---- chat
@@ -449,7 +541,66 @@ def test_language_odd_rows(odd, nothing):
     assert langid.predict(nothing, model).collect() == []
     blank = langid.train(nothing, F.lit(True))
     assert {r.lang_pred for r in langid.predict(odd, blank).collect()} == {"und"}
-    assert langid.keep_known(odd, model).columns == odd.columns
+    sure = {r.doc_id for r in got if r.lang_pred != "und" and r.score >= 0.5}
+    kept = langid.keep_known(odd, model)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == sure
+    assert langid.keep_known(nothing, model).collect() == [] and langid.keep_known(odd, blank).collect() == []
+
+
+def plain_language(rows, learn, text, per_lang=4000, cap=6.0, switch=8.0):
+    """The language of a text by plain loops: counts of trigrams and words, then Viterbi over its words."""
+    langs = sorted({r.lang for r in learn})
+    n = defaultdict(lambda: np.zeros(len(langs)))
+    script = defaultdict(lambda: np.zeros(len(langs)))
+    for r in learn:
+        for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+            f = f" {w} "
+            for g in [f[i : i + 3] for i in range(len(w))] + ([f] if len(f) > 3 else []):
+                n[g][langs.index(r.lang)] += 1
+            script[langid.script(w)][langs.index(r.lang)] += len(w)
+    total = sum(n.values()) + 0.5 * (len(n) + 1)
+    letters = sum(script.values())
+    scores = []
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    for w in words:
+        allowed = script[langid.script(w)] / letters >= 0.05
+        if not allowed.any():
+            scores.append(np.zeros(len(langs)))
+            continue
+        f = f" {w} "
+        s = sum(np.log((n.get(g, 0) + 0.5) / total) for g in [f[i : i + 3] for i in range(len(w))] + ([f] if len(f) > 3 else []))
+        best = max(x for x, ok in zip(s, allowed, strict=True) if ok)
+        scores.append(np.array([max(x - best, -cap) if ok else -2 * cap for x, ok in zip(s, allowed, strict=True)]))
+    value, paths = scores[0], [[k] for k in range(len(langs))]
+    for s in scores[1:]:
+        k = int(value.argmax())
+        paths = [[*(paths[j] if value[j] >= value[k] - switch else paths[k]), j] for j in range(len(langs))]
+        value = np.maximum(value, value[k] - switch) + s
+    labels = paths[int(value.argmax())]
+    share = np.bincount(labels, weights=[len(w) for w in words], minlength=len(langs))
+    return langs[int(share.argmax())], share.max() / share.sum()
+
+
+def test_language_predictions_match_plain_loops(spark, docs):
+    rows = [r for r in docs.collect() if r.text and len(r.text) < 6000 and max(map(len, re.findall(r"[^\W\d_]+", r.text)), default=0) < 60]
+    learn = [r for r in rows if r.lang is not None and not held_out(r.doc_id, 4)]
+    some = spark.createDataFrame(rows, docs.schema)
+    got = {r.doc_id: r for r in langid.predict(some, langid.train(some, common.crc_mod("doc_id", 4) != 2, most_grams=1 << 22)).collect()}
+    checked = 0
+    for r in rows[:60]:
+        if any(c.isalpha() for c in r.text):
+            pred, score = plain_language(rows, learn, r.text)
+            assert got[r.doc_id].lang_pred == pred and abs(got[r.doc_id].score - score) < 1e-6, r.doc_id
+            checked += 1
+    assert checked > 40
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10] * 3} {'uvwxyz'[i // 100] * 4} " * 3, f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True))
+    assert len(model.langs) == 300
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {i: x for i, _, x in rows}
 
 
 # ---- BPE
@@ -564,7 +715,9 @@ def test_quality_counts(docs, odd, nothing):
     assert quality.score(nothing).collect() == []
     kept = {r.doc_id for r in quality.score(docs).collect() if r.kept}
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
-    assert quality.keep_good(odd).columns == odd.columns
+    assert sorted(map(str, quality.keep_good(odd).collect())) == sorted(str(r) for r in odd.collect() if (r.doc_id, r.text) in {(x.doc_id, r.text) for x in quality.score(odd).collect() if x.kept})
+    assert quality.keep_good(nothing).collect() == []
+    assert quality.score(docs.withColumnRenamed("doc_id", "pattern"), id_col="pattern").columns[0] == "pattern"
 
 
 def test_quality_em_finds_planted_accuracies():
@@ -581,6 +734,67 @@ def test_quality_em_finds_planted_accuracies():
     said = np.array([p[k] for k in keys.tolist()]) >= 0.5
     assert (said == good).mean() > 0.97
     assert quality.fit({}) == {}
+    e = quality.estimate(Counter(keys.tolist()))
+    assert abs(e.good - 0.85) < 0.01 and np.allclose(e.bad_on_good, 0.01, atol=0.005) and np.allclose(e.bad_on_bad, 0.5 / 0.8 * 0.8, atol=0.2)
+
+
+def posteriors_by_hand(votes):
+    """Expectation-maximisation document by document: votes of -1, 0, 1."""
+    rules, good = range(len(votes[0])), [0.1 if -1 in v else 0.95 for v in votes]
+    for _ in range(500):
+        share = (sum(good) + 1) / (len(votes) + 2)
+        rate = {}
+        for y in (1, 0):
+            w = [g if y else 1 - g for g in good]
+            rate[y] = [(sum(x for x, v in zip(w, votes, strict=True) if v[j] < 0) + 1) / (sum(x for x, v in zip(w, votes, strict=True) if v[j]) + 2) for j in rules]
+        new = []
+        for v in votes:
+            one, two = share, 1 - share
+            for j in rules:
+                if v[j]:
+                    one *= rate[1][j] if v[j] < 0 else 1 - rate[1][j]
+                    two *= rate[0][j] if v[j] < 0 else 1 - rate[0][j]
+            new.append(one / (one + two))
+        if max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9:
+            break
+        good = new
+    return new
+
+
+def votes_by_hand(text):
+    words = [w for w in text.translate({c: 32 for c in range(9, 14)}).split(" ") if w]
+    n, chars = len(words), sum(map(len, words))
+    count = lambda s: sum(c in s for c in text)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    letters = upper + lower + sum(c >= "\xc0" for c in text)
+    lines = [x for x in text.split("\n") if any(c not in " \t\n\x0b\x0c\r" for c in x)]
+    dup, kinds = len(lines) - len(set(lines)), len(set(words))
+    mean, part = chars / max(n, 1), lambda a, b: a / max(b, 1)
+    rules = [
+        (mean > 15 or mean < 2, 3 <= mean <= 10),
+        (part(count("#*$%&|<>"), n) > 0.25, part(count("#*$%&|<>"), n) < 0.05),
+        (part(count("|"), n) > 0.2, part(count("|"), n) < 0.05),
+        (part(count("!?"), n) > 0.3, part(count("!?"), n) < 0.1),
+        (part(upper, upper + lower) > 0.5, part(upper, upper + lower) < 0.2),
+        (part(letters, chars) < 0.75, part(letters, chars) > 0.85),
+        (part(sum("0" <= c <= "9" for c in text), chars) > 0.3, part(sum("0" <= c <= "9" for c in text), chars) < 0.1),
+        (dup >= 3 and part(dup, len(lines)) > 0.3, part(dup, len(lines)) < 0.1),
+        (n >= 30 and kinds < 0.25 * min(n, 200), kinds >= 0.4 * min(n, 200)),
+    ]
+    return tuple(-1 if bad else int(good) for bad, good in rules)
+
+
+def test_quality_verdicts_match_a_model_document_by_document(spark):
+    rows = common.table(spark, "/root/testdata/sf0.01", "documents").collect()
+    ok = {}
+    for r in rows:
+        n, _, _, _, again = quality_by_hand(r.text)
+        if n >= 20 and 100 * again <= 30 * n:
+            ok[r.doc_id] = votes_by_hand(r.text)
+    want = dict(zip(ok, posteriors_by_hand(list(ok.values())), strict=True))
+    got = {r.doc_id: r for r in quality.score(common.table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    assert {i for i, r in got.items() if r.kept} == {i for i, x in want.items() if x >= 0.5}
+    assert all(abs(got[i].quality - x) < 1e-6 for i, x in want.items())
 
 
 def test_quality_separates_labelled_junk(spark):
