@@ -14,8 +14,8 @@ import functools
 import hashlib
 import heapq
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +33,6 @@ BEYOND_LATIN = re.compile("[^\x00-ʯ]")
 WORDS_LATIN = re.compile(rf"[{LATIN}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_N}]|[^{SPACE}{LATIN}{LATIN_N}]+")
 
 
-@functools.cache
-def _words_any() -> re.Pattern:
-    import regex
-
-    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+", regex.V0)
-
-
 @functools.cache
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves,
@@ -76,6 +69,15 @@ class Bpe:
         vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take blanks with them or are looked for after normalising aren't supported")
+        self.mark = os.path.commonprefix(list(self.added))  # a text without it holds no added token
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        #: Which characters are letters, numbers or white space, and what their lower case is, follows the library's Unicode version.
+        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        self.normalise = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"]), " "), normalizers.Lowercase()])
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.strings = [""] * size
@@ -135,16 +137,14 @@ class Bpe:
         return [s for s in sym if s >= 0]
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
         lower = text.lower()
-        if BEYOND_LATIN.search(lower):
-            return _words_any().findall(text.replace("Σ", "σ").lower() if "Σ" in text else lower)  # no final sigma here
-        return WORDS_LATIN.findall(lower)
+        if not text.isascii() and (BEYOND_LATIN.search(text) or BEYOND_LATIN.search(lower)):
+            return [w for w, _ in self.split.pre_tokenize_str(self.normalise.normalize_str(text))]
+        return WORDS_LATIN.findall(lower)  # up to U+02AF all characters are composed
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self.split_added and "<|" in text:
+        if self.split_added and self.mark in text:
             return b"".join(np.array([self.added[p]], "<u4").tobytes() if p in self.added else self._plain(p) for p in self.split_added.split(text))
         return self._plain(text)
 
