@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import lzma
@@ -58,47 +59,70 @@ def find(text: str, lower: str | None = None, runs: bool = True) -> list[Span]:
 
 
 class Layer:
-    """A decoded text with the span of the original that each of its characters comes from."""
+    """A decoded text and the places of the original that its characters come from, in runs.
 
-    __slots__ = ("text", "lo", "hi", "whole")
+    Run i goes from ``starts[i]`` on: where ``his[i]`` is negative, its characters are those of the original from ``los[i]``
+    on, one by one; otherwise it is what the original from ``los[i]`` to ``his[i]`` stands for. Without runs the text is the
+    original itself; ``whole`` is the one span that all characters come from.
+    """
+
+    __slots__ = ("text", "starts", "los", "his", "whole")
 
-    def __init__(self, text: str, lo: list[int] | None, hi: list[int] | None, whole: tuple[int, int] | None = None):
-        self.text, self.lo, self.hi, self.whole = text, lo, hi, whole  # whole: the one span that all characters come from
+    def __init__(self, text: str, runs: tuple[list[int], list[int], list[int]] | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.whole = text, whole
+        self.starts, self.los, self.his = runs or (None, None, None)
 
     def key(self) -> bytes:
-        ends = self.whole or ((self.lo[:1], self.hi[-1:]) if self.lo is not None else ([0], [len(self.text)]))
+        ends = self.whole or (self.span(0, len(self.text)) if self.text else (0, 0))
         return hashlib.sha256(repr((ends, self.text)).encode()).digest()
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the original behind characters ``start`` to ``end``; places never go back."""
         if self.whole is not None:
             return self.whole
-        if self.lo is None:
+        if self.starts is None:
             return start, end
-        return min(self.lo[start:end]), max(self.hi[start:end])
+        i, j = bisect.bisect_right(self.starts, start) - 1, bisect.bisect_right(self.starts, end - 1) - 1
+        low = self.los[i] + (start - self.starts[i] if self.his[i] < 0 else 0)
+        return low, self.his[j] if self.his[j] >= 0 else self.los[j] + end - self.starts[j]
 
     def replaced(self, parts: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
         """This layer with each (start, end) in the place of its decoded characters (character, start, end in this layer)."""
-        text, lo, hi, at = [], [], [], 0
+        text, at, size = [], 0, 0
+        runs: tuple[list[int], list[int], list[int]] = ([], [], [])
+
+        def keep(a: int, b: int) -> None:
+            nonlocal size
+            text.append(self.text[a:b])
+            if a < b and self.starts is None:
+                self._put(runs, size, a, -1)
+            elif a < b:
+                for i in range(bisect.bisect_right(self.starts, a) - 1, len(self.starts)):
+                    s = max(self.starts[i], a)
+                    if s >= b:
+                        break
+                    self._put(runs, size + s - a, self.los[i] + (s - self.starts[i] if self.his[i] < 0 else 0), self.his[i])
+            size += b - a
+
         if self.whole is not None:
             for start, end, chars in parts:
                 text += [self.text[at:start], *(c for c, _, _ in chars)]
                 at = end
-            return Layer("".join(text) + self.text[at:], None, None, self.whole)
-        own_lo = range(len(self.text)) if self.lo is None else self.lo
-        own_hi = range(1, len(self.text) + 1) if self.hi is None else self.hi
+            return Layer("".join(text) + self.text[at:], None, self.whole)
         for start, end, chars in parts:
-            text.append(self.text[at:start])
-            lo.extend(own_lo[at:start])
-            hi.extend(own_hi[at:start])
+            keep(at, start)
             for c, a, b in chars:
                 text.append(c)
-                lo.append(min(own_lo[a:b]))
-                hi.append(max(own_hi[a:b]))
+                self._put(runs, size, *self.span(a, b))
+                size += len(c)
             at = end
-        text.append(self.text[at:])
-        lo.extend(own_lo[at:])
-        hi.extend(own_hi[at:])
-        return Layer("".join(text), lo, hi)
+        keep(at, len(self.text))
+        return Layer("".join(text), runs)
+
+    @staticmethod
+    def _put(runs: tuple[list[int], list[int], list[int]], start: int, lo: int, hi: int) -> None:
+        for x, value in zip(runs, (start, lo, hi), strict=True):
+            x.append(value)
 
 
 def _percent(m: re.Match) -> list[tuple[str, int, int]]:
@@ -273,13 +297,13 @@ def _decoded(layer: Layer, loose: bool, left: set[bytes]) -> Iterator[tuple[Laye
         for a, b in pieces:
             if raw := _unbase64(layer.text[a:b]):
                 for x in _texts(raw, left):
-                    yield Layer(x, None, None, layer.span(a, b)), loose
+                    yield Layer(x, None, layer.span(a, b)), loose
     if "\n" in layer.text:
         for m in WRAPPED.finditer(layer.text):
             for run, a, b, wide in _wrapped(m):
                 if raw := _unbase64(run):
                     for x in _texts(raw, left):
-                        yield Layer(x, None, None, layer.span(a, b)), loose or wide
+                        yield Layer(x, None, layer.span(a, b)), loose or wide
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
@@ -292,25 +316,48 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
         return base, base, 0
     found, left = set(base), set()
     weak: set[Span] = set()  # finds whose place may be too long
-    seen = {(False, Layer(text, None, None).key())}
-    work = [iter([(Layer(text, None, None), False)])]  # depth first: windows of a large layer come one by one
+    seen = {(False, Layer(text).key())}
+    work = [iter([(Layer(text), False)])]  # depth first: windows of a large layer come one by one
     while work:
         if (got := next(work[-1], None)) is None:
             work.pop()
             continue
         layer, loose = got
-        if layer.lo is not None or layer.whole is not None:  # not the text itself
+        if layer.starts is not None or layer.whole is not None:  # not the text itself
             if (key := (loose, layer.key())) in seen:
                 continue
             seen.add(key)
             (weak if loose else found).update((kind, *layer.span(a, b)) for kind, a, b in find(layer.text))
         work.append(_decoded(layer, loose, left))
-    found.update({w for w in weak if not any(w[0] == t[0] and w[1] <= t[1] and t[2] <= w[2] for t in found)})
-    skipped = len(left)
+    found |= _without(weak, found)
     rank = {k: i for i, k in enumerate(KINDS)}
-    own = set(base)  # of the others, one that lies in a longer find of its kind says nothing new
-    found = {s for s in found if s in own or not any(s != t and s[0] == t[0] and t[1] <= s[1] and s[2] <= t[2] for t in found)}
-    return base, sorted(found, key=lambda s: (s[1], rank[s[0]], s[2])), skipped
+    found -= _inner(found) - set(base)  # beside the text's own finds, one that lies in a longer find of its kind says nothing new
+    return base, sorted(found, key=lambda s: (s[1], rank[s[0]], s[2])), len(left)
+
+
+def _without(weak: set[Span], found: set[Span]) -> set[Span]:
+    """Those of ``weak`` that hold no find of the same kind."""
+    out = set()
+    for kind in KINDS if weak else ():
+        spans = sorted((a, b) for k, a, b in found if k == kind)
+        starts, least = [a for a, _ in spans], [b for _, b in spans]  # least: the first end among the finds from here on
+        for i in range(len(least) - 2, -1, -1):
+            least[i] = min(least[i], least[i + 1])
+        for w in weak:
+            i = bisect.bisect_left(starts, w[1])
+            if w[0] == kind and (i == len(starts) or least[i] > w[2]):
+                out.add(w)
+    return out
+
+
+def _inner(found: set[Span]) -> set[Span]:
+    """The spans that lie in another one of their kind."""
+    out, most = set(), dict.fromkeys(KINDS, -1)
+    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
+        if b <= most[kind]:
+            out.add((kind, a, b))
+        most[kind] = max(most[kind], b)
+    return out
 
 
 def joined(spans: list[Span]) -> str:
@@ -352,7 +399,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, mask: str = "[secret]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with every span in the text replaced by ``mask``; overlapping spans get one mask.
 
-    ``length_col``, where the table has it, is set to the new length of each text that changed.
+    ``length_col``, where the table has it, is set to the new length of each text that changed. Null and empty texts stay as
+    they are, as do all rows without a find; null or repeated ids don't matter; extra columns may have any names; an empty
+    table gives an empty result.
     """
     common.ship(docs.sparkSession)
     place = docs.columns.index(text_col)
