@@ -29,6 +29,8 @@ LANES, STEPS, SEGMENTS = 256, 128, 2  # a block: LANES * STEPS * SEGMENTS ids
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 CHUNK_IDS = 1 << 20
+#: Range partitions of a folder: what readers and the driver hold of each is one number.
+MOST_PARTITIONS = 1 << 16
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -137,17 +139,18 @@ def _table(raw: bytes) -> Table:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, ids binary (little-endian uint16)`` of each row, materialised in the shared folder."""
+    """``doc_id, ids binary (little-endian uint16), row`` (a number) of each row, materialised in the shared folder."""
     kind = docs.select(id_col).dtypes[0][1]
     common.ship(docs.sparkSession)
     tail = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = tokens.load(path, "<u2")
+        ids_of, row = tokens.load(path, "<u2"), TaskContext.get().partitionId() << 40
         for b in common.slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + tail for x in ids_of.encode(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + tail for x in ids_of.encode(b.column(1).to_pylist())], pa.binary()), pa.array(range(row, row + b.num_rows), pa.int64())], names=["doc_id", "ids", "row"])
+            row += b.num_rows
 
-    return common.materialise(docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary"), "ids")
+    return common.materialise(docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary, row long"), "ids")
 
 
 def frequencies(ids: DataFrame, size: int) -> np.ndarray:
@@ -169,9 +172,10 @@ def frequencies(ids: DataFrame, size: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, end_id: int | None, folder: str, size: int = 65536, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text into ``folder``: ``chunks`` (part, chunk, part_start, n, doc_ids, lengths, payload, CRCs) and ``table`` (freq).
 
-    Documents come in ascending id order, null ids first, rows of equal id in the order of their ids' bytes. A null text
-    counts as empty. Extra columns are ignored. An empty table gives files without chunks. ``partitions``: of the range
-    partitioning by id; by default one for each 32 MB of ids.
+    Documents come in ascending id order, null ids first, rows of equal id in the order they were read in; many rows of one
+    id are dealt over several partitions. A null text counts as empty. Extra columns are ignored. An empty table gives files
+    without chunks. ``partitions``: of the range partitioning; by default one for each 32 MB of ids, ``MOST_PARTITIONS`` at
+    most, beyond which partitions, whose chunks are made one by one, grow.
     """
     spark = docs.sparkSession
     ids = tokenised(docs, path, end_id, id_col, text_col)
@@ -179,7 +183,7 @@ def write(docs: DataFrame, path: str, end_id: int | None, folder: str, size: int
     spark.createDataFrame([(freq.astype("<i8").tobytes(),)], "freq binary").coalesce(1).write.parquet(f"{folder}/table")
     if partitions is None:
         total = ids.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
-        partitions = max(2, -(-total // (32 << 20)))
+        partitions = min(MOST_PARTITIONS, max(2, -(-total // (32 << 20))))
     kind = ids.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(freq.astype("<i8").tobytes())
 
@@ -206,8 +210,8 @@ def write(docs: DataFrame, path: str, end_id: int | None, folder: str, size: int
             yield out()
 
     (
-        ids.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+        ids.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), "row")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
         .mapInArrow(run, f"part long, chunk long, part_start long, n long, doc_ids array<{kind}>, lengths array<long>, payload binary, payload_crc32 long, ids_crc32 long")
         .write.option("compression", "none")
         .parquet(f"{folder}/chunks")
@@ -218,7 +222,8 @@ def write(docs: DataFrame, path: str, end_id: int | None, folder: str, size: int
 def read(spark, folder: str) -> DataFrame:
     """Decode the files: ``doc_id, start, n_tokens, ids_crc32, ids binary (little-endian uint32)`` of each document.
 
-    A checksum that doesn't hold raises an error. What reaches the driver is one number for each range partition.
+    A checksum that doesn't hold raises an error. What reaches the driver and every task is one number for each range
+    partition, of which there are ``MOST_PARTITIONS`` at most.
     """
     chunks = spark.read.parquet(f"{folder}/chunks")
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
@@ -226,7 +231,7 @@ def read(spark, folder: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(raw)
     sums = chunks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     base, bases = 0, {}
-    for r in sums:  # one number for each range partition
+    for r in sums:
         bases[r.part] = base
         base += r.n
     starts = spark.sparkContext.broadcast(bases)
