@@ -156,8 +156,8 @@ def usable(vector: Column) -> Column:
 def search(vectors: DataFrame, is_query: Column, k: int = 10, most_queries: int = 1 << 15, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` highest scores of each query against every row but its own: ``query_id, rank, vec_id, score``.
 
-    Ties go to the smaller id. Queries are taken ``most_queries`` at a time, in blocks that bound what the driver and a
-    broadcast hold; every block meets all rows. Null vectors, and vectors with null, NaN or infinite components, take
+    Ties go to the smaller id. Queries are taken about ``most_queries`` at a time, each block searched and
+    written before the next, which bounds what the driver and a broadcast hold; every block meets all rows. Null vectors, and vectors with null, NaN or infinite components, take
     no part, nor do rows with a null id. A listed score that a long can't hold is an error. Rows that share a query's id are its own; of several rows with
     a query's id the least vector asks. Missing components of shorter vectors count as zero. Extra columns are ignored;
     an empty table gives an empty result.
@@ -168,13 +168,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, most_queries: int
     asking = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     total, dims = asking.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-total // most_queries))
-    found = [_one(rows, asking.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), dims or 1, k) for i in range(blocks)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+    found = [common.materialise(_one(rows, asking.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), dims or 1, k), "found") for i in range(blocks)]
+    out = spark.read.schema(found[0].schema).parquet(*(x._table for x in found))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     fits = F.when(F.abs("score") < BEYOND, F.col("score")).otherwise(F.raise_error(F.lit("a score of the top k is too large for a long")).cast("long"))
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
+    return common.result(out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score")), "top", *found)
 
 
 def _one(rows: DataFrame, asking: DataFrame, dims: int, k: int) -> DataFrame:
