@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ESCAPE = "\\"
+
 
 @dataclass(frozen=True)
 class Template:
@@ -38,24 +40,31 @@ class Template:
     )
     final: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self):
+        if any(ESCAPE in s or not s for s in self.control):
+            raise ValueError("a control string is empty or holds the escape character")
+
+    def code(self, i: int) -> str:
+        """What stands for control string number i in a text (0: the escape character itself); all are equally long."""
+        return f"{ESCAPE}{i:0{len(f'{len(self.control):x}')}x}"
+
 
 DEFAULT = Template()
-ESCAPE = "\\"
 REFUSED = ""  # the state after a turn out of order
 
 
 def escape(c: Column, t: Template = DEFAULT) -> Column:
-    """A backslash becomes ``\\0`` and control string number i ``\\i``."""
-    c = F.replace(c, F.lit(ESCAPE), F.lit(ESCAPE + "0"))
+    """A backslash becomes ``\\0`` and control string number i ``\\i``, in hexadecimal digits of one width."""
+    c = F.replace(c, F.lit(ESCAPE), F.lit(t.code(0)))
     for i, s in enumerate(t.control, 1):
-        c = F.replace(c, F.lit(s), F.lit(f"{ESCAPE}{i:x}"))
+        c = F.replace(c, F.lit(s), F.lit(t.code(i)))
     return c
 
 
 def unescape(c: Column, t: Template = DEFAULT) -> Column:
     for i, s in enumerate(t.control, 1):
-        c = F.replace(c, F.lit(f"{ESCAPE}{i:x}"), F.lit(s))
-    return F.replace(c, F.lit(ESCAPE + "0"), F.lit(ESCAPE))
+        c = F.replace(c, F.lit(t.code(i)), F.lit(s))
+    return F.replace(c, F.lit(t.code(0)), F.lit(ESCAPE))
 
 
 def _role_name(c: Column, t: Template) -> Column:
@@ -77,8 +86,9 @@ def format_chats(chats: DataFrame, template: Template = DEFAULT, id_col: str = "
     """One row for each conversation: ``id_col, segments array<struct<text, loss>>, formatted, n_turns, valid, first_bad_turn``.
 
     Turns come in the order of ``turn_col`` (nulls first), equal ones by role and text. A null role or text counts as
-    empty; a null id is a conversation of its own; extra columns are ignored; an empty table gives an empty result. A
-    conversation out of order is formatted like any other: ``valid`` is false and ``first_bad_turn`` the position (from
+    empty; each row with a null id is a conversation of its own, as nothing says which belong together; repeated rows are
+    turns of their own; extra columns are ignored; an empty table gives an empty result. A conversation is one row, however
+    long: its turns have to fit a task. A conversation out of order is formatted like any other: ``valid`` is false and ``first_bad_turn`` the position (from
     0) of the first turn that the state machine refuses, or the number of turns if only the ending is wrong.
     """
     t = template
@@ -87,7 +97,8 @@ def format_chats(chats: DataFrame, template: Template = DEFAULT, id_col: str = "
         F.col(id_col).alias("id"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text")).alias("x"),
     )
-    grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
+    grouped = rows.filter("id IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
+    grouped = grouped.unionByName(rows.filter("id IS NULL").select("id", F.array("x").alias("turns")))
 
     def parts(x: Column) -> Column:
         role, text = x["role"], escape(x["text"], t)
@@ -140,6 +151,12 @@ def read_back(formatted: Column, template: Template = DEFAULT) -> Column:
     return F.transform(turns, parse)
 
 
+def loss_turns(turns: Column, template: Template = DEFAULT) -> Column:
+    """All text under the loss mask of turns that ``read_back`` returned."""
+    lossy = [name for name, (_, _, loss) in template.turns.items() if loss]
+    return F.concat_ws("", F.transform(F.filter(turns, lambda x: x["role"].isin(*lossy)), lambda x: x["text"]))
+
+
 def loss_text(segments: Column, template: Template = DEFAULT) -> Column:
     """All text under the loss mask, unescaped."""
     return F.concat_ws("", F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)))

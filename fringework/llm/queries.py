@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +33,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     out = chat.format_chats(rows.unionByName(own))
     turns = chat.read_back(F.col("formatted"))
-    out = out.withColumns({"turns": turns, "loss": chat.loss_text(F.col("segments"))})
+    out = out.withColumn("turns", turns).withColumn("loss", chat.loss_turns(F.col("turns")))
     said = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
@@ -59,7 +58,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{common.shared_dir(spark)}/fringework-rans-{uuid.uuid4().hex}"
+    folder = common.new_path(spark, "rans")
     ans.write(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, folder)
     return ans.read(spark, folder).drop("ids")
 
@@ -91,15 +90,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": f"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
 x AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
     string_agg(role, ',' ORDER BY turn, role, text) AS roles,
     sum(length({_escaped("text")}) + CASE role {marks} ELSE {other} + length(replace({_escaped("role")}, chr(10), '\\n')) END) AS formatted_chars
-  FROM r GROUP BY conv_id)
+  FROM r GROUP BY conv_id, alone)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
   regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS valid
