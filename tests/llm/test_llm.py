@@ -10,6 +10,7 @@ import math
 import random
 import re
 import tarfile
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -344,6 +345,27 @@ def test_chat_order(spark):
     assert chat.format_chats(empty).collect() == []
 
 
+def test_chat_of_many_controls_and_odd_rows(spark):
+    """Over 16 control strings, rows without an id, repeated rows, and a very long text, read back and under the loss mask."""
+    wide = chat.Template(control=(*chat.DEFAULT.control, *(f"<c{i}>" for i in range(20))))
+    texts = ["".join(f"<c{i}>\\{i:x}" for i in range(20)), "\\01\\1<s>" * 3, "word </s> " * 300_000, "", None]
+    rows = [(i, t, r, x) for i, x in enumerate(texts) for t, r in enumerate(["user", "assistant"])]
+    rows += [(None, 0, "user", "first"), (None, 0, "user", "first"), (None, 1, "assistant", "second"), (9, 0, "user", "twice"), (9, 0, "user", "twice"), (9, None, None, "no turn")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in CLASH})
+    for t in (wide, chat.DEFAULT):
+        back = chat.read_back(F.col("formatted"), t)
+        out = chat.format_chats(df, t).select("conv_id", back.alias("back"), chat.loss_turns(back, t).alias("a"), chat.loss_text(F.col("segments"), t).alias("b")).collect()
+        got = Counter((r.conv_id, tuple((x.role, x.text) for x in r.back)) for r in out)
+        want = Counter({(i, (("user", x or ""), ("assistant", x or ""))): 1 for i, x in enumerate(texts)})
+        want[None, (("user", "first"),)] += 2
+        want[None, (("assistant", "second"),)] += 1
+        want[9, (("", "no turn"), ("user", "twice"), ("user", "twice"))] += 1
+        assert got == want
+        assert all(r.a == r.b == "".join(x.text for x in r.back if x.role == "assistant") for r in out)
+    with pytest.raises(ValueError):
+        chat.Template(control=("a\\b",))
+
+
 # ---- packing
 
 
@@ -377,6 +399,16 @@ def test_packing(docs, per_task):
     assert len(by) <= 1.1 * math.ceil(total / 2048) + 2
 
 
+def test_packing_in_many_tasks_is_near_the_lower_bound(spark):
+    """Dealt to over 40 tasks and merged in a tree, the sequences are hardly more than all tokens need."""
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, "the " * min(6000, int(r.lognormvariate(5.5, 1.2)))) for i in range(6000)], "doc_id long, text string")
+    rows = packing.pack(docs, P.path("word_bpe_49k.json"), per_task=128).collect()
+    total = sum(x.length for x in rows)
+    by = check_packing(rows, total)
+    assert len(by) <= 1.005 * math.ceil(total / 2048) + 2
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit([5, 5, 4, 3, 3], 10)
     assert sorted(fills) == [10, 10] and bins[0] == bins[1] and offsets[:2] == [0, 5]
@@ -457,10 +489,64 @@ def test_secret_base_spans():
     assert secretscan.masked("a token=abcdefgh b", [("assign", 2, 16)], "[x]") == "a [x] b"
 
 
+def base_by_hand(text):
+    found = {
+        "assign": [m for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8],
+        "access": [m for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16],
+        "hex": [m for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32],
+    }
+    spans = sorted((m.start(), k, m.end()) for k, kind in enumerate(secretscan.KINDS) for m in found[kind])
+    return [len(found[k]) for k in secretscan.KINDS], ",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_secrets_of_all_documents(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    want = {}
+    for r in docs.collect():
+        n, said = base_by_hand(r.text or "")
+        want[r.doc_id] = (*n, hashlib.sha256(said.encode()).hexdigest(), said)
+    assert sum(sum(x[:3]) for x in want.values()) > 20
+    for r in secretscan.report(docs).collect():
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == want[r.doc_id][:4]
+        assert set(want[r.doc_id][4].split(",")) <= set(r.spans.split(",")) and not r.n_skipped
+
+
+def test_places_of_decoded_characters():
+    """Runs of places against a list with the place of every character, over several rounds of escapes."""
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice(["ab ", "%41", "%2541", "\\u0062", "é", "%C3%A9", "%25u", "\\x2541", "&#37;42"]) for _ in range(r.randint(0, 12)))
+        layer, places = secretscan.Layer(text), [(i, i + 1) for i in range(len(text))]
+        for _ in range(4):
+            kind, split = r.choice([(secretscan.PERCENT, secretscan._percent), (secretscan.ESCAPE, secretscan._escapes)])
+            parts = [(*m.span(), split(m)) for m in kind.finditer(layer.text)]
+            new, at = [], 0
+            for start, end, chars in parts:
+                new += places[at:start] + [(places[a][0], places[b - 1][1]) for c, a, b in chars for _ in c]
+                at = end
+            places = new + places[at:]
+            layer = layer.replaced(parts)
+            assert len(layer.text) == len(places)
+            for _ in range(5):
+                if places:
+                    i, j = sorted(r.sample(range(len(places) + 1), 2))
+                    assert layer.span(i, j) == (min(p[0] for p in places[i:j]), max(p[1] for p in places[i:j]))
+
+
+def test_secrets_in_very_long_texts_and_in_great_numbers():
+    began = time.time()
+    text = "some words go on " * 1_200_000 + "%41 password=hunter2hunter2"
+    assert secretscan.scan(text)[1] == [("assign", len(text) - 23, len(text))]
+    one = base64.b64encode(b"my password=hunter2hunter2 ok").decode()
+    many = " ".join([one] * 8000)
+    assert len(secretscan.scan(many)[1]) == 8000
+    assert time.time() - began < 60
+
+
 def test_secret_odd_rows(odd, nothing):
     rows = secretscan.report(odd).collect()
     assert len(rows) == len(ODD) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in rows)
-    assert secretscan.report(nothing).collect() == []
+    assert secretscan.report(nothing).collect() == [] and secretscan.redact(nothing).collect() == []
     same = secretscan.redact(odd)
     assert same.columns == odd.columns and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
 
@@ -622,6 +708,16 @@ def test_bpe_equals_the_library():
         assert np.frombuffer(pieces.encode([x])[0], "<u2").tolist() == b.encode(x, add_special_tokens=False).ids, x
 
 
+def test_bpe_equals_the_library_on_every_character():
+    path = P.path("word_bpe_49k.json")
+    t, own, words = Tokenizer.from_file(path), bpe.load(path), tokens.load(path)
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} '{chr(c)}" for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts += [f"{x}{y}" for x in "aeoυ가ὰ" for y in map(chr, range(0x300, 0x370))]
+    for x, e, y in zip(texts, t.encode_batch(texts, add_special_tokens=False), words.encode(texts), strict=True):
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == e.ids, [f"{ord(c):x}" for c in x]
+        assert np.frombuffer(y, "<u4").tolist() == e.ids, [f"{ord(c):x}" for c in x]
+
+
 def test_bpe_rows(docs, odd, nothing):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     for df in (docs, odd):
