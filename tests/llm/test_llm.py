@@ -117,7 +117,7 @@ def test_hmm_forward_and_counts_match_plain_recursions(most):
     assert abs(moves.sum() - (len(flat) - len(seqs))) < 0.01  # a whole text starts once
 
 
-def model_by_hand(rows, training, states, rounds, most_head, prior=2000.0):
+def model_by_hand(rows, training, states, rounds, most_head, all_words, prior=2000.0):
     """The whole operator in plain loops: doc_id -> log10 probability."""
     lists = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
     c = Counter(w for i, ws in lists if training(i) for w in ws)
@@ -149,7 +149,7 @@ def model_by_hand(rows, training, states, rounds, most_head, prior=2000.0):
     for i, ws in lists:
         log, a = 0.0, None
         for w in ws:
-            e = model.emit[number[w]] if w in number else model.emit[other] * (c[w] + 1) / part * (ratio[w] * all_ / total if w in ratio else 1)
+            e = model.emit[number[w]] if w in number else model.emit[other] * (c[w] + 1) / part * (ratio[w] * all_ / total if all_words and w in ratio else 1)
             a = (model.start if a is None else a @ model.move) * e
             log += math.log10(a.sum())
             a = a / a.sum()
@@ -157,11 +157,11 @@ def model_by_hand(rows, training, states, rounds, most_head, prior=2000.0):
     return out
 
 
-@pytest.mark.parametrize("most_head", [1 << 16, 150])
-def test_lm_scores_match_a_model_in_plain_loops(spark, docs, most_head):
+@pytest.mark.parametrize(("most_head", "all_words"), [(1 << 16, False), (150, False), (150, True)])
+def test_lm_scores_match_a_model_in_plain_loops(spark, docs, most_head, all_words):
     some = docs.filter("doc_id % 5 = 0")  # plain loops are slow
-    got = {r.doc_id: r.score for r in hmm.score(some, common.crc_mod("doc_id", 7) != 2, states=3, rounds=2, most_head=most_head).collect()}
-    want = model_by_hand([(r.doc_id, r.text) for r in some.collect()], lambda i: not held_out(i, 7), 3, 2, most_head)
+    got = {r.doc_id: r.score for r in hmm.score(some, common.crc_mod("doc_id", 7) != 2, states=3, rounds=2, most_head=most_head, all_words=all_words).collect()}
+    want = model_by_hand([(r.doc_id, r.text) for r in some.collect()], lambda i: not held_out(i, 7), 3, 2, most_head, all_words)
     assert got.keys() == want.keys()
     for i, x in want.items():
         assert abs(got[i] - x) < 2e-4 * abs(x) + 1e-3
@@ -192,7 +192,7 @@ def test_lm_head_and_tail_make_a_distribution(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "a b", "a x y z", "b b a"])], "doc_id long, text string")
     voc = hmm.count_words(df, F.lit(True), most_head=2)
     assert voc.tokens == 16 and voc.words == 7 and len(voc.head) <= 2
-    model, words = hmm.train(hmm.encode(df, voc, {}), voc, states=2, rounds=2)
+    model, words = hmm.train(hmm.encode(df, voc, {}), voc, states=2, rounds=2, all_words=True)
     part = voc.tail_tokens + voc.tail_words + 1
     rows = hmm.tail_emissions(words, voc, 2).collect()
     assert {r.word for r in rows} == {r.word for r in voc.counts.collect()} - set(voc.head)
@@ -212,7 +212,9 @@ def test_lm_end_outside_the_head(spark):
 def test_lm_odd_rows(odd, nothing):
     rows = hmm.score(odd, common.crc_mod("doc_id", 7) != 2, states=2, rounds=1).collect()
     assert sorted(r.n_tokens for r in rows) == sorted(len((t or "").split()) + 1 for _, t, *_ in ODD)
-    assert hmm.score(nothing, F.lit(True), states=2, rounds=1).collect() == []
+    for all_words in (False, True):
+        assert hmm.score(nothing, F.lit(True), states=2, rounds=1, all_words=all_words).collect() == []
+    assert len(hmm.score(odd, F.lit(True), states=2, rounds=1, most_head=2, all_words=True).collect()) == len(ODD)
     none = hmm.score(odd, F.lit(False), states=2, rounds=1).collect()
     assert len(none) == len(ODD) and all(r.base_score == 0 and r.n_known == 0 for r in none)
 
