@@ -294,7 +294,8 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
     if not langs:
         return Model([], [], np.zeros((1, 0)), {}, **options)
     shares = spark.createDataFrame([(x, min(1.0, per_lang / n)) for x, n in sizes], "lang string, share double")
-    sample = own.join(shares, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    few = len(sizes) <= 100_000  # what the driver holds of each language is far more than its share
+    sample = own.join(F.broadcast(shares) if few else shares, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
