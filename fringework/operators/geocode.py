@@ -67,6 +67,24 @@ class Orbit:
         return t, np.sqrt(((points - p) ** 2).sum(-1))
 
 
+#: State vectors that one model may hold: four months of them at 10 s.
+MOST_VECTORS = 1_000_000
+
+
+def orbit_model(orbit: DataFrame) -> Orbit:
+    """The orbit of one scene as a model that is sent to the tasks. More than ``MOST_VECTORS`` state vectors are an error: such
+    a table holds several scenes' orbits, of which ``around`` takes the ones of a scene."""
+    if orbit.count() > MOST_VECTORS:
+        raise ValueError(f"an orbit has at most {MOST_VECTORS} state vectors")
+    rows = orbit.orderBy("clock").toPandas()
+    return Orbit(rows["clock"].to_numpy(), rows[["px", "py", "pz"]].to_numpy(), rows[["vx", "vy", "vz"]].to_numpy())
+
+
+def around(orbit: DataFrame, start: float, stop: float, margin: float = 600.0) -> DataFrame:
+    """The state vectors from ``margin`` seconds before ``start`` to as many after ``stop`` (seconds)."""
+    return orbit.filter(F.col("clock").between(start - margin, stop + margin))
+
+
 def to_radar(points: DataFrame, orbit: DataFrame, params: Mapping[str, float], keep_outside: bool = False) -> DataFrame:
     """``rng, azi`` pixel coordinates (and ``slant`` metres) of rows with lon, lat and height ``ele`` by the zero-Doppler condition.
 
@@ -74,8 +92,7 @@ def to_radar(points: DataFrame, orbit: DataFrame, params: Mapping[str, float], k
     outside ``num_lines`` x ``num_rng_bins`` go unless ``keep_outside``.
     """
     shared.ship(points.sparkSession)
-    rows = orbit.orderBy("clock").limit(100_000).toPandas()  # a pass of an orbit; the limit bounds it at 11 days
-    model = Orbit(rows["clock"].to_numpy(), rows[["px", "py", "pz"]].to_numpy(), rows[["vx", "vy", "vz"]].to_numpy())
+    model = orbit_model(orbit)
     prf, t0 = params["PRF"], params["clock_start"] * 86400
     step = SPEED_OF_LIGHT / params["rng_samp_rate"] / 2
 
@@ -147,8 +164,7 @@ def geocode_points(points: DataFrame, dem: DataFrame, grid: Grid, orbit: DataFra
 def look_vectors(points: DataFrame, orbit: DataFrame) -> DataFrame:
     """Unit vectors ``look_E, look_N, look_U`` from each ground point (lon, lat, ele) to the satellite."""
     shared.ship(points.sparkSession)
-    rows = orbit.orderBy("clock").limit(100_000).toPandas()
-    model = Orbit(rows["clock"].to_numpy(), rows[["px", "py", "pz"]].to_numpy(), rows[["vx", "vy", "vz"]].to_numpy())
+    model = orbit_model(orbit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringework import shared
+from fringework.operators.inversion import dense, spread
 
 
 def weekly(first: date, last: date, freq: str = "W") -> list[date]:
@@ -159,29 +160,27 @@ def nearest_index(dates: list[date], regular: list[date]) -> np.ndarray:
     return np.searchsorted(middle, b, side="left")
 
 
-def stl(stack: DataFrame, value: str = "displacement", freq: str = "W", period: int = 52, robust: bool = False) -> DataFrame:
+def stl(stack: DataFrame, value: str = "displacement", freq: str = "W", period: int = 52, robust: bool = False, dates: list[date] | None = None) -> DataFrame:
     """``date (regular), y, x, trend, seasonal, resid`` from ``date, y, x, value``; a pixel with a missing date gives NULLs.
 
-    A pixel's dates are packed into one row, as many as the stack has dates.
+    A pixel's dates are packed into one row, as many as the stack has dates. ``dates``: those of the stack, which spares a
+    pass over it to find them.
     """
-    shared.ship(stack.sparkSession)
+    spark = stack.sparkSession
+    shared.ship(spark)
     days = stack.withColumn("date", F.col("date").cast("date"))
-    dates = sorted(r.date for r in days.select("date").distinct().collect())  # one for each scene
-    regular = weekly(dates[0], dates[-1], freq) if dates else []
-    pick = nearest_index(dates, regular) if dates else np.zeros(0, int)
-    number = {d: i for i, d in enumerate(dates)}
-    rows = days.groupBy("y", "x").agg(F.collect_list(F.struct("date", F.col(value).cast("double").alias("v"))).alias("s"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, n = Stl(len(regular), period, robust=robust), len(regular)
+    known = sorted(dates) if dates is not None else sorted(r.date for r in days.select("date").distinct().collect())  # one for each scene
+    regular = weekly(known[0], known[-1], freq) if known else []
+    pick = nearest_index(known, regular) if known else np.zeros(0, int)
+    number = F.broadcast(spark.createDataFrame(list(zip(known, range(len(known)), strict=True)), "date date, k int"))
+    rows = days.join(number, "date").groupBy("y", "x").agg(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v"))).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Stl(len(regular), period, robust=robust)
         for b in batches:
-            v = np.full((len(b), len(dates)), np.nan)
-            for i, s in enumerate(b["s"]):
-                for r in s:
-                    v[i, number[r["date"]]] = np.nan if r["v"] is None else r["v"]
-            trend, season, rest = model(np.where(np.isnan(v).any(1)[:, None], np.nan, v)[:, pick])
-            yield pd.DataFrame({"date": regular * len(b), "y": np.repeat(b["y"].to_numpy(), n), "x": np.repeat(b["x"].to_numpy(), n), "trend": trend.reshape(-1), "seasonal": season.reshape(-1), "resid": rest.reshape(-1)})
+            (v,) = dense(b.column(2), len(known), "v")
+            found = model(np.where(np.isnan(v).any(1)[:, None], np.nan, v)[:, pick])
+            yield spread(b, {"date": regular}, {k: pa.array(a.reshape(-1), from_pandas=True) for k, a in zip(("trend", "seasonal", "resid"), found, strict=True)})
 
     y, x = (stack.schema[c].dataType.simpleString() for c in "yx")
-    out = rows.mapInPandas(run, f"date date, y {y}, x {x}, trend double, seasonal double, resid double")
-    return out.select("date", "y", "x", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("trend", "seasonal", "resid")))
+    return rows.mapInArrow(run, f"date date, y {y}, x {x}, trend double, seasonal double, resid double")

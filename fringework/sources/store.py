@@ -55,9 +55,13 @@ class Store:
         out = self.open_cube(name)
         return out if keys is None else out.filter(F.col(key).isin(*keys))
 
-    def save_stack(self, data: DataFrame, name: str, key: str = "pair", compression: str = "zstd") -> None:
-        """One folder for each slice; only the slices that ``data`` holds are replaced."""
-        data.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(key).parquet(self.path(name))
+    def save_stack(self, data: DataFrame, name: str, key: str = "pair", compression: str = "zstd", axis: str = "y") -> None:
+        """One folder for each slice; only the slices that ``data`` holds are replaced.
+
+        Tasks take ranges of (key, axis), so a slice of any size is several tasks' and several files', and a small one a few.
+        """
+        order = [key, axis] if axis in data.columns else [key]
+        data.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(key).parquet(self.path(name))
 
     def sync_stack(self, data: DataFrame, name: str, key: str = "pair") -> DataFrame:
         self.save_stack(data, name, key)

@@ -256,6 +256,56 @@ def test_unwrap1d_recovers_sums(spark):
         assert abs(r.phase - 0.11 * (r.rep - r.ref).days) < 1e-6
 
 
+def unwrapped_by_hand(ends, v, tolerance=math.pi / 2):
+    """Pairs (date numbers) and values (None: missing) of one pixel: each pair by its definition."""
+    have = {e: x for e, x in zip(ends, v, strict=True) if x is not None}
+    out, sure = dict(have), set()
+    for (a, b), x in have.items():
+        steps = [(k, k + 1) for k in range(a, b)]
+        if b - a > 1 and all(s in have for s in steps):
+            total = sum(have[s] for s in steps)
+            y = min((x + 2 * math.pi * k for k in range(-20, 21)), key=lambda z: abs(z - total))  # noqa: B023
+            if abs(y - total) < tolerance:
+                out[a, b] = y
+                sure |= {(a, b), *steps}
+    return [out.get(e) if e in sure or not sure else None for e in ends]
+
+
+def test_unwrap_matches_its_definition():
+    r = np.random.default_rng(8)
+    for n in (3, 5, 8):
+        ends = [(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.75]
+        ends += [(k, k + 1) for k in range(n - 1) if (k, k + 1) not in ends]
+        m = np.array([[1.0 if a < d <= b else 0.0 for d in range(n)] for a, b in ends])
+        path = r.normal(0, 2, (400, n))
+        v = np.stack([path[:, b] - path[:, a] for a, b in ends], 1) + r.normal(0, 0.7, (400, len(ends)))
+        v = np.where(r.random(v.shape) < 0.15, np.nan, (v + math.pi) % (2 * math.pi) - math.pi)
+        v[:2] = np.nan
+        got = inversion.unwrap(v, m)
+        for i in range(400):
+            want = unwrapped_by_hand(ends, [None if np.isnan(x) else x for x in v[i]])
+            assert np.allclose(got[i], [np.nan if x is None else x for x in want], equal_nan=True)
+        order = r.permutation(len(ends))  # the order of pairs doesn't matter
+        assert np.allclose(inversion.unwrap(v[:, order], m[order]), got[:, order], equal_nan=True)
+
+
+def test_least_squares_rows_match_each_solved_alone():
+    r = np.random.default_rng(9)
+    ends = [(a, b) for a in range(6) for b in range(a + 1, 6) if b - a < 4]
+    m = np.array([[1.0 if a < d <= b else 0.0 for d in range(6)] for a, b in ends])
+    v = np.where(r.random((300, len(ends))) < 0.3, np.nan, r.normal(0, 3, (300, len(ends))))
+    v[0] = np.nan
+    w = r.uniform(0.05, 1, v.shape)
+    for weight in (None, w):
+        got = inversion.solve(v, weight, m, cumulative=False)
+        assert np.isnan(got[0]).all()
+        for i in range(1, 300):
+            there = ~np.isnan(v[i])
+            q = np.ones(there.sum()) if weight is None else np.sqrt((w[i, there] * (1 - 1e-6)) ** 2 / (1 - (w[i, there] * (1 - 1e-6)) ** 2))
+            want = np.linalg.lstsq(m[there] * q[:, None], v[i, there] * q, rcond=None)[0]
+            assert np.allclose(got[i], want, atol=1e-6)
+
+
 def test_residuals_of_a_perfect_solution(spark):
     ring = [(0, 12), (12, 24), (0, 24)]
     truth = lambda t, x: 0.2 * t
