@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringework import shared
 from fringework.functions.columns import finite
+from fringework.operators.inversion import dense, network, packed
 
 YEAR = 365.25
+#: Coefficients of so many slices are broadcast; more meet the data in a shuffle join.
+MOST_SLICES = 200_000
 
 
 def days(c: Column | str) -> Column:
@@ -58,33 +64,48 @@ def regression(data: DataFrame, value: str, variables: list[str], keys: list[str
 
     Rows count for the fit if value, variables and weight are finite; a slice with fewer than ``least`` of them gets NULL.
     Variables are standardised in each slice. ``alpha`` > 0 fits an elastic net (on the same sums, so it is exact at its
-    optimum). The fit of a slice is over all its rows, however they are partitioned.
+    optimum). The fit of a slice is over all its rows, however they are partitioned: one aggregation of means and
+    covariances, which tasks add up before anything is shuffled. The coefficients, a row for each slice, go back to the data
+    in a broadcast if they are few, so that the data never move.
     """
-    shared.ship(data.sparkSession)
+    spark = data.sparkSession
+    shared.ship(spark)
     usable = finite(value)
     for v in [*variables, *([weight] if weight else [])]:
         usable = usable & finite(v)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    good = data.filter(usable)
-    stats = good.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.avg(v).alias(f"_m{i}") for i, v in enumerate(variables)), *(F.stddev_pop(v).alias(f"_s{i}") for i, v in enumerate(variables)))
-    scaled = [((F.col(v) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)) for i, v in enumerate(variables)]
-    if not intercept:
-        scaled = [F.col(v).cast("double") for v in variables]
-    terms = [F.lit(1.0), *scaled] if intercept else scaled
-    size = len(terms)
-    everything = [*terms, F.col(value).cast("double")]
-    rows = good.join(stats, keys) if keys else good.join(F.broadcast(stats), F.lit(True))
-    sums = [F.sum(w * everything[i] * everything[j]) for i in range(size + 1) for j in range(i, size + 1)]
-    fit = rows.groupBy(*keys, "_n").agg(F.array(*sums).alias("_g"), F.sum(w).alias("_w")).filter(F.col("_n") >= least)
-    if alpha:
-        fit = fit.withColumn("_g", F.transform("_g", lambda x: x / F.col("_w")))
+    k, columns = len(variables), [*(F.col(v).cast("double") for v in variables), F.col(value).cast("double")]
+    if weight:  # sums of products around the whole table's means, which one pass finds
+        centre = [x or 0.0 for x in data.filter(usable).agg(*(F.avg(c) for c in columns)).first()]
+        z, w = [c - x for c, x in zip(columns, centre, strict=True)], F.col(weight).cast("double")
+        total = F.sum(w)
+        mean = [F.sum(w * x) / total for x in z]
+        pairs = {(i, j): F.sum(w * z[i] * z[j]) / total - mean[i] * mean[j] for i in range(k + 1) for j in range(i, k + 1)}
+        mean = [m + x for m, x in zip(mean, centre, strict=True)]
+    else:
+        mean = [F.avg(c) for c in columns]
+        pairs = {(i, j): F.covar_pop(columns[i], columns[j]) for i in range(k + 1) for j in range(i, k + 1)}
+    own = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns[:k])] + [F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(columns[:k])]
+    found = data.filter(usable).groupBy(*keys).agg(F.count("*").alias("_n"), *own, *(m.alias(f"_a{i}") for i, m in enumerate(mean)), *(c.alias(f"_c{i}_{j}") for (i, j), c in pairs.items())).filter(F.col("_n") >= least)
+    #: shift and scale of each variable; the value keeps both
+    low = [F.col(f"_m{i}") if intercept else F.lit(0.0) for i in range(k)] + [F.lit(0.0)]
+    unit = [F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) if intercept else F.lit(1.0) for i in range(k)] + [F.lit(1.0)]
+    middle = [(F.col(f"_a{i}") - low[i]) for i in range(k + 1)]
+    terms = [[(F.col(f"_c{i}_{j}") + middle[i] * middle[j]) / (unit[i] * unit[j]) for j in range(i, k + 1)] for i in range(k + 1)]
+    first = [F.lit(1.0), *(middle[i] / unit[i] for i in range(k + 1))] if intercept else []
+    size = k + 1 if intercept else k
     solve = _solver(size, alpha * l1_ratio, alpha * (1 - l1_ratio), max_iter, tol)
-    fit = fit.select(*keys, solve("_g").alias("_c"))
-    out = data.join(stats, keys, "left").join(fit, keys, "left") if keys else data.join(F.broadcast(stats), F.lit(True)).join(F.broadcast(fit), F.lit(True), "left")
-    model = sum((F.col("_c")[i] * t for i, t in enumerate(terms[1:], 1)), F.col("_c")[0] * terms[0])
+    upper = [*first, *(x for row in terms for x in row)]
+    fit = found.select(*keys, *(x.alias(f"_l{i}") for i, x in enumerate(low[:k])), *(x.alias(f"_u{i}") for i, x in enumerate(unit[:k])), solve(F.array(*upper)).alias("_c"))
+    fit = shared.materialise(fit, "coefficients")
+    if not keys or fit.count() <= MOST_SLICES:
+        fit = F.broadcast(fit)
+    out = data.join(fit, keys, "left") if keys else data.join(fit, F.lit(True), "left")
+    scaled = [(F.col(v) - F.col(f"_l{i}")) / F.col(f"_u{i}") for i, v in enumerate(variables)]
     there = F.lit(True)
     for v in variables:
         there = there & finite(v)
+    at = 1 if intercept else 0
+    model = sum((F.col("_c")[i + at] * x for i, x in enumerate(scaled)), F.col("_c")[0] if intercept else F.lit(0.0))
     return out.select(*data.columns, F.when(there, model).alias("model"))
 
 
@@ -114,38 +135,99 @@ def polynomial(rows: DataFrame, by: list[str], t: Column, v: Column, degree: int
     return fit.select(*by, F.array(*terms).alias("coef"))
 
 
-def pair_polynomial(data: DataFrame, value: str, degree: int = 0, weight: str | None = None, max_days: int | None = None, count: int | None = None) -> DataFrame:
+def _by_pixel(data: DataFrame, value: Column, weight: str | None, pairs: DataFrame | None, model) -> DataFrame:
+    """``ref, rep, y, x, v`` of the pairs a pixel has, from ``model(values, weights, pairs, there)`` of many pixels' values.
+
+    A pixel's pairs are packed into one row, one shuffle, in which all their roles are played.
+    """
+    shared.ship(data.sparkSession)
+    known = network(data if pairs is None else pairs)[0]
+    rows = packed(data.withColumn("_value", value), known, "_value", weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(2)
+            v, w = dense(s, len(known), "v", "w")
+            row = np.repeat(np.arange(len(s)), np.asarray(pa.compute.list_value_length(s), np.int64))
+            there = np.zeros(v.shape, bool)
+            there[row, np.asarray(s.flatten().field("k"), np.int64)] = True
+            got, found = model(v, w, known, there)
+            place, k = np.nonzero(there & found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([known[i][0] for i in k.tolist()], pa.date32()), pa.array([known[i][1] for i in k.tolist()], pa.date32()), b.column(0).take(pa.array(place)), b.column(1).take(pa.array(place)), pa.array(got[place, k], from_pandas=True)], names=["ref", "rep", "y", "x", "v"]
+            )
+
+    y, x = (data.schema[c].dataType.simpleString() for c in "yx")
+    return rows.mapInArrow(run, f"ref date, rep date, y {y}, x {x}, v double")
+
+
+def _touching(known: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """The dates of pairs, and for each (pair, date) the sign of its role there (0: none) and its signed days."""
+    dates = sorted({d for p in known for d in p})
+    sign = np.array([[1.0 if d == a else -1.0 if d == b else 0.0 for d in dates] for a, b in known]).reshape(len(known), len(dates))
+    return dates, sign, sign * np.array([(b - a).days for a, b in known], float)[:, None]
+
+
+def _between(known: list, dates: list, at_date: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair's model at ref minus that at rep, and whether both dates have one at the pixel."""
+    number = {d: i for i, d in enumerate(dates)}
+    i, j = ([number[p[e]] for p in known] for e in (0, 1))
+    return at_date[:, i] - at_date[:, j], have[:, i] & have[:, j]
+
+
+def pair_polynomial(data: DataFrame, value: str, degree: int = 0, weight: str | None = None, max_days: int | None = None, count: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Per date and pixel a polynomial in days over the pairs that touch the date (values and days signed by their direction);
     the highest coefficient is the date's model, and a pair's model is model[ref] - model[rep].
 
-    ``count`` nearest pairs in time, then those within ``max_days``. A weight multiplies values by its root.
+    ``count`` nearest pairs in time, then those within ``max_days``. A weight multiplies values by its root. ``pairs``: the
+    network, which spares a pass over the data to find it.
+    """
+
+    def model(v: np.ndarray, w: np.ndarray, known: list, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dates, sign, days_ = _touching(known)
+        used = sign != 0
+        if count is not None:
+            for d in range(len(dates)):
+                near = sorted(np.flatnonzero(used[:, d]).tolist(), key=lambda k: (abs(days_[k, d]), known[k]))
+                used[near[count:], d] = False
+        if max_days is not None:
+            used &= np.abs(days_) <= max_days
+        value_ = v * np.sqrt(w) if weight else v
+        out, have = np.full((len(v), len(dates)), np.nan), np.zeros((len(v), len(dates)), bool)
+        for d in range(len(dates)):
+            k = np.flatnonzero(used[:, d])
+            t, z = days_[k, d] / YEAR, value_[:, k] * sign[k, d]
+            ok = ~np.isnan(z)
+            have[:, d] = there[:, k].any(1)
+            powers = t[None, :] ** np.arange(degree + 1)[:, None]  # degree, pair
+            a = np.einsum("np,ip,jp->nij", ok.astype(float), powers, powers)
+            b = np.where(ok, z, 0.0) @ powers.T
+            enough = np.array([len(np.unique(t[x])) > degree for x in np.unique(ok, axis=0)]) if len(k) else np.zeros(0, bool)
+            if not enough.any():
+                continue
+            solvable = enough[np.unique(ok, axis=0, return_inverse=True)[1].reshape(-1)]
+            out[solvable, d] = np.linalg.solve(a[solvable], b[solvable][..., None])[:, degree, 0] / YEAR**degree
+        return _between(known, dates, out, have)
+
+    return _by_pixel(data, F.col(value), weight, pairs, model).withColumnRenamed("v", value)
+
+
+def turbulence(data: DataFrame, value: str = "phase", weight: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Per date the (weighted) mean of its pairs' phases signed by role; a pair's part is t[ref] - t[rep].
+
+    ``pairs``: the network, which spares a pass over the data to find it.
     """
-    pairs = data.select("ref", "rep").distinct()
-    span = F.datediff("rep", "ref").cast("double")
-    roles = pairs.select("ref", "rep", F.col("ref").alias("date"), F.lit(1.0).alias("sign"), span.alias("days")).unionAll(pairs.select("ref", "rep", F.col("rep").alias("date"), F.lit(-1.0).alias("sign"), (-span).alias("days")))
-    if count is not None:
-        roles = roles.withColumn("nth", F.row_number().over(Window.partitionBy("date").orderBy(F.abs("days"), "ref", "rep"))).filter(F.col("nth") <= count).drop("nth")
-    if max_days is not None:
-        roles = roles.filter(F.abs("days") <= max_days)
-    v = F.col(value) * F.sqrt(weight) if weight else F.col(value)
-    rows = data.select("ref", "rep", "y", "x", v.alias("v")).join(F.broadcast(roles), ["ref", "rep"])
-    model = polynomial(rows, ["date", "y", "x"], F.col("days"), F.col("sign") * F.col("v"), degree).select("date", "y", "x", F.col("coef")[degree].alias("m"))
-    return _pair_model(data, model, value)
-
-
-def _pair_model(data: DataFrame, model: DataFrame, value: str) -> DataFrame:
-    m1 = model.select(F.col("date").alias("ref"), "y", "x", F.col("m").alias("m1"))
-    m2 = model.select(F.col("date").alias("rep"), "y", "x", F.col("m").alias("m2"))
-    return data.select("ref", "rep", "y", "x").join(m1, ["ref", "y", "x"]).join(m2, ["rep", "y", "x"]).select("ref", "rep", "y", "x", (F.col("m1") - F.col("m2")).alias(value))
-
-
-def turbulence(data: DataFrame, value: str = "phase", weight: str | None = None) -> DataFrame:
-    """Per date the (weighted) mean of its pairs' phases signed by role; a pair's part is t[ref] - t[rep]."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    one = data.select(F.col("ref").alias("date"), "y", "x", F.col(value).alias("v"), w.alias("w"))
-    two = data.select(F.col("rep").alias("date"), "y", "x", (-F.col(value)).alias("v"), w.alias("w"))
-    m = F.avg("v") if weight is None else F.try_divide(F.coalesce(F.sum(F.col("w") * F.col("v")), F.lit(0.0)), F.sum("w"))
-    return _pair_model(data, one.unionAll(two).groupBy("date", "y", "x").agg(m.alias("m")), value)
+
+    def model(v: np.ndarray, w: np.ndarray, known: list, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dates, sign, _ = _touching(known)
+        role = (sign != 0).astype(float)
+        part = np.where(np.isnan(w) | ~there, 0.0, w) if weight else (there & ~np.isnan(v)).astype(float)
+        top = np.where(np.isnan(v) | np.isnan(w), 0.0, v * part) @ sign
+        below = part @ role
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return _between(known, dates, np.where(below != 0, top / below, np.nan), (there.astype(float) @ role) > 0)
+
+    return _by_pixel(data, F.col(value), weight, pairs, model).withColumnRenamed("v", value)
 
 
 def velocity(stack: DataFrame, value: str = "displacement") -> DataFrame:
