@@ -394,10 +394,13 @@ def regression_sgd(spark, sf):
     return out.select("pair", "y", "x", "model")
 
 
-@query()
+@query(f""", k AS (SELECT pair, count(*) AS n, sum(correlation) AS w, sum(correlation * y) / sum(correlation) AS my, sum(correlation * x) / sum(correlation) AS mx, sum(correlation * phase) / sum(correlation) AS p FROM data GROUP BY pair),
+c AS (SELECT d.pair, any_value(k.n) AS n, any_value(k.my) AS my, any_value(k.mx) AS mx, any_value(k.p) AS p, sum(correlation * (y - my) * (y - my)) AS yy, sum(correlation * (x - mx) * (x - mx)) AS xx, sum(correlation * (y - my) * (x - mx)) AS yx,
+  sum(correlation * (y - my) * phase) AS yp, sum(correlation * (x - mx) * phase) AS xp FROM data d JOIN k ON k.pair = d.pair GROUP BY d.pair)
+SELECT d.pair, d.y, d.x, CASE WHEN c.n >= 20 THEN {r('c.p + (c.yp * c.xx - c.xp * c.yx) / (c.yy * c.xx - c.yx * c.yx) * (d.y - c.my) + (c.xp * c.yy - c.yp * c.yx) / (c.yy * c.xx - c.yx * c.yx) * (d.x - c.mx)', 5)} END AS model FROM data d JOIN c ON c.pair = d.pair""")
 def regression_weighted(spark, sf):
     out = regression.regression(S.pair_data(spark, sf), "phase", ["y", "x"], ["pair"], weight="correlation", least=20)
-    return out.select("pair", "y", "x", "model")
+    return rounded(out.select("pair", "y", "x", "model"), "model", digits=5)
 
 
 ROLES = "roles AS (SELECT ref AS date, y, x, phase AS v, CAST(date_diff('day', ref, rep) AS DOUBLE) AS t, correlation AS w FROM data UNION ALL SELECT rep, y, x, -phase, CAST(-date_diff('day', ref, rep) AS DOUBLE), correlation FROM data)"
@@ -436,9 +439,13 @@ def trend(spark, sf):
     return rounded(regression.trend(S.stack(spark, sf), "v").select("date", "y", "x", "trend"), "trend", digits=4)
 
 
-@query()
+@query(f""", c AS (SELECT y, x, avg({DAY}) AS m FROM stack GROUP BY y, x), t AS (SELECT s.date, s.y, s.x, s.v, ({DAY} - m) / 10 AS t FROM stack s JOIN c ON c.y = s.y AND c.x = s.x),
+f AS (SELECT y, x, count(*) AS s0, sum(t) AS s1, sum(t * t) AS s2, sum(t * t * t) AS s3, sum(t * t * t * t) AS s4, sum(v) AS b0, sum(v * t) AS b1, sum(v * t * t) AS b2 FROM t GROUP BY y, x),
+g AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM f)
+SELECT t.date, t.y, t.x, {r('((b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) + (s0 * (b1 * s4 - b2 * s3) - b0 * (s1 * s4 - s3 * s2) + s2 * (s1 * b2 - b1 * s2)) * t + (s0 * (s2 * b2 - s3 * b1) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2)) * t * t) / det', 3)} AS trend
+FROM t JOIN g ON g.y = t.y AND g.x = t.x""")
 def trend_quadratic(spark, sf):
-    return regression.trend(S.stack(spark, sf), "v", 2).select("date", "y", "x", "trend")
+    return rounded(regression.trend(S.stack(spark, sf), "v", 2).select("date", "y", "x", "trend"), "trend", digits=3)
 
 
 @query()
@@ -465,9 +472,30 @@ def chain_history(spark, sf):
     return inversion.chain_sums(d)
 
 
-@query()
+@query(""", c AS (SELECT date AS ref, lead(date) OVER (ORDER BY date) AS rep FROM scenes), d AS (SELECT c.rep AS date, a.y, a.x, b.v - a.v AS v FROM c JOIN stack a ON a.date = c.ref JOIN stack b ON b.date = c.rep AND b.y = a.y AND b.x = a.x),
+p AS (SELECT DISTINCT y, x FROM d), g AS (SELECT s.date, p.y, p.x FROM scenes s, p)
+SELECT g.date, g.y, g.x, CAST(coalesce(sum(d.v) OVER (PARTITION BY g.y, g.x ORDER BY g.date), 0) * 64 AS BIGINT) AS displacement_64ths FROM g LEFT JOIN d ON d.date = g.date AND d.y = g.y AND d.x = g.x""")
+def lstsq_chain(spark, sf):
+    """The solver on a chain of consecutive pairs, whose history is a running sum; a step that isn't observed adds nothing."""
+    p = P.consecutive_pairs(S.scenes(spark, sf))
+    s = S.stack(spark, sf)
+    one = s.select(F.col("date").alias("ref"), "y", "x", F.col("v").alias("v1")).join(F.broadcast(p), "ref")
+    d = one.join(s.select(F.col("date").alias("rep"), "y", "x", F.col("v").alias("v2")), ["rep", "y", "x"]).select("ref", "rep", "y", "x", (F.col("v2") - F.col("v1")).alias("phase"))
+    out = inversion.lstsq(d, "phase", pairs=p)
+    return out.select("date", "y", "x", F.round(F.col("displacement") * 64).cast("long").alias("displacement_64ths"))
+
+
+@query(f""", nd AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM dates),
+e AS (SELECT d.ref, d.rep, d.y, d.x, d.phase, a.n AS i, b.n AS j FROM data d JOIN nd a ON a.date = d.ref JOIN nd b ON b.date = d.rep),
+t AS (SELECT e.ref, e.rep, e.y, e.x, e.phase, e.i, e.j, count(s.i) AS have, sum(s.phase) AS total FROM e LEFT JOIN e s ON s.j = s.i + 1 AND s.y = e.y AND s.x = e.x AND s.i >= e.i AND s.j <= e.j GROUP BY ALL),
+u AS (SELECT *, CASE WHEN j > i + 1 AND have = j - i THEN phase + {TAU} * round((total - phase) / {TAU}) END AS v FROM t),
+o AS (SELECT *, coalesce(abs(v - total) < {PI} / 2, FALSE) AS ok FROM u),
+s AS (SELECT a.*, a.ok OR (a.j = a.i + 1 AND EXISTS (SELECT 1 FROM o b WHERE b.ok AND b.y = a.y AND b.x = a.x AND b.i <= a.i AND b.j >= a.j)) AS sure FROM o a),
+w AS (SELECT *, bool_or(sure) OVER (PARTITION BY y, x) AS some FROM s), cells AS (SELECT DISTINCT y, x FROM data)
+SELECT p.pair, p.ref, p.rep, c.y, c.x, CASE WHEN w.sure OR NOT w.some THEN {r('CASE WHEN w.ok THEN w.v ELSE w.phase END')} END AS phase
+FROM pairs p CROSS JOIN cells c LEFT JOIN w ON w.ref = p.ref AND w.rep = p.rep AND w.y = c.y AND w.x = c.x""")
 def unwrap1d(spark, sf):
-    return inversion.unwrap1d(S.pair_data(spark, sf), "phase", "correlation")
+    return rounded(inversion.unwrap1d(S.pair_data(spark, sf), "phase", "correlation", pairs=S.pairs(spark, sf)), "phase")
 
 
 @query()
@@ -506,20 +534,65 @@ def interferogram_multi_look(spark, sf):
     return phase.multi_look(S.pairs(spark, sf), S.slc(spark, sf), (2, 2), psize=4)
 
 
-@query()
+def _turn(k: str, re: str, im: str, sign: int) -> tuple[str, str]:
+    """(re, im) times exp(sign * i * pi / 2 * k), whose powers are 1, i, -1, -i."""
+    back = f"({sign} * ({k}) % 4 + 4) % 4"
+    return f"CASE {back} WHEN 0 THEN {re} WHEN 1 THEN -({im}) WHEN 2 THEN -({re}) ELSE {im} END", f"CASE {back} WHEN 0 THEN {im} WHEN 1 THEN {re} WHEN 2 THEN -({im}) ELSE -({re}) END"
+
+
+FORWARD, BACK = _turn("f.u * (z.y - z.i) + f.v * (z.x - z.j)", "z.re", "z.im", -1), _turn("s.u * c.a + s.v * c.b", "s.re", "s.im", 1)
+
+
+@query(f""", {DIFF}, z AS (SELECT pair, ref, rep, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, i.i, j.j, re, im FROM diff, range(0, 8, 2) i(i), range(0, 6, 2) j(j) WHERE y BETWEEN i.i AND i.i + 3 AND x BETWEEN j.j AND j.j + 3),
+f AS (SELECT u, v FROM range(4) a(u), range(4) b(v)),
+al AS (SELECT pair, i, j, 1 - 0.5e0 * count(CASE WHEN y - i IN (1, 2) AND x - j IN (1, 2) THEN 1 END) / 4 AS alpha FROM z GROUP BY ALL),
+q AS (SELECT pair, ref, rep, i, j, u, v, sum({FORWARD[0]}) AS re, sum({FORWARD[1]}) AS im FROM z, f GROUP BY ALL),
+s AS (SELECT q.pair, ref, rep, q.i, q.j, u, v, re * pow(sqrt(re * re + im * im), alpha) AS re, im * pow(sqrt(re * re + im * im), alpha) AS im FROM q JOIN al ON al.pair = q.pair AND al.i = q.i AND al.j = q.j),
+c AS (SELECT a, b, CASE WHEN a IN (1, 2) AND b IN (1, 2) THEN 1 ELSE 0 END AS w FROM range(4) a(a), range(4) b(b)),
+o AS (SELECT s.pair, s.ref, s.rep, s.i + c.a AS y, s.j + c.b AS x, any_value(c.w) * sum({BACK[0]}) / 16 AS re, any_value(c.w) * sum({BACK[1]}) / 16 AS im FROM s, c GROUP BY s.pair, s.ref, s.rep, s.i, s.j, c.a, c.b),
+t AS (SELECT pair, ref, rep, y, x, sum(re) AS re, sum(im) AS im FROM o GROUP BY ALL)
+SELECT pair, ref, rep, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, {r('re', 2)} AS re, {r('im', 2)} AS im FROM t WHERE re <> 0 OR im <> 0""")
 def goldstein(spark, sf):
     diff = phase.phase_difference(S.pairs(spark, sf), S.slc(spark, sf))
-    return phase.goldstein(diff.withColumn("correlation", F.lit(0.5)), 4, GRID)
+    return rounded(phase.goldstein(diff.withColumn("correlation", F.lit(0.5)), 4, GRID).filter("re IS NOT NULL"), "re", "im", digits=2)
 
 
-@query()
+def _reflected(i: str, n: int) -> str:
+    return f"CAST(CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN {2 * n - 1} - ({i}) ELSE {i} END AS INTEGER)"
+
+
+def _smooth(name: str, source: str, keys: str, values: list[str], sigma: tuple[float, float], truncate: float, ny: int, nx: int) -> str:
+    """SQL of a NULL-aware Gaussian: ``name`` has the keys, whole numbers y and x, and the values of ``source`` smoothed."""
+    reach = [int(truncate * x + 0.5) for x in sigma]
+    k = f"exp(-0.5e0 * (a.a / {sigma[0]!r}e0) * (a.a / {sigma[0]!r}e0)) * exp(-0.5e0 * (b.b / {sigma[1]!r}e0) * (b.b / {sigma[1]!r}e0))"
+    key, on = (f"{keys}, ", f"s.{keys} = g.{keys} AND ") if keys else ("", "")
+    slices = f"(SELECT DISTINCT {keys} FROM {source}) u, " if keys else ""
+    parts = ", ".join(f"CASE WHEN sum(CASE WHEN s.{v} IS NOT NULL THEN g.k END) > 1e-17 THEN sum(g.k * s.{v}) / sum(CASE WHEN s.{v} IS NOT NULL THEN g.k END) END AS {v}" for v in values)
+    return f"""{name}_g AS (SELECT {key}yy.y, xx.x, {_reflected('yy.y + a.a', ny)} AS sy, {_reflected('xx.x + b.b', nx)} AS sx, {k} AS k
+  FROM {slices}range({ny}) yy(y), range({nx}) xx(x), range({-reach[0]}, {reach[0] + 1}) a(a), range({-reach[1]}, {reach[1] + 1}) b(b)),
+{name} AS (SELECT {'g.' + key if keys else ''}g.y, g.x, {parts} FROM {name}_g g JOIN {source} s ON {on}s.y = g.sy AND s.x = g.sx GROUP BY ALL)"""
+
+
+@query(f", {_smooth('o', 'stack', 'date', ['v'], (1.0, 1.5), 4.0, 12, 10)} SELECT date, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, {r('v', 4)} AS v FROM o WHERE v IS NOT NULL")
 def gaussian(spark, sf):
-    return raster.gaussian(S.stack(spark, sf), ["v"], (1.0, 1.5), ["date"], grid=GRID)
+    return rounded(raster.gaussian(S.stack(spark, sf), ["v"], (1.0, 1.5), ["date"], grid=GRID).filter("v IS NOT NULL"), "v", digits=4)
 
 
-@query()
+@query(f""", {_smooth('a', 'total', '', ['v'], (2 / 5.3, 2 / 5.3), 3.0, 12, 10)}, b AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM a GROUP BY ALL),
+{_smooth('c', 'b', '', ['v'], (math.sqrt(252) / 5.3 / 2, math.sqrt(252) / 5.3 / 2), 3.0, 6, 5)} SELECT t.y, t.x, {r('c.v', 4)} AS v FROM total t JOIN c ON c.y = floor(t.y / 2) AND c.x = floor(t.x / 2)""")
 def gaussian_two_stage(spark, sf):
-    return raster.two_stage_gaussian(S.total(spark, sf), "v", 16.0, (1.0, 1.0), resolution=2.0)
+    return rounded(raster.two_stage_gaussian(S.total(spark, sf), "v", 16.0, (1.0, 1.0), resolution=2.0), "v", digits=4)
+
+
+MULTILOOK = f"""{DIFF}, si AS (SELECT date, y, x, re * re + im * im AS i FROM slc), {_smooth('gi', 'si', 'date', ['i'], (2 / 5.3, 2 / 5.3), 4.0, 12, 10)}, {_smooth('gd', 'diff', 'pair', ['re', 'im'], (2 / 5.3, 2 / 5.3), 4.0, 12, 10)},
+mi AS (SELECT date, y // 2 AS y, x // 2 AS x, avg(i) AS i FROM gi GROUP BY ALL), md AS (SELECT pair, y // 2 AS y, x // 2 AS x, avg(re) AS re, avg(im) AS im FROM gd GROUP BY ALL),
+looked AS (SELECT p.pair, p.ref, p.rep, md.y * 2 + 0.5e0 AS y, md.x * 2 + 0.5e0 AS x, md.re, md.im, a.i AS i1, b.i AS i2 FROM md JOIN pairs p ON p.pair = md.pair JOIN mi a ON a.date = p.ref AND a.y = md.y AND a.x = md.x JOIN mi b ON b.date = p.rep AND b.y = md.y AND b.x = md.x)"""
+
+
+@query(f", {MULTILOOK} SELECT pair, ref, rep, y, x, {r('atan2(im, re)')} AS phase, CASE WHEN i1 * i2 > 0 THEN {r('least(1e0, greatest(0e0, sqrt(re * re + im * im) / sqrt(i1 * i2)))')} END AS correlation FROM looked")
+def interferogram_looks(spark, sf):
+    """All pairs' phase and correlation by the whole chain: intensities, phase difference, low-pass, block means, coherence."""
+    return rounded(phase.multi_look(S.pairs(spark, sf), S.slc(spark, sf), (2, 2)), "phase", "correlation")
 
 
 @query()
@@ -562,14 +635,24 @@ def regrid_nearest(spark, sf):
     return raster.regrid(S.total(spark, sf), "v", GRID, _spots(spark, sf), "nearest")
 
 
-@query()
+def _taps(weight: str, first: int, last: int) -> str:
+    """SQL of an interpolation by separable taps from ``first`` to ``last`` with unnormalised weights of the distance d."""
+    axis = lambda c, n: f"w{c} AS (SELECT DISTINCT s.{c}, {_reflected(f'CAST(floor(s.{c}) AS INTEGER) + k.k', n)} AS i, ({weight.format(d=f'(s.{c} - floor(s.{c}) - k.k)')}) AS w, k.k FROM spots s, range({first}, {last + 1}) k(k)), n{c} AS (SELECT {c}, i, w / sum(w) OVER (PARTITION BY {c}) AS w FROM w{c})"
+    return f", {SPOTS}, {axis('y', 12)}, {axis('x', 10)} SELECT s.y, s.x, {r('sum(a.w * b.w * t.v)', 4)} AS v FROM spots s JOIN ny a ON a.y = s.y JOIN nx b ON b.x = s.x JOIN total t ON t.y = a.i AND t.x = b.i GROUP BY s.y, s.x HAVING count(*) = {(last - first + 1) ** 2}"
+
+
+CUBIC = "CASE WHEN abs{d} <= 1 THEN (1.25e0 * abs{d} - 2.25e0) * abs{d} * abs{d} + 1 ELSE ((-0.75e0 * abs{d} + 3.75e0) * abs{d} - 6) * abs{d} + 3 END"
+LANCZOS = f"CASE WHEN abs{{d}} < 1e-9 THEN 1e0 ELSE sin({PI} * {{d}}) * sin({PI} * {{d}} / 4) * 4 / ({PI} * {PI} * {{d}} * {{d}}) END"
+
+
+@query(_taps(CUBIC, -1, 2))
 def regrid_cubic(spark, sf):
-    return raster.regrid(S.total(spark, sf), "v", GRID, _spots(spark, sf), "cubic")
+    return rounded(raster.regrid(S.total(spark, sf), "v", GRID, _spots(spark, sf), "cubic").filter("v IS NOT NULL"), "v", digits=4)
 
 
-@query()
+@query(_taps(LANCZOS, -3, 4))
 def regrid_lanczos(spark, sf):
-    return raster.regrid(S.total(spark, sf), "v", GRID, _spots(spark, sf), "lanczos")
+    return rounded(raster.regrid(S.total(spark, sf), "v", GRID, _spots(spark, sf), "lanczos").filter("v IS NOT NULL"), "v", digits=4)
 
 
 @query("""SELECT date, y, x, v FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY (y - 4.2e0) * (y - 4.2e0) + (x - 5.1e0) * (x - 5.1e0), y, x) AS n FROM stack) WHERE n = 1""")
@@ -829,7 +912,7 @@ def export_pivot(spark, sf):
     return out.select("lon", "lat", *(F.col(f"`2024-01-{d:02d}`").alias(f"d{d}") for d in (1, 2, 3)))
 
 
-@query()
+@query("""SELECT '{"type":"Feature","properties":{"v":' || CAST(round(v, 2) + 0e0 AS VARCHAR) || '},"geometry":{"type":"Point","coordinates":[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ']}}' AS value FROM total""")
 def export_geojson(spark, sf):
     geo = S.total(spark, sf).select(F.col("x").alias("lon"), F.col("y").alias("lat"), "v")
     return export.geojson_lines(geo, "v")
