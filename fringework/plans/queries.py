@@ -442,7 +442,7 @@ def trend(spark, sf):
 @query(f""", c AS (SELECT y, x, avg({DAY}) AS m FROM stack GROUP BY y, x), t AS (SELECT s.date, s.y, s.x, s.v, ({DAY} - m) / 10 AS t FROM stack s JOIN c ON c.y = s.y AND c.x = s.x),
 f AS (SELECT y, x, count(*) AS s0, sum(t) AS s1, sum(t * t) AS s2, sum(t * t * t) AS s3, sum(t * t * t * t) AS s4, sum(v) AS b0, sum(v * t) AS b1, sum(v * t * t) AS b2 FROM t GROUP BY y, x),
 g AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM f)
-SELECT t.date, t.y, t.x, {r('((b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) + (s0 * (b1 * s4 - b2 * s3) - b0 * (s1 * s4 - s3 * s2) + s2 * (s1 * b2 - b1 * s2)) * t + (s0 * (s2 * b2 - s3 * b1) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2)) * t * t) / det', 3)} AS trend
+SELECT t.date, t.y, t.x, {r('CASE WHEN s0 < 3 THEN v ELSE ((b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) + (s0 * (b1 * s4 - b2 * s3) - b0 * (s1 * s4 - s3 * s2) + s2 * (s1 * b2 - b1 * s2)) * t + (s0 * (s2 * b2 - s3 * b1) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2)) * t * t) / det END', 3)} AS trend
 FROM t JOIN g ON g.y = t.y AND g.x = t.x""")
 def trend_quadratic(spark, sf):
     return rounded(regression.trend(S.stack(spark, sf), "v", 2).select("date", "y", "x", "trend"), "trend", digits=3)
@@ -551,10 +551,10 @@ s AS (SELECT q.pair, ref, rep, q.i, q.j, u, v, re * pow(sqrt(re * re + im * im),
 c AS (SELECT a, b, CASE WHEN a IN (1, 2) AND b IN (1, 2) THEN 1 ELSE 0 END AS w FROM range(4) a(a), range(4) b(b)),
 o AS (SELECT s.pair, s.ref, s.rep, s.i + c.a AS y, s.j + c.b AS x, any_value(c.w) * sum({BACK[0]}) / 16 AS re, any_value(c.w) * sum({BACK[1]}) / 16 AS im FROM s, c GROUP BY s.pair, s.ref, s.rep, s.i, s.j, c.a, c.b),
 t AS (SELECT pair, ref, rep, y, x, sum(re) AS re, sum(im) AS im FROM o GROUP BY ALL)
-SELECT pair, ref, rep, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, {r('re', 2)} AS re, {r('im', 2)} AS im FROM t WHERE re <> 0 OR im <> 0""")
+SELECT pair, ref, rep, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, {r('re', 0)} AS re, {r('im', 0)} AS im FROM t WHERE abs(re) + abs(im) > 1e-3""")
 def goldstein(spark, sf):
     diff = phase.phase_difference(S.pairs(spark, sf), S.slc(spark, sf))
-    return rounded(phase.goldstein(diff.withColumn("correlation", F.lit(0.5)), 4, GRID).filter("re IS NOT NULL"), "re", "im", digits=2)
+    return rounded(phase.goldstein(diff.withColumn("correlation", F.lit(0.5)), 4, GRID).filter("abs(re) + abs(im) > 1e-3"), "re", "im", digits=0)
 
 
 def _reflected(i: str, n: int) -> str:
@@ -746,41 +746,96 @@ def _scene() -> dict[str, float]:
     return RADAR | {"clock_start": 190 / 86400, "num_lines": 20000, "num_rng_bins": 200000, "near_range": 700000.0}
 
 
-@query()
+def _ecef(source: str, height: str, keep: str) -> str:
+    """SQL of Earth-fixed places px, py, pz of rows with lat, lon."""
+    e2 = geocode.EARTH_F * (2 - geocode.EARTH_F)
+    n = f"{geocode.EARTH_A!r}e0 / sqrt(1 - {e2!r}e0 * sin(radians(lat)) * sin(radians(lat)))"
+    return f"SELECT {keep}, ({n} + {height}) * cos(radians(lat)) * cos(radians(lon)) AS px, ({n} + {height}) * cos(radians(lat)) * sin(radians(lon)) AS py, ({n} * {1 - e2!r}e0 + {height}) * sin(radians(lat)) AS pz FROM {source}"
+
+
+#: The orbit is a circle in the plane of x and z, to which the satellite is nearest where its angle is that of the point. Its
+#: interpolation from state vectors is off by up to 0.0005 lines, so lines are compared as whole numbers.
+DEM = "dem AS (SELECT y / 50 AS lat, 4 + x / 50 AS lon, v / 100 AS ele FROM total)"
+NEAREST = "sqrt((px - 7064000e0 * cos(angle)) * (px - 7064000e0 * cos(angle)) + py * py + (pz - 7064000e0 * sin(angle)) * (pz - 7064000e0 * sin(angle)))"
+
+
+def _radar(source: str) -> str:
+    step = geometry.SPEED_OF_LIGHT / RADAR["rng_samp_rate"] / 2
+    return f"e AS ({_ecef(source, 'ele', 'lat, lon, ele')}), a AS (SELECT *, atan2(pz, px) AS angle FROM e), trans AS (SELECT lat, lon, ele, (angle * (5900e0 / {TAU}) + 200 - 190) * 486.5e0 AS azi, ({NEAREST} - 700000e0) / {step!r}e0 AS rng, {NEAREST} AS slant FROM a)"
+
+
+IN_SCENE = "azi >= 0 AND azi < 20000 AND rng >= 0 AND rng < 200000"
+
+
+@query(f", {DEM}, {_radar('dem')} SELECT lat, lon, ele, {r('azi', 0)} AS azi, {r('rng', 1)} AS rng FROM trans WHERE {IN_SCENE}")
 def transform(spark, sf):
-    return geocode.transform(_dem(spark, sf), _orbit(spark), _scene())
+    out = geocode.transform(_dem(spark, sf), _orbit(spark), _scene())
+    return rounded(rounded(out, "azi", digits=0), "rng", digits=1)
 
 
-@query()
+@query(f""", {DEM}, {_radar('dem')}, known AS (SELECT * FROM trans WHERE {IN_SCENE}), target AS (SELECT DISTINCT round(azi / 100) * 100 AS y, round(rng / 400) * 400 AS x FROM known),
+k AS (SELECT t.y, t.x, n.lat, n.lon, n.ele, row_number() OVER (PARTITION BY t.y, t.x ORDER BY (t.y - n.azi) * (t.y - n.azi) + (t.x - n.rng) * (t.x - n.rng), n.azi, n.rng) AS k FROM target t JOIN known n ON (t.y - n.azi) * (t.y - n.azi) + (t.x - n.rng) * (t.x - n.rng) < 640000)
+SELECT t.y, t.x, k.lat AS lt, k.lon AS ll, k.ele FROM target t LEFT JOIN k ON k.y = t.y AND k.x = t.x AND k.k = 1""")
 def inverse_transform(spark, sf):
     trans = geocode.transform(_dem(spark, sf), _orbit(spark), _scene())
     target = trans.select((F.round(F.col("azi") / 100) * 100).alias("y"), (F.round(F.col("rng") / 400) * 400).alias("x")).distinct()
     return geocode.inverse(trans, target, (100.0, 400.0))
 
 
-@query()
+@query(f""", {DEM}, e AS ({_ecef('dem', 'ele', 'lat, lon, ele')}), a AS (SELECT *, atan2(pz, px) AS angle FROM e),
+d AS (SELECT *, (7064000e0 * cos(angle) - px) / {NEAREST} AS dx, -py / {NEAREST} AS dy, (7064000e0 * sin(angle) - pz) / {NEAREST} AS dz FROM a)
+SELECT lat, lon, ele, {r('-sin(radians(lon)) * dx + cos(radians(lon)) * dy', 5)} AS look_E, {r('-sin(radians(lat)) * cos(radians(lon)) * dx - sin(radians(lat)) * sin(radians(lon)) * dy + cos(radians(lat)) * dz', 5)} AS look_N,
+  {r('cos(radians(lat)) * cos(radians(lon)) * dx + cos(radians(lat)) * sin(radians(lon)) * dy + sin(radians(lat)) * dz', 5)} AS look_U FROM d""")
 def look_vectors(spark, sf):
-    return geocode.look_vectors(_dem(spark, sf), _orbit(spark))
+    return rounded(geocode.look_vectors(_dem(spark, sf), _orbit(spark)), "look_E", "look_N", "look_U", digits=5)
 
 
-@query()
+@query(f""", {DEM}, spots AS (SELECT CAST(round(lat * 50) AS INTEGER) AS iy, CAST(round((lon - 4) * 50) AS INTEGER) AS ix, lat + 0.004e0 AS lat, lon + 0.004e0 AS lon FROM dem),
+points AS (SELECT s.lat, s.lon, sum(t.v / 100 * CASE WHEN a.a = 0 THEN 0.8e0 ELSE 0.2e0 END * CASE WHEN b.b = 0 THEN 0.8e0 ELSE 0.2e0 END) AS ele FROM spots s, range(2) a(a), range(2) b(b), total t WHERE t.y = least(s.iy + a.a, 11) AND t.x = least(s.ix + b.b, 9) GROUP BY s.lat, s.lon HAVING count(*) = 4),
+{_radar('points')} SELECT lat, lon, {r('ele', 4)} AS ele, {r('azi', 0)} AS azi, {r('rng', 1)} AS rng, {r('slant', 1)} AS slant FROM trans""")
 def geocode_points(spark, sf):
     grid = Grid(0.0, 0.02, 12, 4.0, 0.02, 10)
-    return geocode.geocode_points(_dem(spark, sf).select((F.col("lat") + 0.004).alias("lat"), (F.col("lon") + 0.004).alias("lon")), _dem(spark, sf), grid, _orbit(spark), _scene())
+    out = geocode.geocode_points(_dem(spark, sf).select((F.col("lat") + 0.004).alias("lat"), (F.col("lon") + 0.004).alias("lon")), _dem(spark, sf), grid, _orbit(spark), _scene())
+    return rounded(rounded(rounded(out, "ele", digits=4), "azi", digits=0), "rng", "slant", digits=1)
 
 
-@query()
+def _degrees(a: float, b: float) -> str:
+    return f"radians(({a!r}e0 + {b!r}e0 * day) % 360)"
+
+
+def _tide(times: str, grid: str) -> str:
+    """SQL of ``tide``: date, y, x, lon, lat, dx, dy, dz from days since noon of 2000-01-01 and a grid; a low-precision Sun and Moon."""
+    spin = lambda k: f"cos(turn) * {k}x + sin(turn) * {k}y AS {k}x, -sin(turn) * {k}x + cos(turn) * {k}y AS {k}y, {k}z"
+    part = lambda k, mass, axis: f"{mass!r}e0 * {geocode.EARTH_A!r}e0 ** 4 / (d{k} * d{k} * d{k}) * (0.6078e0 * p{axis} / pr * (1.5e0 * c{k} * c{k} - 0.5e0) + 3 * 0.0847e0 * c{k} * ({k}{axis} / d{k} - c{k} * p{axis} / pr))"
+    moved = ", ".join(f"{part('s', 332946.0, a)} + {part('m', 0.0123000371, a)} AS t{a}" for a in "xyz")
+    along = lambda k: f"(px * {k}x + py * {k}y + pz * {k}z) / (pr * d{k}) AS c{k}"
+    return f"""t0 AS (SELECT *, radians(23.439e0 - 0.0000004e0 * day) AS eps, {_degrees(357.528, 0.9856003)} AS g, {_degrees(218.316, 13.176396)} AS long, {_degrees(134.963, 13.064993)} AS anomaly, {_degrees(93.272, 13.229350)} AS node, {_degrees(280.46061837, 360.98564736629)} AS turn FROM {times}),
+t1 AS (SELECT *, radians((280.460e0 + 0.9856474e0 * day) % 360 + 1.915e0 * sin(g) + 0.020e0 * sin(2 * g)) AS lam, 149597870700e0 * (1.00014e0 - 0.01671e0 * cos(g) - 0.00014e0 * cos(2 * g)) AS au,
+  long + radians(6.289e0) * sin(anomaly) AS ml, radians(5.128e0) * sin(node) AS mb, 385000560e0 - 20905000e0 * cos(anomaly) AS mr FROM t0),
+t2 AS (SELECT date, turn, au * cos(lam) AS sx, au * cos(eps) * sin(lam) AS sy, au * sin(eps) * sin(lam) AS sz, mr * cos(mb) * cos(ml) AS mx,
+  cos(eps) * (mr * cos(mb) * sin(ml)) - sin(eps) * (mr * sin(mb)) AS my, sin(eps) * (mr * cos(mb) * sin(ml)) + cos(eps) * (mr * sin(mb)) AS mz FROM t1),
+t3 AS (SELECT date, {spin('s')}, {spin('m')} FROM t2), t4 AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS ds, sqrt(mx * mx + my * my + mz * mz) AS dm FROM t3),
+g0 AS ({_ecef(grid, '0e0', 'y, x, lon, lat')}), g1 AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS pr FROM g0), g2 AS (SELECT *, {along('s')}, {along('m')} FROM g1, t4), g3 AS (SELECT date, y, x, lon, lat, {moved} FROM g2),
+tide AS (SELECT date, y, x, lon, lat, -sin(radians(lon)) * tx + cos(radians(lon)) * ty AS dx, -sin(radians(lat)) * cos(radians(lon)) * tx - sin(radians(lat)) * sin(radians(lon)) * ty + cos(radians(lat)) * tz AS dy,
+  cos(radians(lat)) * cos(radians(lon)) * tx + cos(radians(lat)) * sin(radians(lon)) * ty + sin(radians(lat)) * tz AS dz FROM g3)"""
+
+
+PLACES = "places AS (SELECT y, x, x / 10 AS lon, y / 10 AS lat FROM total)"
+
+
+@query(f", times AS (SELECT date, CAST(date_diff('day', DATE '2000-01-01', date) AS DOUBLE) AS day FROM scenes), {PLACES}, {_tide('times', 'places')} SELECT date, y, x, lon, lat, {r('dx', 5)} AS dx, {r('dy', 5)} AS dy, {r('dz', 5)} AS dz FROM tide")
 def solid_tides(spark, sf):
     times = S.scenes(spark, sf).select((F.col("date").cast("timestamp") + F.expr("interval 43200 seconds")).alias("datetime"))
-    return geocode.tides(S.total(spark, sf).select("y", "x", (F.col("x") / 10).alias("lon"), (F.col("y") / 10).alias("lat")), times)
+    return rounded(geocode.tides(S.total(spark, sf).select("y", "x", (F.col("x") / 10).alias("lon"), (F.col("y") / 10).alias("lat")), times), "dx", "dy", "dz", digits=5)
 
 
-@query()
+@query(f""", times AS (SELECT date, date_diff('day', DATE '2000-01-01', date) - 0.5e0 AS day FROM scenes), {PLACES}, {_tide('times', 'places')}
+SELECT p.ref, p.rep, a.y, a.x, {r('0.4e0 * (b.dx - a.dx) + 0.1e0 * (b.dy - a.dy) + 0.9e0 * (b.dz - a.dz)', 5)} AS tidal_los FROM pairs p JOIN tide a ON a.date = p.ref JOIN tide b ON b.date = p.rep AND b.y = a.y AND b.x = a.x""")
 def tidal_los(spark, sf):
     times = S.scenes(spark, sf).select(F.col("date").cast("timestamp").alias("datetime"))
     grid = S.total(spark, sf).select("y", "x", (F.col("x") / 10).alias("lon"), (F.col("y") / 10).alias("lat"))
     look = S.total(spark, sf).select("y", "x", F.lit(0.4).alias("look_E"), F.lit(0.1).alias("look_N"), F.lit(0.9).alias("look_U"))
-    return geocode.tidal_los(S.pairs(spark, sf), geocode.tides(grid, times).select("date", "y", "x", "dx", "dy", "dz"), look, GRID)
+    return rounded(geocode.tidal_los(S.pairs(spark, sf), geocode.tides(grid, times).select("date", "y", "x", "dx", "dy", "dz"), look, GRID), "tidal_los", digits=5)
 
 
 TRANS = "trans AS (SELECT y / 50 AS lat, x / 50 AS lon, CAST(round(y * 0.9e0 + 0.3e0) AS INTEGER) AS iy, CAST(round(x * 1.3e0 - 1) AS INTEGER) AS ix FROM total)"

@@ -1,6 +1,9 @@
 """Sources, stores, sessions, streams and geocoding."""
 
 import datetime as dt
+import gzip
+import struct
+import zipfile
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from fringework.operators import geocode
 from fringework.operators.raster import Grid
 from fringework.session import Fan, Session
-from fringework.sources import catalog, rasters
+from fringework.sources import catalog, formats, rasters
 from fringework.sources.store import Store
 from fringework.streaming import scenes as streams
 
@@ -150,3 +153,46 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_raster_files_come_back(spark, tmp_path):
+    r = np.random.default_rng(2)
+    g = Grid(10.25, 0.5, 33, -3.5, 0.25, 41)
+    cells = {(y, x): float(np.float32(r.normal())) for y in range(33) for x in range(41) if r.random() < 0.8 and not (16 <= y < 32 and x < 16)}
+    df = spark.createDataFrame([(10.25 + 0.5 * y, -3.5 + 0.25 * x, v if (y + x) % 7 else None) for (y, x), v in cells.items()], "lat double, lon double, v double").withColumn("path", F.lit("clash"))
+    want = {(10.25 + 0.5 * y, -3.5 + 0.25 * x): (cells[y, x] if (y + x) % 7 else None) if (y, x) in cells else None for y in range(33) for x in range(41)}
+    for write, read, more in ((formats.write_geotiff, formats.read_geotiff, {"tile": 16}), (formats.write_netcdf, formats.read_netcdf, {})):
+        path = str(tmp_path / write.__name__)
+        write(df, path, "v", g, **more)
+        got = {(x.lat, x.lon): x.v for x in read(formats.files(spark, path)).collect()}
+        assert got == want
+        write(df.filter("false"), path, "v", g, **more)
+        empty = read(formats.files(spark, path)).collect()
+        assert len(empty) == 33 * 41 and all(x.v is None for x in empty)
+    raw = (tmp_path / "write_geotiff").read_bytes()
+    _, tags = formats._tags(raw)
+    assert tags[256] == (41,) and tags[257] == (33,) and tags[33922][3:5] == (-3.625, 26.5) and tags[34735][-1] == 4326
+    with pytest.raises(Exception, match="classic NetCDF"):
+        formats.read_netcdf(formats.files(spark, str(tmp_path / "write_geotiff"))).collect()
+
+
+def test_plain_strips_of_whole_numbers(spark, tmp_path):
+    """A classic TIFF in big-endian order with two strips, written by hand."""
+    a = np.array([[1, 2, -9], [4, 5, 6]], ">i2")
+    tags = [(256, 3, 1, 3 << 16), (257, 3, 1, 2 << 16), (258, 3, 1, 16 << 16), (259, 3, 1, 1 << 16), (273, 4, 2, 158), (277, 3, 1, 1 << 16), (278, 3, 1, 1 << 16), (279, 4, 2, 166), (339, 3, 1, 2 << 16), (33550, 12, 3, 174), (33922, 12, 6, 198), (42113, 2, 3, int.from_bytes(b"-9\0\0", "big"))]
+    head = struct.pack(">2sHIH", b"MM", 42, 8, len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + struct.pack(">I", 0)
+    body = head.ljust(158, b"\0") + struct.pack(">4I", 248, 254, 6, 6) + struct.pack(">3d", 0.5, 0.25, 0) + struct.pack(">6d", 0, 0, 0, 10, 20, 0)
+    (tmp_path / "a.tif").write_bytes(body.ljust(248, b"\0") + a.tobytes())
+    got = {(x.lat, x.lon): x.v for x in formats.read_geotiff(formats.files(spark, str(tmp_path / "a.tif"))).collect()}
+    assert got == {(19.875, 10.25): 1, (19.875, 10.75): 2, (19.875, 11.25): None, (19.625, 10.25): 4, (19.625, 10.75): 5, (19.625, 11.25): 6}
+
+
+def test_height_tiles(spark, tmp_path):
+    a = (np.arange(9).reshape(3, 3) * 10).astype(">i2")
+    a[1, 1] = -32768
+    (tmp_path / "S02W003.hgt").write_bytes(a.tobytes())
+    (tmp_path / "N05E010.hgt.gz").write_bytes(gzip.compress(a.tobytes()))
+    with zipfile.ZipFile(tmp_path / "N00E000.zip", "w") as z:
+        z.writestr("N00E000.hgt", a.tobytes())
+    got = {(x.lat, x.lon): x.ele for x in formats.height_tiles(formats.files(spark, str(tmp_path))).collect()}
+    assert len(got) == 27 and got[-1.0, -3.0] == 0 and got[-2.0, -2.0] == 80 and got[5.5, 10.5] is None and got[6.0, 11.0] == 20 and got[0.0, 0.5] == 70
