@@ -28,22 +28,21 @@ def read_samples(spark: SparkSession, path: str, width: int, shape: tuple[int, i
     raw = spark.sparkContext.newAPIHadoopFile(
         path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(4 * width)}
     )
-    table = spark.createDataFrame(raw.map(lambda kv: (int(kv[0]) // (4 * width), bytes(kv[1]))), "line long, raw binary")
+    lines = spark.createDataFrame(raw, "at long, raw binary").select((F.col("at") / (4 * width)).cast("long").alias("line"), "raw")
     if rows is not None:
-        table = table.filter(F.col("line") < rows)
+        lines = lines.filter(F.col("line") < rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for line, data in zip(b["line"], b["raw"], strict=True):
-                v = np.frombuffer(data, "<i2").reshape(-1, 2)[:cols].astype(np.float32) * np.float32(scale)
-                if len(v) < cols:
-                    v = np.vstack([v, np.zeros((cols - len(v), 2), np.float32)])
-                yield pd.DataFrame({"y": line + 0.5, "x": np.arange(cols) + 0.5, "re": v[:, 0], "im": v[:, 1]})
-
-    out = table.mapInPandas(run, "y double, x double, re float, im float")
+        for b in batches:  # many lines at once
+            a = np.frombuffer(b"".join(b["raw"]), "<i2").reshape(len(b), width, 2)[:, :cols].astype(np.float32) * np.float32(scale)
+            if width < cols:
+                a = np.concatenate([a, np.zeros((len(b), cols - width, 2), np.float32)], 1)
+            yield pd.DataFrame({"y": np.repeat(b["line"].to_numpy() + 0.5, cols), "x": np.tile(np.arange(cols) + 0.5, len(b)), "re": a[..., 0].reshape(-1), "im": a[..., 1].reshape(-1)})
+
+    out = lines.mapInPandas(run, "y double, x double, re float, im float")
     if rows is not None:  # lines that the file doesn't have
         every = spark.range(rows).select((F.col("id") + 0.5).alias("y"))
-        gone = every.join(table.select((F.col("line") + 0.5).alias("y")), "y", "left_anti")
+        gone = every.join(lines.select((F.col("line") + 0.5).alias("y")), "y", "left_anti")
         fill = gone.select("y", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("i")).select("y", (F.col("i") + 0.5).alias("x"), F.lit(0.0).cast("float").alias("re"), F.lit(0.0).cast("float").alias("im"))
         out = out.unionByName(fill)
     there = (F.col("re") != 0) | (F.col("im") != 0)
@@ -116,6 +115,18 @@ PRESETS = {
 }
 
 
+def addresses(tiles: DataFrame, preset: str, base: str, product: str = "") -> DataFrame:
+    """Tiles (``lat, lon`` in whole degrees, or ``x, y, z``) with the ``address`` of each in a source and its ``kind`` of file."""
+    pattern, kind = PRESETS[preset]
+    out = F.lit(pattern.replace("{base}", base).replace("{product}", product))
+    parts = {c: F.col(c).cast("string") for c in "xyz"}
+    if "{lat" in pattern:
+        parts = dict(zip(("lat", "lon"), degree_name(F.col("lat"), F.col("lon")), strict=True)) | dict(zip(("lat5", "lon5"), degree_name(F.col("lat"), F.col("lon"), 5), strict=True))
+    for k, c in parts.items():
+        out = F.replace(out, F.lit("{" + k + "}"), c)
+    return tiles.withColumns({"address": out, "kind": F.lit(kind)})
+
+
 def height_preset(provider: str) -> str:
     names = {"GLO": "dem_glo", "SRTM": "dem_srtm", "ALOS": "dem_alos"}
     if provider not in names:
