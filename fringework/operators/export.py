@@ -101,7 +101,11 @@ def vtk_lines(data: DataFrame, values: list[str], grid: Grid, key: str | None =
 
     points = F.array_join(F.transform(cols, lambda i: F.concat_ws(" ", (F.lit(float(grid.x0)) + i * float(grid.dx)).cast("string"), lat, F.coalesce(at(i, "z"), F.lit(0.0)).cast("string"))), " ")
     parts = [rows.select(*keys, F.lit(1).alias("part"), "row", points.alias("line"))]
-    parts += [rows.select(*keys, F.lit(3 + 2 * k).alias("part"), "row", F.array_join(F.transform(cols, lambda i, k=k: text(at(i, f"v{k}"))), " ").alias("line")) for k in range(len(values))]
+
+    def numbers(name: str) -> Column:
+        return F.array_join(F.transform(cols, lambda i: text(at(i, name))), " ")
+
+    parts += [rows.select(*keys, F.lit(3 + 2 * k).alias("part"), "row", numbers(f"v{k}").alias("line")) for k in range(len(values))]
     n = grid.ny * grid.nx
     heads = {0: ["# vtk DataFile Version 3.0", title, "ASCII", "DATASET STRUCTURED_GRID", f"DIMENSIONS {grid.nx} {grid.ny} 1", f"POINTS {n} double"]}
     heads |= {2 + 2 * k: [*([f"POINT_DATA {n}"] if not k else []), f"SCALARS {v} double 1", "LOOKUP_TABLE default"] for k, v in enumerate(values)}

@@ -992,8 +992,12 @@ def plot_displacements(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from fringework.plans import archive  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from fringework.plans import archive  # noqa: F401
+
     return dict(SQL)
