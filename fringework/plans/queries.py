@@ -865,7 +865,7 @@ def scene_names(spark, sf):
 
 
 @query("""WITH f AS (SELECT CAST(ts AS DATE) AS date, min(ts) AS t FROM events GROUP BY 1),
-o AS (SELECT event_id, ts - INTERVAL 20 HOUR AS a, ts + INTERVAL 20 HOUR AS b, CASE WHEN event_id % 3 = 0 THEN 'POE' ELSE 'RES' END AS kind, ts AS created FROM events WHERE event_type = 'purchase' OR event_id % 5 = 0),
+o AS (SELECT event_id, ts - INTERVAL 20 HOUR AS a, ts + INTERVAL 20 HOUR AS b, CASE WHEN event_id % 3 = 0 THEN 'POE' ELSE 'RES' END AS kind, ts AS created FROM events),
 h AS (SELECT f.date, o.event_id, o.kind, row_number() OVER (PARTITION BY f.date ORDER BY CASE WHEN o.kind = 'POE' THEN 0 ELSE 1 END, o.created DESC, CAST(o.event_id AS VARCHAR)) AS n FROM f JOIN o
   ON CASE WHEN o.kind = 'RES' THEN o.a + INTERVAL 1 HOUR <= f.t AND f.t <= o.b - INTERVAL 5 MINUTE ELSE o.a <= f.t AND f.t <= o.b END)
 SELECT strftime(f.date, '%Y-%m-%d') AS date, CAST(h.event_id AS VARCHAR) AS orbitpath, h.kind FROM f LEFT JOIN h ON h.date = f.date AND h.n = 1""", base=False)
@@ -873,8 +873,7 @@ def orbit_choice(spark, sf):
     e = table(spark, sf, "events")
     t = F.col("ts").cast("timestamp")
     scenes = e.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("S1A").alias("mission"), t.alias("datetime"))
-    some = e.filter((F.col("event_type") == "purchase") | (F.col("event_id") % 5 == 0))
-    orbits = some.select(F.col("event_id").cast("string").alias("path"), F.lit("S1A").alias("mission"), F.when(F.col("event_id") % 3 == 0, "POE").otherwise("RES").alias("kind"), t.alias("created"), (t - F.expr("interval 20 hours")).alias("start"), (t + F.expr("interval 20 hours")).alias("stop"))
+    orbits = e.select(F.col("event_id").cast("string").alias("path"), F.lit("S1A").alias("mission"), F.when(F.col("event_id") % 3 == 0, "POE").otherwise("RES").alias("kind"), t.alias("created"), (t - F.expr("interval 20 hours")).alias("start"), (t + F.expr("interval 20 hours")).alias("stop"))
     return catalog.valid_orbit(scenes, orbits).select("date", "orbitpath", "kind")
 
 
@@ -928,11 +927,12 @@ def parameter_override(spark, sf):
     return params.explode(a.join(b, "c_nationkey").select("c_nationkey", params.merge(F.col("params"), few).alias("params")), "c_nationkey")
 
 
-@query(f"WITH a AS ({LAST.format(0, 'WHERE c_nationkey = 1')}), b AS ({LAST.format(1, 'WHERE c_nationkey = 1 AND c_custkey % 2 = 0')}), u AS (SELECT name, v FROM a UNION ALL SELECT name, v FROM b) SELECT name, CAST(v AS VARCHAR) AS value FROM u GROUP BY ALL HAVING count(*) = 1", base=False)
+@query(f"WITH a AS ({LAST.format(0, '')}), b AS ({LAST.format(1, 'WHERE c_custkey % 2 = 0')}), u AS (SELECT c_nationkey, name, v FROM a UNION ALL SELECT c_nationkey, name, v FROM b) SELECT c_nationkey, name, CAST(v AS VARCHAR) AS value FROM u GROUP BY ALL HAVING count(*) = 1", base=False)
 def parameter_difference(spark, sf):
-    a = params.explode(_params(spark, sf, 0).filter("c_nationkey = 1"))
-    b = params.explode(_params(spark, sf, 1).filter("c_nationkey = 1")).filter((F.substring("name", 5, 9).cast("int") % 2) == 0)
-    return params.difference(a, b)
+    """All nations' parameters against others that only even names have."""
+    a = params.explode(_params(spark, sf, 0), "c_nationkey")
+    b = params.explode(_params(spark, sf, 1), "c_nationkey").filter((F.substring("name", 5, 9).cast("int") % 2) == 0)
+    return params.difference(a, b, "c_nationkey")
 
 
 # ---- tiles and exports
@@ -960,11 +960,14 @@ def export_csv(spark, sf):
     return export.csv_rows(geo, "v", "date")
 
 
-@query(f"""SELECT x AS lon, y AS lat, {", ".join(f"max(CASE WHEN date = DATE '2024-01-{d:02d}' THEN round(v, 2) + 0e0 END) AS d{d}" for d in (1, 2, 3))} FROM stack WHERE date <= DATE '2024-01-03' GROUP BY x, y""")
+DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]  # all that the events have
+
+
+@query(f"""SELECT x AS lon, y AS lat, {", ".join(f"max(CASE WHEN date = DATE '{d}' THEN round(v, 2) + 0e0 END) AS d{d[-2:]}" for d in DAYS)} FROM stack GROUP BY x, y""")
 def export_pivot(spark, sf):
-    geo = S.stack(spark, sf).filter("date <= '2024-01-03'").select("date", F.col("x").alias("lon"), F.col("y").alias("lat"), "v")
-    out = export.pivoted(geo, "v", "date", ["2024-01-01", "2024-01-02", "2024-01-03"])
-    return out.select("lon", "lat", *(F.col(f"`2024-01-{d:02d}`").alias(f"d{d}") for d in (1, 2, 3)))
+    geo = S.stack(spark, sf).select("date", F.col("x").alias("lon"), F.col("y").alias("lat"), "v")
+    out = export.pivoted(geo, "v", "date", DAYS)
+    return out.select("lon", "lat", *(F.col(f"`{d}`").alias(f"d{d[-2:]}") for d in DAYS))
 
 
 @query("""SELECT '{"type":"Feature","properties":{"v":' || CAST(round(v, 2) + 0e0 AS VARCHAR) || '},"geometry":{"type":"Point","coordinates":[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ']}}' AS value FROM total""")
