@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fringework import shared
 from fringework.functions import columns as C
+from fringework.functions import geometry
 from fringework.functions.columns import SPEED_OF_LIGHT
 from fringework.operators import raster
 from fringework.operators.raster import Grid
@@ -85,6 +86,18 @@ def around(orbit: DataFrame, start: float, stop: float, margin: float = 600.0) -
     return orbit.filter(F.col("clock").between(start - margin, stop + margin))
 
 
+def orbit_numbers(orbit: DataFrame, params: Mapping[str, float]) -> dict[str, float]:
+    """What a scene's orbit says: speed, Earth radius below, and height over it at the middle, the start and the end of the scene.
+
+    ``params``: clock_start (days), PRF and num_lines.
+    """
+    start = params["clock_start"] * 86400
+    p, v = orbit_model(orbit)(start + np.array([0.5, 0.0, 1.0]) * params["num_lines"] / params["PRF"])
+    height, below = geometry.ellipsoid_height(*p.T)
+    names = zip(("SC_height", "SC_height_start", "SC_height_end"), height + below - below[0], strict=True)
+    return {"SC_vel": float(np.sqrt((v[0] ** 2).sum())), "earth_radius": float(below[0])} | {k: float(h) for k, h in names}
+
+
 def to_radar(points: DataFrame, orbit: DataFrame, params: Mapping[str, float], keep_outside: bool = False) -> DataFrame:
     """``rng, azi`` pixel coordinates (and ``slant`` metres) of rows with lon, lat and height ``ele`` by the zero-Doppler condition.
 

@@ -307,12 +307,13 @@ def robust_plane(points: DataFrame, rank: int = 3, x: str = "x", y: str = "y", z
 
 def fit_offsets(offsets: DataFrame, rank_range: int, rank_azimuth: int, snr: float = 20) -> dict[str, float]:
     """Shift and stretch parameters from offsets (columns range, d_range, azimuth, d_azimuth, snr) over a signal-to-noise limit."""
-    good = offsets.filter(F.col("snr") > snr)
+    good = shared.materialise(offsets.filter(F.col("snr") > snr), "offsets")  # read once for each round of two fits
     n = good.count()
     if n < 8:
         raise ValueError(f"{n} points are over the limit; 8 are needed")
     rng, (x0, x1, y0, y1) = robust_plane(good.select(F.col("range").alias("x"), F.col("azimuth").alias("y"), F.col("d_range").alias("z")), rank_range)
     azi, _ = robust_plane(good.select(F.col("range").alias("x"), F.col("azimuth").alias("y"), F.col("d_azimuth").alias("z")), rank_azimuth)
+    shared.drop_table(offsets.sparkSession, good)
     out = {}
     for name, sub, coef in (("r", "r", rng), ("a", "a", azi)):
         c = [*coef, 0.0, 0.0][:3]

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from fringework.functions import geometry
 from fringework.functions.columns import SPEED_OF_LIGHT
-from fringework.operators import export, geocode, params, raster, regression, report, stats, stl, unwrap2d
+from fringework.operators import align, export, geocode, params, raster, regression, report, stats, stl, unwrap2d
 from fringework.operators import pairs as P
 from fringework.operators.raster import Grid
 from fringework.plans import samples as S
-from fringework.plans.queries import DAY, GRID, NAME, PI, query, r, rounded
+from fringework.plans.queries import DAY, DEM, GRID, IN_SCENE, NAME, PI, _dem, _orbit, _radar, _scene, query, r, rounded
 from fringework.session import Fan, Session
 from fringework.shared import new_path, table
 from fringework.sources import catalog, formats, rasters
@@ -199,7 +199,10 @@ def samples_stitched(spark, sf):
 def height_model(spark, sf):
     """A height model cut to a box with a buffer, over the ellipsoid by a geoid of coarser cells."""
     m = S.total(spark, sf).select((F.col("y") / 7).alias("lat"), (F.col("x") / 7).alias("lon"), F.when(F.col("v") >= 40, F.col("v") / 64).otherwise(float("nan")).alias("ele"))
-    clean = rasters.clean_model(m, box=(0.2, 0.3, 1.1, 1.2))
+    store = Store(spark, new_path(spark, "store"))
+    store.save_cube(m, "model")
+    store.register("dem", store.path("model"))
+    clean = rasters.clean_model(store.registered("dem"), box=(0.2, 0.3, 1.1, 1.2))
     geoid = spark.range(56).select((F.floor(F.col("id") / 7) * 0.25).alias("lat"), ((F.col("id") % 7) * 0.25).alias("lon")).withColumn("geoid", 10 + 2 * F.col("lat") + 3 * F.col("lon"))
     return rounded(rasters.over_ellipsoid(clean, geoid, Grid(0.0, 0.25, 8, 0.0, 0.25, 7)), "ele", digits=4)
 
@@ -407,6 +410,88 @@ def reference_systems(spark, sf):
     return out
 
 
+OTHER = {"near_range": 801000.0, "num_rng_bins": 21000.0}
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, CAST(n_nationkey * 10 AS DOUBLE) AS len, n_nationkey * 7e0 AS alpha FROM nation),
+a AS (SELECT *, 7064000e0 AS c, 801000e0 AS l1, 801000e0 + {STEP} * 21000 AS l2 FROM n),
+g AS (SELECT *, acos(((l1 * l1 + c * c - 6371000e0 * 6371000e0) / (2 * l1 * c) + (l2 * l2 + c * c - 6371000e0 * 6371000e0) / (2 * l2 * c)) / 2) + acos(((c * c + 6371000e0 * 6371000e0 - l1 * l1) / (2 * c * 6371000e0) + (c * c + 6371000e0 * 6371000e0 - l2 * l2) / (2 * c * 6371000e0)) / 2) - radians(alpha) AS angle FROM a)
+SELECT CAST(k AS INTEGER) AS k, round(len * sin(angle), 6) + 0e0 AS parallel, round(len * cos(angle), 6) + 0e0 AS perpendicular, round((k * 1000e0 + 2000) / sqrt(2), 6) + 0e0 AS vertical, round(abs(k * 1000e0 - 2000) / sqrt(2) * CASE WHEN k * 1000 + 2000 < 0 THEN 1 ELSE 1 END, 6) + 0e0 AS horizontal,
+  round(700000e0 + k * 1000, 3) + 0e0 AS height, round(86400 * (k + 0.5e0) + (k + 0.25e0 + (2000 - 1500) / 2e0) / 500, 6) + 0e0 AS start, round(86400 * (k + 0.5e0) + (k + 0.25e0 + (2000 - 1500) / 2e0) / 500 + 1500 / 500e0, 6) + 0e0 AS stop FROM g""", base=False)
+def baseline_numbers(spark, sf):
+    """Baselines in parts, height over the ellipsoid and a scene's seconds, for 25 sets of numbers."""
+    rows = []
+    for x in table(spark, sf, "nation").collect():  # a table of nations
+        k = x.n_nationkey
+        par, perp = geometry.baseline_projections(GEO, OTHER, k * 10.0, k * 7.0)
+        up, side = geometry.baseline_components((k * 1000.0, 2000.0, 0.0), (5e6, 5e6, 0.0), (5e6, 5.1e6, 0.0), False, False)
+        height, _ = geometry.ellipsoid_height(6378137.0 + 700000.0 + k * 1000, 0.0, 0.0)
+        start, stop = geometry.scene_seconds({"clock_start": k + 0.5, "ashift": k, "sub_int_a": 0.25, "nrows": 2000, "num_valid_az": 1500, "PRF": 500, "num_patches": 1})
+        rows.append((k, *(round(float(v), 6) + 0.0 for v in (par, perp, up, side)), round(float(height), 3), round(start, 6), round(stop, 6)))
+    return spark.createDataFrame(rows, "k int, parallel double, perpendicular double, vertical double, horizontal double, height double, start double, stop double")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, CAST((190 + n_nationkey) / 86400e0 AS DOUBLE) AS clock FROM nation), t AS (SELECT k, clock * 86400 + f * 2000 / 486.5e0 AS t, f FROM n, (VALUES (0e0), (0.5e0), (1e0)) u(f)),
+z AS (SELECT k, f, 7064000e0 * sin((t - 200) * ({2 * 3.141592653589793!r}e0 / 5900)) / 7064000e0 AS s FROM t), b AS (SELECT k, f, 1 / sqrt((1 - s * s) / (6378137e0 * 6378137e0) + s * s / (6356752.31424518e0 * 6356752.31424518e0)) AS below FROM z)
+SELECT CAST(k AS INTEGER) AS k, round(any_value(7064000e0 * {2 * 3.141592653589793!r}e0 / 5900), 2) AS speed, round(max(CASE WHEN f = 0.5e0 THEN below END), 1) AS earth_radius, round(7064000e0 - max(CASE WHEN f = 0.5e0 THEN below END), 1) AS height FROM b GROUP BY k""", base=False)
+def orbit_derived(spark, sf):
+    """Speed, Earth radius and height that a scene's orbit says, for 25 starts on a circle."""
+    rows = []
+    for x in table(spark, sf, "nation").collect():  # a table of nations
+        f = geocode.orbit_numbers(_orbit(spark), {"clock_start": (190 + x.n_nationkey) / 86400, "PRF": 486.5, "num_lines": 2000})
+        rows.append((x.n_nationkey, round(f["SC_vel"], 2), round(f["earth_radius"], 1), round(f["SC_height"], 1)))
+    return spark.createDataFrame(rows, "k int, speed double, earth_radius double, height double")
+
+
+# ---- alignment
+
+
+@query(f""", {DEM}, {_radar('dem')} SELECT lat, lon, {r('-35.5e0', 4)} AS d_azimuth, {r('-20.25e0', 4)} AS d_range, CAST(-36 AS DOUBLE) AS ashift, 0.5e0 AS sub_int_a, CAST(-21 AS DOUBLE) AS rshift, 0.75e0 AS sub_int_r, {r('-35.5e0', 3)} AS dy, {r('-20.25e0', 3)} AS dx FROM trans WHERE {IN_SCENE}""")
+def alignment(spark, sf):
+    """Offsets of a repeat scene that starts later and farther, the shifts fitted to them, and those at the cells."""
+    one = geocode.transform(_dem(spark, sf), _orbit(spark), _scene())
+    later = _scene() | {"clock_start": _scene()["clock_start"] + 35.5 / 486.5 / 86400, "near_range": 700000.0 + 20.25 * SPEED_OF_LIGHT / _scene()["rng_samp_rate"] / 2}
+    two = geocode.transform(_dem(spark, sf), _orbit(spark), later)
+    offsets = align.offsets_between(one, two)
+    fit = regression.fit_offsets(offsets, 1, 1)
+    shifts = align.fitted_shifts(one.select(F.col("azi").alias("y"), F.col("rng").alias("x")), fit)
+    out = one.join(shifts, (one["azi"] == shifts["y"]) & (one["rng"] == shifts["x"])).join(offsets, (one["azi"] == offsets["azimuth"]) & (one["rng"] == offsets["range"]))
+    numbers = [F.lit(float(round(fit[k], 6))).alias(k) for k in ("ashift", "sub_int_a", "rshift", "sub_int_r")]
+    return rounded(rounded(out.select("lat", "lon", "d_azimuth", "d_range", *numbers, "dy", "dx"), "d_azimuth", "d_range", digits=4), "dy", "dx", digits=3)
+
+
+@query(f""", t AS (SELECT s.date, yy.y, xx.x, sum(s.re * a.w * b.w) AS re, sum(s.im * a.w * b.w) AS im, count(*) AS n FROM range(12) yy(y), range(10) xx(x), (VALUES (0, 0.75e0), (1, 0.25e0)) a(k, w), (VALUES (0, 0.5e0), (1, 0.5e0)) b(k, w), slc s
+  WHERE s.y = least(yy.y + a.k, 11) AND s.x = least(xx.x + b.k, 9) GROUP BY ALL)
+SELECT date, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, {r('re', 4)} AS re, {r('im', 4)} AS im FROM t WHERE n = 4""")
+def resampled(spark, sf):
+    """Scenes resampled at cells moved by a quarter line and half a column."""
+    shifts = S.total(spark, sf).select("y", "x", F.lit(0.25).alias("dy"), F.lit(0.5).alias("dx"))
+    out = align.resampled(S.slc(spark, sf), ["re", "im"], shifts, GRID, "linear", ["date"])
+    return rounded(out.filter("re IS NOT NULL"), "re", "im", digits=4)
+
+
+@query(f""", k AS (SELECT y, x, v, row_number() OVER (PARTITION BY y, x ORDER BY v) AS n FROM total) SELECT y, x, v / 64 AS topo FROM k""")
+def topography(spark, sf):
+    """The heights of an inverse transform."""
+    inv = S.total(spark, sf).select("y", "x", F.lit(0.0).alias("lt"), F.lit(0.0).alias("ll"), (F.col("v") / 64).alias("ele"))
+    store = Store(spark, new_path(spark, "store"))
+    return geocode.topo_of(store.sync_cube(inv, "trans_inv"))
+
+
+@query("""SELECT strftime(min(date), '%Y-%m-%d') AS date, CAST(500 AS DOUBLE) AS prf, CAST(1001 AS BIGINT) AS bins, CAST(1508 AS BIGINT) AS num_lines, CAST(1001 + 999 - 1 - 1 AS BIGINT) AS merged_bins FROM scenes""")
+def session_parameters(spark, sf):
+    """Parameters of a session's reference date and first subswath, and the extent of its merged subswaths: the first starts 7
+    lines later than the second, whose near range is all but one bin farther."""
+    one = _session(spark, sf)
+    s = F.col("id").cast("int")
+    step = SPEED_OF_LIGHT / 64000000 / 2
+    values = {"PRF": F.lit(500.0), "clock_start": 100 + (2 - s) * 7 / 500.0 / 86400, "SC_clock_start": F.lit(1.0), "near_range": 800000 + (s - 1) * 1000 * step, "rng_samp_rate": F.lit(64000000.0), "num_rng_bins": F.lit(1003) - s * 2, "num_valid_az": F.lit(1501)}
+    one.parameters = spark.range(1, 3).select(F.lit(one.reference).alias("date"), s.alias("subswath"), F.create_map(*(x for n, v in values.items() for x in (F.lit(n), v.cast("string")))).alias("params"))
+    number = lambda n: params.number(F.col("params"), n)
+    merged = one.params_merged().select("date", number("num_lines").alias("num_lines"), number("num_rng_bins").alias("merged_bins"))
+    return one.params_of().select("date", number("PRF").alias("prf"), number("num_rng_bins").alias("bins")).join(merged, "date")
+
+
 # ---- fits and series
 
 

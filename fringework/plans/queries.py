@@ -995,12 +995,12 @@ def plot_displacements(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from fringework.plans import archive  # noqa: F401  (registers its own)
+    from fringework.plans import archive, wide  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from fringework.plans import archive  # noqa: F401
+    from fringework.plans import archive, wide  # noqa: F401
 
     return dict(SQL)
