@@ -969,6 +969,28 @@ def test_pipeline_drops_and_keeps(spark, sf_dir):
     check_packing(rows, sum(r.length for r in rows))
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, odd, nothing, tmp_path):
+    """Null ids, texts and columns, empty, white and long texts, repeated rows and clashing columns go through every stage."""
+    import corpus_pipeline
+
+    sound = ["The council met on Monday and agreed to repair the old bridge before the winter, as most people in the town had hoped for years.", "Le conseil municipal a voté hier soir la réparation du vieux pont avant que la neige ne bloque encore une fois la route du village."]
+    more = spark.createDataFrame([(20 + i, f"{sound[i % 2]} Nombre {i} de {i * 7} " + " ".join(f"mot{i}x{k}" for k in range(12)), "en" if i % 2 == 0 else "fr", None, 5) for i in range(40)] + [(None, sound[0], "en", "s", 1), (90, f"{sound[0]} password=hunter2hunter2", "en", "s", 1), (90, f"{sound[0]} password=hunter2hunter2", "en", "s", 1)], DOCS)
+    docs = odd.unionByName(more.withColumns({c: F.lit("clash") for c in CLASH}))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, None).collect() == []
+        out = stage(spark, docs, None)
+        rows = out.collect()
+        assert rows and (name == "best-fit packing" or out.columns == docs.columns)
+    for name, table in (("some", docs), ("none", nothing)):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert bool(rows) == (name == "some")
+        check_packing(rows, sum(r.length for r in rows))
+        if rows:
+            assert sum(r.doc_id == 90 for r in rows) <= 1 and 7 not in {r.doc_id for r in rows}
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
