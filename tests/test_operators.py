@@ -390,3 +390,58 @@ def test_parameter_difference_by_key(spark):
     a = spark.createDataFrame([(1, "x", "1"), (1, "y", "2"), (2, "x", "1"), (2, "y", "3")], cols)
     b = spark.createDataFrame([(1, "x", "1.0"), (1, "y", "2"), (2, "x", "2"), (2, "y", "3")], cols)
     assert sorted(map(tuple, params.difference(a, b, "k").collect())) == [(2, "x", "1"), (2, "x", "2")]
+
+
+def test_polygon_clip(spark):
+    r = np.random.default_rng(3)
+    pts = r.uniform(-2, 12, (2000, 2))
+    ring = [(0, 0), (10, 1), (9, 9), (5, 4), (1, 8), (0, 0)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
+
+    def inside(x, y):
+        angle = 0.0
+        for (xa, ya), (xb, yb) in zip(ring, ring[1:], strict=False):
+            a, b = math.atan2(ya - y, xa - x), math.atan2(yb - y, xb - x)
+            angle += (b - a + math.pi) % (2 * math.pi) - math.pi
+        return abs(angle) > 1
+
+    def near(x, y, d):
+        out = []
+        for (xa, ya), (xb, yb) in zip(ring, ring[1:], strict=False):
+            t = min(1, max(0, ((x - xa) * (xb - xa) + (y - ya) * (yb - ya)) / ((xb - xa) ** 2 + (yb - ya) ** 2)))
+            out.append(math.hypot(x - xa - t * (xb - xa), y - ya - t * (yb - ya)))
+        return min(out) <= d
+
+    for d in (0.0, 0.7):
+        got = {(p.x, p.y) for p in stats.clip_polygon(df, ring, d).collect()}
+        assert got == {(float(a), float(b)) for a, b in pts if inside(a, b) or (d and near(a, b, d))}
+
+
+@pytest.mark.parametrize("bracket", [1_000_000, 20])
+def test_quantiles_of_a_whole_column(spark, monkeypatch, bracket):
+    """Small brackets take the rounds of histograms that large tables need; ties fill whole brackets."""
+    monkeypatch.setattr(stats, "MOST_BRACKET", bracket)
+    r = np.random.default_rng(4)
+    for values in (r.normal(0, 1, 3000), np.round(r.exponential(1, 2000), 1), np.full(500, 2.5), np.concatenate([np.full(900, 1e9), r.normal(0, 1e-9, 500)]), np.array([7.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        at = [0.0, 0.01, 0.5, 0.77, 1.0]
+        got = stats.quantiles(df, "v", at).first()
+        assert np.allclose(list(got), np.quantile(values, at), rtol=1e-12, atol=1e-18)
+    assert tuple(stats.quantiles(df.filter("v > 100"), "v", [0.5]).first()) == (None,)
+
+
+def test_report_of_a_place(spark):
+    from fringework.operators import report
+
+    steps = list(range(0, 40))
+    rows = [(day(a), day(b), float(y), float(x), (b - a) * 0.02 * (x + 1) + 0.3 * (math.sin(2 * math.pi * b / 7) - math.sin(2 * math.pi * a / 7)), 0.8) for a in steps for b in (a + 1, a + 2) if b < 40 for y in (0, 1) for x in (0, 1)]
+    data = spark.createDataFrame(rows, "ref date, rep date, y double, x double, phase double, correlation double")
+    got = report.displacement_report(data, 0.9, 1.2, wavelength=0.0556, weight="correlation", freq="D", period=7).orderBy("date").collect()
+    scale = -0.0556 / (4 * math.pi) * 1000
+    assert len(got) == 40 and {(r.y, r.x) for r in got} == {(1.0, 1.0)}
+    truth = scale * np.array([0.04 * k + 0.3 * math.sin(2 * math.pi * k / 7) for k in steps])
+    slope, start = np.polyfit(steps, truth, 1)
+    for k, r in enumerate(got):
+        assert abs(r.displacement - truth[k]) < 0.02
+        assert abs(r.velocity - slope * 365.25) < 0.02 and abs(r.line - start - slope * k) < 0.02 and r.rmse < 0.01
+        assert abs(r.trend + r.seasonal - r.displacement) < 0.02 and abs(r.trend - scale * 0.04 * k) < 0.05
