@@ -128,11 +128,12 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 0, capacity: int = 204
     full = all_pieces.filter(F.col("length") == capacity).select("*", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("sequence_fill"))
     rest = all_pieces.filter(F.col("length") < capacity)
     tasks = max(1, -(-rest.count() // per_task))
-    level, placed = 0, None
+    level, placed, used = 0, None, [all_pieces]
     items = rest.select("item", F.col("length").alias("size"))
     while True:
         last = tasks == 1
         done = common.materialise(_round(items, tasks, capacity, slack, fan_in, level, last), f"bins{level}")
+        used.append(done)
         # A place is (bin, offset) at this level; parents of earlier bins shift what lies in them.
         step = done.select("item", "bin", "offset", "fill")
         if placed is None:
@@ -146,4 +147,4 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 0, capacity: int = 204
         tasks, level = -(-tasks // fan_in), level + 1
     packed = rest.join(placed, "item").select(*rest.columns, F.col("bin").alias("sequence_id"), "offset", F.col("fill").alias("sequence_fill"))
     out = full.unionByName(packed).drop("item")
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    return common.result(out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out, "packed", *used)
