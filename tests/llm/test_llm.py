@@ -760,7 +760,7 @@ def test_rans_table():
 def test_binary_output(spark, docs, odd, nothing):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for df in (docs, odd, nothing):
-        folder = f"{common.shared_dir(spark)}/test-{random.getrandbits(60)}"
+        folder = common.new_path(spark, "test")
         ans.write(df, P.path("byte_bpe_50k.json"), 2, folder, partitions=3)
         got = sorted(ans.read(spark, folder).collect(), key=lambda r: r.start)
         want = Counter()
@@ -776,7 +776,7 @@ def test_binary_output(spark, docs, odd, nothing):
 
 
 def test_damaged_chunk_is_noticed(spark, docs):
-    folder = f"{common.shared_dir(spark)}/test-{random.getrandbits(60)}"
+    folder = common.new_path(spark, "test")
     ans.write(docs, P.path("byte_bpe_50k.json"), 2, folder, partitions=2)
     bad = spark.read.parquet(f"{folder}/chunks").withColumn("payload", F.concat(F.col("payload"), F.lit(b"x")))
     bad.write.parquet(f"{folder}/bad/chunks")
