@@ -203,10 +203,10 @@ def pair_polynomial(data: DataFrame, value: str, degree: int = 0, weight: str |
             powers = t[None, :] ** np.arange(degree + 1)[:, None]  # degree, pair
             a = np.einsum("np,ip,jp->nij", ok.astype(float), powers, powers)
             b = np.where(ok, z, 0.0) @ powers.T
-            enough = np.array([len(np.unique(t[x])) > degree for x in np.unique(ok, axis=0)]) if len(k) else np.zeros(0, bool)
-            if not enough.any():
+            kinds, kind = np.unique(ok, axis=0, return_inverse=True)
+            solvable = np.array([len(np.unique(t[x])) > degree for x in kinds], bool)[kind.reshape(-1)]
+            if not solvable.any():
                 continue
-            solvable = enough[np.unique(ok, axis=0, return_inverse=True)[1].reshape(-1)]
             out[solvable, d] = np.linalg.solve(a[solvable], b[solvable][..., None])[:, degree, 0] / YEAR**degree
         return _between(known, dates, out, have)
 
