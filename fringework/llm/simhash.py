@@ -8,6 +8,13 @@ each other; groups of ``FAN`` neighbours form a node that holds the bits all of
 search goes down the tree, adds up the differences to the shared bits that upper nodes don't hold already, and prunes a
 whole group once they exceed the limit. Groups already linked to the query as a whole are passed over: links serve to find
 components, not to list pairs.
+
+Texts alike by a share of their five-word shingles (``similar_groups``) differ in more bits than bands can find. There the
+fingerprint has 1,024 bits over the distinct shingles; a bucket holds the texts that agree on the least hashes of ``ROWS``
+permutations of their shingles, with ``BANDS`` such buckets a text, and is searched by the same index under the rising limits
+``WIDE_MOST``. Under the first limit texts are alike beyond doubt. Of the other pairs a bucket gives ``FORESTS`` forests
+without a pair in common that span its components, nearly the nearest first, so that a group isn't listed pair by pair, and
+the shingles of these pairs are compared. A link is lost only if that many other pairs across the same cut all fail.
 """
 
 from __future__ import annotations
@@ -27,7 +34,70 @@ from fringework.operators import components
 
 FAN = 16
 DEPTHS = (64, 48, 36)  # remaining bits at each pigeonhole split; a quarter of them is the band
-FRONTIER = 2_000_000  # query-node pairs held at a time
+FRONTIER = 2_000_000  # query-node pairs held at a time, of 64 bits each
+
+#: Two texts of Jaccard similarity 0.8 have a cosine of 0.889 and differ in 0.151 of all bits, 155 of 1,024 with a standard
+#: deviation of 11.5: the last limit lies 2.5 of these above, the first 4.8 below.
+WIDE_WORDS, WIDE_MOST = 16, (100, 135, 160, 184)
+FORESTS = 8
+#: A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**5)**16 = 0.998.
+BANDS, ROWS = 16, 5
+ROUND = 2040  # shingles counted at a time: eight rows of 255, which a byte can count
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_STEPS = np.arange(1, BANDS * ROWS + WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+WIDE_SEEDS, FACTORS = _STEPS[:WIDE_WORDS], _mixed(_STEPS[WIDE_WORDS:]) | np.uint64(1)
+
+
+def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, some at a time; fewer words than ``shingle`` are one shingle."""
+    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    for at in range(0, n, 1 << 16):
+        some = words[at : at + (1 << 16) + shingle - 1]
+        parts = zip(*(some[i:] for i in range(shingle)), strict=False) if len(some) >= shingle else [some]
+        yield np.fromiter((digest(b" ".join(x), 42) for x in parts), np.uint64)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, list[int], bytes]:
+    """Of the distinct shingles of a text: a signed number that equal sets share, the ``BANDS`` bucket numbers, the fingerprint.
+
+    A text without words has number 0 and no bucket.
+    """
+    h = shingle_set(text, shingle)
+    if not len(h):
+        return 0, [], bytes(8 * WIDE_WORDS)
+    ones, least = np.zeros(64 * WIDE_WORDS, np.int64), np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(h), ROUND):
+        some = h[at : at + ROUND]
+        np.minimum(least, (some[:, None] * FACTORS).min(0), out=least)
+        bits = np.unpackbits(_mixed(some[:, None] ^ WIDE_SEEDS).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(some), 255):
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    wide = np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+    bands = [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) for k in range(0, BANDS * ROWS, ROWS)]
+    return set_number(h), [_signed(x) for x in bands], wide
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles of a text in ascending order; none without words."""
+    words = common.words_of(text)
+    return np.unique(np.concatenate(list(_hashes(words, shingle)))) if words else np.zeros(0, np.uint64)
+
+
+def set_number(hashes: np.ndarray) -> int:
+    """A signed number that names a set of shingles; 0 for none."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42)) if len(hashes) else 0
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -64,13 +134,14 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Gray-order hierarchical index over the codes of many buckets at once. ``bucket``: ascending numbers from 0."""
+    """Gray-order hierarchical index over the codes of many buckets at once. ``bucket``: ascending numbers from 0; ``codes``:
+    a number each, or a row of them, of which the first gives the order."""
 
     def __init__(self, bucket: np.ndarray, codes: np.ndarray):
-        order = np.lexsort((gray_rank(codes), bucket))
+        order = np.lexsort((gray_rank(codes if codes.ndim == 1 else codes[:, 0]), bucket))
         self.order, self.bucket, self.codes = order, bucket[order], codes[order]
         n = len(codes)
-        full = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
+        full = np.full(codes.shape, np.uint64(0xFFFFFFFFFFFFFFFF))
         #: levels[0] are the codes; each level: bucket, shared mask, pattern, first child, end of children, end of codes
         self.levels = [(self.bucket, full, self.codes, np.arange(n), np.arange(n) + 1, np.arange(n) + 1)]
         while True:
@@ -91,42 +162,67 @@ class Index:
         self.residual = [lv[1] for lv in self.levels]
         for k in range(len(self.levels) - 1):
             _, up, _, first, last, _ = self.levels[k + 1]
-            self.residual[k] = self.levels[k][1] & ~np.repeat(up, last - first)
+            self.residual[k] = self.levels[k][1] & ~np.repeat(up, last - first, axis=0)
 
     def components(self, most: int) -> np.ndarray:
         """For each code in index order, a number that codes linked by ``most`` or fewer bits share (an index of the component)."""
+        label = np.arange(len(self.codes))
+        self._link(label, most)
+        return label
+
+    def forests(self, limits: tuple[int, ...], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links ``a, b`` (places in index order) and whether each is within the first limit: a forest of those that are, and
+        up to ``number`` forests of further ones that span the components, without a link in common."""
         n = len(self.codes)
-        label = np.arange(n)
+        near, joins = np.arange(n), []
+        self._link(near, limits[0], joins)
+        out, seen, active = [(a, b, np.ones(len(a), bool)) for a, b in joins], np.zeros(0, np.int64), np.ones(n, bool)
+        for _ in range(number):
+            label, joins = near.copy(), []
+            for most in limits[1:]:
+                self._link(label, most, joins, seen, active)
+            if not sum(len(a) for a, _ in joins):
+                break
+            a, b = (np.concatenate(x) for x in zip(*joins, strict=True))
+            out.append((a, b, np.zeros(len(a), bool)))
+            seen, active = np.union1d(seen, a * n + b), np.isin(self.bucket, self.bucket[a])
+        return tuple(np.concatenate([o[k] for o in out] + [np.zeros(0, (np.int64, np.int64, bool)[k])]) for k in range(3))
+
+    def _link(self, label: np.ndarray, most: int, pairs: list[tuple[np.ndarray, np.ndarray]] | None = None, seen: np.ndarray | None = None, active: np.ndarray | None = None) -> None:
+        """Unite what ``most`` or fewer bits link, in place. ``pairs`` gets the links that joined two components each; links
+        ``seen`` (place of the first times the codes, plus that of the second) are passed over, as are codes not ``active``."""
         top = len(self.levels) - 1
         roots = np.searchsorted(self.levels[top][0], self.bucket)
         sizes = np.searchsorted(self.bucket, self.bucket, side="right") - np.searchsorted(self.bucket, self.bucket, side="left")
-        queries = np.flatnonzero(sizes > 1)
+        queries = np.flatnonzero(sizes > 1 if active is None else (sizes > 1) & active)
         if not len(queries):
-            return label
-        chunk = max(256, -(-len(queries) // 64))
+            return
+        chunk, frontier = max(256, -(-len(queries) // 64)), FRONTIER // (1 if self.codes.ndim == 1 else self.codes.shape[1])
         for at in range(0, len(queries), chunk):
             q = queries[at : at + chunk]
             whole = self._whole(label)
-            acc = np.bitwise_count((self.codes[q] ^ self.levels[top][2][roots[q]]) & self.residual[top][roots[q]]).astype(np.int64)
+            acc = _ones((self.codes[q] ^ self.levels[top][2][roots[q]]) & self.residual[top][roots[q]])
             stack = [(top, q, roots[q], acc)]
             while stack:
                 level, q, node, acc = stack.pop()
                 if not level:
-                    _unite(label, q, node)
+                    if seen is not None and len(seen):
+                        new = ~np.isin(q * len(label) + node, seen)
+                        q, node = q[new], node[new]
+                    _unite(label, q, node, pairs)
                     continue
                 _, _, _, first, last, _ = self.levels[level]
                 count = last[node] - first[node]
-                if count.sum() > FRONTIER and len(q) > 1:
+                if count.sum() > frontier and len(q) > 1:
                     half = len(q) // 2
                     stack += [(level, q[half:], node[half:], acc[half:]), (level, q[:half], node[:half], acc[:half])]
                     continue
                 q, acc = np.repeat(q, count), np.repeat(acc, count)
                 node = np.repeat(first[node] - (np.cumsum(count) - count), count) + np.arange(len(q))
                 below = level - 1
-                acc = acc + np.bitwise_count((self.codes[q] ^ self.levels[below][2][node]) & self.residual[below][node])
+                acc = acc + _ones((self.codes[q] ^ self.levels[below][2][node]) & self.residual[below][node])
                 keep = (acc <= most) & (self.levels[below][5][node] > q + 1) & (whole[below][node] != label[q])
                 stack.append((below, q[keep], node[keep], acc[keep]))
-        return label
 
     def _whole(self, label: np.ndarray) -> list[np.ndarray]:
         """For each node the label that all its codes share, or -1."""
@@ -137,15 +233,27 @@ class Index:
         return out
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the components of the pairs, in place; labels are roots (label[label] == label) before and after."""
+def _ones(x: np.ndarray) -> np.ndarray:
+    """How many bits are 1 in each number or row of numbers."""
+    n = np.bitwise_count(x)
+    return n.astype(np.int64) if x.ndim == 1 else n.sum(-1, dtype=np.int64)
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+    """Merge the components of the pairs, in place; labels are roots (label[label] == label) before and after. ``pairs`` gets
+    those that joined two components."""
     while len(a):
         la, lb = label[a], label[b]
         differ = la != lb
         if not differ.any():
             return
         a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        high, low = np.maximum(la, lb), np.minimum(la, lb)
+        if pairs is not None:
+            order = np.lexsort((low, high))
+            joins = order[np.unique(high[order], return_index=True)[1]]
+            pairs.append((a[joins], b[joins]))
+        np.minimum.at(label, high, low)
         while True:
             up = label[label]
             if (up == label).all():
@@ -174,18 +282,24 @@ def _split(rows: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _links(units: DataFrame, most: int) -> DataFrame:
-    """Edges ``a, b`` from each code to the smallest one of its component within its unit (path, key)."""
+def _links(units: DataFrame, *most: int) -> DataFrame:
+    """Edges ``a, b`` from each code to the smallest one of its component within its unit (path, key). If a column ``wide``
+    holds the fingerprints that the codes name, the edges are those of ``Index.forests`` and have ``near``."""
     spark = units.sparkSession
     common.ship(spark)
-    ready = units.select("path", "key", "code").repartition("path", "key").sortWithinPartitions("path", "key")
+    named = "wide" in units.columns
+    ready = units.select("path", "key", "code", *(["wide"] if named else [])).repartition("path", "key").sortWithinPartitions("path", "key")
 
-    def out(paths: list[np.ndarray], keys: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+    def out(paths: list[np.ndarray], keys: list[np.ndarray], codes: list[np.ndarray], *wide: list[np.ndarray]) -> pa.RecordBatch:
         path, key, code = np.concatenate(paths), np.concatenate(keys), np.concatenate(codes)
         new = np.ones(len(path), bool)
         new[1:] = (path[1:] != path[:-1]) | (key[1:] != key[:-1])
-        index = Index(np.cumsum(new) - 1, code.view(np.uint64))
-        label, own = index.components(most), index.codes.view(np.int64)
+        index = Index(np.cumsum(new) - 1, np.concatenate(wide[0]) if named else code.view(np.uint64))
+        own = code[index.order]
+        if named:
+            one, two, near = index.forests(most, FORESTS)
+            return pa.RecordBatch.from_arrays([pa.array(own[one]), pa.array(own[two]), pa.array(near)], names=["a", "b", "near"])
+        label = index.components(*most)
         root = own.copy()
         np.minimum.at(root, label, own)
         root = root[label]
@@ -193,19 +307,21 @@ def _links(units: DataFrame, most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(own[differ]), pa.array(root[differ])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], []]
+        held: list[list[np.ndarray]] = [[] for _ in range(4 if named else 3)]
         rows, last = 0, None
         for b in batches:
-            cols = [np.asarray(c, np.int64) for c in b.columns]
             if not b.num_rows:
                 continue
+            cols = [np.asarray(c, np.int64) for c in b.columns[:3]]
+            if named:
+                cols.append(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1))
             if rows >= 100_000:  # whole units only: what belongs to the last one waits
                 cut = int(np.searchsorted((cols[0] != last[0]) | (cols[1] != last[1]), True)) if (cols[0][0], cols[1][0]) == last else 0
                 if cut < len(cols[0]):
                     for h, c in zip(held, cols, strict=True):
                         h.append(c[:cut])
                     yield out(*held)
-                    held, rows, cols = [[], [], []], 0, [c[cut:] for c in cols]
+                    held, rows, cols = [[] for _ in held], 0, [c[cut:] for c in cols]
             for h, c in zip(held, cols, strict=True):
                 h.append(c)
             rows += len(cols[0])
@@ -213,7 +329,7 @@ def _links(units: DataFrame, most: int) -> DataFrame:
         if rows:
             yield out(*held)
 
-    return ready.mapInArrow(run, "a long, b long")
+    return ready.mapInArrow(run, "a long, b long, near boolean" if named else "a long, b long")
 
 
 def _blocks(rows: DataFrame, block: int, most: int) -> DataFrame:
@@ -287,11 +403,14 @@ def groups(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096,
     the id of their component, null if it has none; repeated ids and rows are kept row by row; extra columns are ignored;
     an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = common.materialise(fingerprints(docs, shingle, id_col, text_col), "codes")
     codes = common.materialise(rows.groupBy("code").agg(F.min("doc_id").alias("least")), "distinct")
     used: list[DataFrame] = []
-    edges = common.materialise(links(codes, most, block, used), "links")
+    return _grouped(rows, codes, links(codes, most, block, used), used)
+
+
+def _grouped(rows: DataFrame, codes: DataFrame, linked: DataFrame, used: list[DataFrame]) -> DataFrame:
+    edges = common.materialise(linked, "links")
     star = components.stars(edges)
     rooted = common.result(codes.join(star, codes["code"] == star["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted", codes, edges, star, *used)
     ids = common.materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
@@ -299,6 +418,73 @@ def groups(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096,
     return common.result(rows.join(whole, "code").select("doc_id", "code", "root", "component_id"), "groups", rows, whole)
 
 
+def _wide_links(codes: DataFrame, most: tuple[int, ...], block: int, used: list[DataFrame]) -> DataFrame:
+    """Pairs ``a < b, near`` of classes ``code, bands, wide`` that share a bucket and joined two components of it.
+
+    Buckets of one class go before fingerprints are looked up. One of more than ``block`` classes is dealt to blocks, and
+    each pair of blocks is a unit, so that a task holds at most two blocks of it and no link is lost.
+    """
+    entries = codes.select("code", F.explode("bands").alias("key"))
+    sizes = common.materialise(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    used.append(sizes)
+    members = entries.join(sizes, "key").join(codes.select("code", "wide"), "code")
+    pieces = F.ceil(F.col("n") / block)
+    own = F.pmod(F.xxhash64("code"), pieces)
+    both = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda j: F.least(own, j) * pieces + F.greatest(own, j))
+    units = members.select(F.explode(F.when(F.col("n") > block, both).otherwise(F.array(F.lit(0).cast("long")))).alias("path"), "key", "code", "wide")
+    out = common.materialise(_links(units, *most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").distinct(), "candidates")
+    used.append(out)
+    return out
+
+
+def _alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, shingle: int, share: float, used: list[DataFrame]) -> DataFrame:
+    """The pairs that are ``near``, and those whose sets of shingles have ``share`` or more in common. Only texts of the latter
+    are read again, one a class. docs: ``doc_id, text``; codes: ``code, least`` with the id of a row of each class."""
+    sure, pairs = pairs.filter("near").select("a", "b"), pairs.filter("not near").select("a", "b")
+    wanted = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct().join(codes.select("code", "least"), "code"), "wanted")
+    texts = docs.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 0):
+            found = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            hashes = pa.LargeListArray.from_arrays(ends, np.concatenate(found).view(np.int64)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([set_number(h) for h in found], pa.int64()), hashes], names=["code", "hashes"])
+
+    # Rows of one id can have several texts, so the classes are looked at again.
+    sets = texts.mapInArrow(run, "code long, hashes array<long>").join(wanted.select("code"), "code", "left_semi").groupBy("code").agg(F.first("hashes").alias("hashes"))
+    sets = common.materialise(sets, "sets")
+    used += [wanted, sets]
+    one, two = (sets.select(F.col("code").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
+    common_ones = F.size(F.array_intersect("of_a", "of_b"))
+    all_ones = F.size("of_a") + F.size("of_b") - common_ones
+    return pairs.join(one, "a").join(two, "b").filter(common_ones.cast("long") * 1000 >= all_ones.cast("long") * round(share * 1000)).select("a", "b").unionByName(sure)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8, most: tuple[int, ...] = WIDE_MOST, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``groups``, but texts link that have ``share`` or more of their distinct ``shingle``-word shingles in common.
+
+    ``most``: rising limits of differing bits, fit for a share of 0.8: within the first a pair is taken as alike, within the
+    others it is a candidate. ``code`` names the set of shingles. Texts without words (null ones too) are one group. Nulls, repeated
+    rows, extra columns and empty tables: as ``groups``.
+    """
+    common.ship(docs.sparkSession)
+    kind = docs.select(id_col).dtypes[0][1]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 1):
+            code, bands, wide = zip(*(wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "code", "bands", "wide"])
+
+    whole = common.materialise(texts.mapInArrow(run, f"doc_id {kind}, code long, bands array<long>, wide binary"), "codes")
+    codes = common.materialise(whole.groupBy("code").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("wide").alias("wide")), "distinct")
+    rows = whole.select("doc_id", "code")
+    rows._table = whole._table  # so that ``drop_table`` takes it
+    used: list[DataFrame] = []
+    return _grouped(rows, codes, _alike(texts, codes, _wide_links(codes, most, block, used), shingle, share, used), used)
+
+
 def hexadecimal(code: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
 
@@ -307,17 +493,21 @@ def hexadecimal(code: Column) -> Column:
 FEW_IDS, FEW_BYTES = 1_000_000, 32 << 20
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096, few_ids: int = FEW_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096, few_ids: int = FEW_IDS, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """All columns of one row of each component: that with the smallest id (null if it has no other), of several such rows one
     with the smallest code.
 
+    With a ``share`` groups are those of ``similar_groups``, without those of ``groups``.
     Null and empty texts have fingerprint 0 and are one component. Of repeated rows one stays. Extra columns may have any
     names; an empty table gives an empty result. Texts are shuffled only if over ``few_ids`` ids go, but for those of ids
     that several rows share.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows = groups(docs, shingle, most, block, id_col, text_col)
+    if share is None:
+        rows = groups(docs, shingle, most, block, id_col, text_col)
+    else:
+        rows = similar_groups(docs, shingle, share, WIDE_MOST, block, id_col, text_col)
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = rows.filter(own).groupBy("root").agg(F.min(F.struct("code", "doc_id")).alias("x")).select(F.col("x.code").alias("kept_code"), F.col("x.doc_id").alias("kept_id"))
     first = common.materialise(first, "kept")
@@ -334,11 +524,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3, block: int = 4096
     out = whole.join(F.broadcast(ids) if few else ids, key.eqNullSafe(F.col("doc_id")), "left_anti")
     several = ids.filter("several")
     if not several.isEmpty():
+        code_of = fingerprint if share is None else lambda t, k: set_number(shingle_set(t, k))
         mixed = whole.join(F.broadcast(several) if few else several, key.eqNullSafe(F.col("doc_id")), "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.slices(batches, place):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, shingle) for t in b.column(place).to_pylist()], pa.int64())], names=[*b.schema.names, "code"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([code_of(t, shingle) for t in b.column(place).to_pylist()], pa.int64())], names=[*b.schema.names, "code"])
 
         mixed = mixed.mapInArrow(run, StructType([*whole.schema.fields, StructField("code", LongType())]))
         mixed = mixed.join(first, (F.col("code") == F.col("kept_code")) & key.eqNullSafe(F.col("kept_id")), "left_semi")
