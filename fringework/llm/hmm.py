@@ -1,9 +1,9 @@
 """Language-model scoring by a hidden Markov model over words.
 
 Words are counted over all training texts. The most frequent ones (the head, a bounded table) have an emission probability
-of their own in every latent state; all others share one symbol per state, of which a word's share follows its count.
-With ``all_words`` the last round estimates emissions of these too, in a table as long as the vocabulary that meets the
-texts in shuffle joins.
+of their own in every latent state; in the first rounds all others share one symbol per state, by their counts.
+The last round estimates emissions of these too, each its own: expected counts by chunk of texts are summed by buckets of
+words and go back to the chunks, so no task or driver holds more of them than a bucket and a chunk.
 Baum-Welch: every task runs forward and backward over its whole texts, expected counts are summed over all tasks, and the
 model is re-estimated from them. A text's likelihood is the exact scaled forward recursion over all its tokens and its end.
 """
@@ -14,6 +14,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,11 @@ class Vocabulary:
     def tail_words(self) -> int:
         return self.words - len(self.head)
 
+    @property
+    def buckets(self) -> int:
+        """How many buckets the words beyond the head are dealt to by their hashes, of about 50,000 each."""
+        return self.tail_words // 50_000 + 1
+
 
 def count_words(docs: DataFrame, training: Column, most_head: int = 1 << 17, text_col: str = "text") -> Vocabulary:
     """Counts over all training texts. ``most_head`` bounds the head: words of at most ``MOST_BYTES`` whose count reaches
@@ -71,7 +78,7 @@ def count_words(docs: DataFrame, training: Column, most_head: int = 1 << 17, tex
         if total:
             yield out()
 
-    counts = common.materialise(docs.filter(training).select(text_col).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    counts = common.materialise(docs.filter(training).select(text_col).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words", sweep=True)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     short = counts.filter(F.octet_length("word") <= MOST_BYTES)
     level = F.floor(F.log2("c") * 4 + 1e-9).cast("int")
@@ -87,40 +94,79 @@ def count_words(docs: DataFrame, training: Column, most_head: int = 1 << 17, tex
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, extra: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts as head numbers (``len(head)``: any other word) with the other words aside, written to the shared folder.
+    """The texts in chunks of about ``BATCH_TOKENS`` tokens, written to the shared folder.
 
-    Columns: ``row`` (a number for each row), the id, the ``extra`` columns, ``ids binary (uint32)``, ``tail`` words.
+    A row is a chunk: its number ``chunk``; arrays of the ids and the ``extra`` columns; ``lengths`` of the texts in tokens
+    (int32); ``ids`` (uint32) of all its tokens, head numbers, or ``len(head)`` and above: places in ``words``, the distinct
+    other words of the chunk, which lie by bucket (as ``_bucket`` deals them), ``sizes`` (int32) of them in each.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast(vocabulary.head)
+    shared, buckets = spark.sparkContext.broadcast(vocabulary.head), vocabulary.buckets
     own = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in extra.items()), F.col(text_col).alias("text"))
-    names = ["row", *own.columns[:-1], "ids", "tail"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    place = len(own.columns) - 1
+    fields = own.schema.fields[:-1]
+    names = ["chunk", *(f.name for f in fields), "lengths", "ids", "words", "sizes"]
+    kinds = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in fields)
+    place = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w.encode(): i for i, w in enumerate(shared.value)}
-        other, end = len(number), number.get(END.encode(), len(number))
-        row, get = TaskContext.get().partitionId() << 40, number.get
+        head = {w.encode(): i for i, w in enumerate(shared.value)}
+        other, end, get = len(head), END.encode(), head.get
+        chunk = TaskContext.get().partitionId() << 40
+        number: dict[bytes, int] = {}
+        ids: list[np.ndarray] = []
+        parts: list[pa.RecordBatch] = []
+        total = 0
+
+        def out() -> pa.RecordBatch:
+            words, flat, rows = list(number), np.concatenate(ids), pa.Table.from_batches(parts).combine_chunks()
+            of = np.fromiter(map(_bucket, words, repeat(buckets)), np.int64, len(words))
+            order = np.argsort(of, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            beyond = flat >= other
+            flat[beyond] = other + rank[flat[beyond] - other]
+            one = pa.array([0, rows.num_rows], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk], pa.int64()),
+                    *(pa.ListArray.from_arrays(one, c.combine_chunks()) for c in rows.columns),
+                    pa.array([np.array([len(x) for x in ids], "<i4").tobytes()], pa.binary()),
+                    pa.array([flat.astype("<u4").tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(order))),
+                    pa.array([np.bincount(of, minlength=buckets).astype("<i4").tobytes()], pa.binary()),
+                ],
+                names=names,
+            )
+
         for b in common.slices(batches, place):
-            ids, tails = [], []
-            for t in b.column(place).to_pylist():
+            start = 0
+            for i, t in enumerate(b.column(place).to_pylist()):
                 words = common.words_of(t)
+                words.append(end)
                 found = list(map(get, words))
                 if None in found:
-                    tails.append([words[i].decode() for i, x in enumerate(found) if x is None])
-                    found = [other if x is None else x for x in found]
-                else:
-                    tails.append([])
-                if end == other:
-                    tails[-1].append(END)
-                found.append(end)
-                ids.append(np.array(found, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), *b.columns[:-1], pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.string()))], names=names)
-            row += b.num_rows
+                    found = [other + number.setdefault(words[k], len(number)) if x is None else x for k, x in enumerate(found)]
+                ids.append(np.array(found, np.int64))
+                total += len(found)
+                if total >= BATCH_TOKENS:
+                    parts.append(b.slice(start, i + 1 - start).select(range(place)))
+                    yield out()
+                    number, ids, parts, total, start, chunk = {}, [], [], 0, i + 1, chunk + 1
+            if start < b.num_rows:
+                parts.append(b.slice(start).select(range(place)))
+        if ids:
+            yield out()
+
+    return common.materialise(own.mapInArrow(run, f"chunk long, {kinds}, lengths binary, ids binary, words array<string>, sizes binary"), "encoded")
 
-    return common.materialise(own.mapInArrow(run, f"row long, {kinds}, ids binary, tail array<string>"), "encoded")
+
+def _bucket(word: bytes, buckets: int) -> int:
+    return crc32(word) % buckets
+
+
+def _sequences(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    return np.split(ids, np.cumsum(lengths)[:-1])
 
 
 class Lanes:
@@ -161,6 +207,7 @@ class Hmm:
     start: np.ndarray  # K
     move: np.ndarray  # K x K
     emit: np.ndarray  # (head + 1) x K, float32; the last row: all other words
+    share: np.ndarray | None = None  # K: the states' shares of the tokens of all other words
 
     def _emissions(self, lanes: Lanes, t0: int, t1: int) -> np.ndarray:
         a, b = int(lanes.offset[t0]), int(lanes.offset[t1])
@@ -246,27 +293,10 @@ def first_guess(vocabulary: Vocabulary, states: int) -> Hmm:
     return Hmm(np.full(states, 1 / states), move, (emit / emit.sum(0)).astype(np.float32))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
-    """Whole sequences in groups of about ``BATCH_TOKENS``, with the rows they come from."""
-    seqs, parts, total = [], [], 0
-    for b in batches:
-        start = 0
-        for i, raw in enumerate(b.column(col).to_pylist()):
-            ids = np.frombuffer(raw, "<u4")
-            seqs.append(ids)
-            total += len(ids)
-            if total >= BATCH_TOKENS:
-                yield seqs, pa.Table.from_batches([*parts, b.slice(start, i + 1 - start)]).combine_chunks()
-                seqs, parts, total, start = [], [], 0, i + 1
-        if start < b.num_rows:
-            parts.append(b.slice(start))
-    if seqs:
-        yield seqs, pa.Table.from_batches(parts).combine_chunks()
-
-
-def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = 8, rounds: int = 3, prior: float = 2000.0, all_words: bool = False) -> tuple[Hmm, DataFrame | None]:
-    """Baum-Welch over all rows of ``encoded``, whole texts: the model, and with ``all_words`` the words beyond its head with
-    their counts ``c`` and expected counts ``k0, ..`` by state, a table as long as the vocabulary (from the last round).
+def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = 8, rounds: int = 3, prior: float = 2000.0, all_words: bool = True, listed: bool = True) -> tuple[Hmm, DataFrame]:
+    """Baum-Welch over all rows of ``encoded`` (those of ``training``, if there is such a column), whole texts: the model, and
+    what the last round counted of the words beyond its head, as ``_summed`` gives it: by chunk, and if ``listed`` as a table.
+    With ``all_words`` these come with the states' shares of their tokens, and the model with those of all their tokens.
 
     ``prior``: pseudo-tokens, shared out by the words' counts, added to each emission.
     """
@@ -275,141 +305,215 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = 8, rounds: i
     size = other + 1
     base = np.append(vocabulary.head_counts, max(1, vocabulary.tail_tokens)).astype(np.float64)
     base /= base.sum()
-    cols = [f"k{j}" for j in range(states)]
-    words = None
+    words, chosen = None, "training" in encoded.columns
     for turn in range(rounds):
-        shared, wide = spark.sparkContext.broadcast(model), all_words and turn == rounds - 1
+        shared, last = spark.sparkContext.broadcast(model), turn == rounds - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, wide=wide) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             hmm, total = shared.value, np.zeros((size + 1 + states, states))
-            number: dict[str, int] = {}
-            of_word = np.zeros((1 << 16, states + 1))  # the last column counts
-
-            def beyond() -> pa.RecordBatch:
-                n = len(number)
-                return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *(pa.array(of_word[:n, j], pa.float32()) for j in range(states)), pa.array(list(number), pa.string()), pa.array(of_word[:n, states].astype(np.int64))], names=["i", *cols, "word", "c"])
-
-            for seqs, rows in _grouped(batches, 0):
-                lanes, others, found = Lanes(seqs), None, []
-                if wide:
-                    found = rows.column(1).combine_chunks().flatten().to_pylist()
-                    others = lanes.place[np.flatnonzero(np.concatenate(seqs) == other)]
-                starts, moves, emits, probable = hmm.expected(lanes, others)
-                total[:size] += emits
-                total[size] += starts
-                total[size + 1 :] += moves
-                if found:
-                    ids = np.array([number.setdefault(w, len(number)) for w in found], np.int64)
-                    n = len(number)
-                    if n > len(of_word):
-                        of_word = np.concatenate([of_word, np.zeros((n, states + 1))])
-                    for j in range(states):
-                        of_word[:n, j] += np.bincount(ids, weights=probable[:, j], minlength=n)
-                    of_word[:n, states] += np.bincount(ids, minlength=n)
-                    if n > 250_000:
-                        yield beyond()
-                        number, of_word = {}, np.zeros((1 << 16, states + 1))
-            if number:
-                yield beyond()
-            at = np.flatnonzero(total.any(1))
-            more = [pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64())] if wide else []
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, j], pa.float32()) for j in range(states)), *more], names=["i", *cols, *(["word", "c"] if wide else [])])
-
-        kinds = "i int, " + ", ".join(f"{c} float" for c in cols) + (", word string, c long" if wide else "")
-        found = encoded.select("ids", *(["tail"] if wide else [])).mapInArrow(run, kinds)
-        found = found.groupBy("i", *(["word"] if wide else [])).agg(*(F.sum(c).cast("double").alias(c) for c in cols), *([F.sum("c").alias("c")] if wide else []))
-        if wide:
-            words = common.materialise(found, "expected")
-            found = words.filter("i IS NOT NULL")
-        got = found.select("i", *cols).toArrow()
+            for row in _rows(batches):
+                flat, lengths = np.frombuffer(row["ids"], "<u4").astype(np.int64), np.frombuffer(row["lengths"], "<i4")
+                if chosen:
+                    of = np.array(row["training"], bool)
+                    flat, lengths = flat[np.repeat(of, lengths)], lengths[of]
+                beyond = np.flatnonzero(flat >= other)
+                local = flat[beyond] - other
+                flat[beyond] = other
+                probable = None
+                if len(flat):
+                    lanes = Lanes(_sequences(flat, lengths))
+                    starts, moves, emits, probable = hmm.expected(lanes, lanes.place[beyond] if last and all_words else None)
+                    total[:size] += emits
+                    total[size] += starts
+                    total[size + 1 :] += moves
+                if last:
+                    sizes = np.frombuffer(row["sizes"], "<i4")
+                    c = np.bincount(local, minlength=int(sizes.sum())).astype(np.int64)
+                    q = np.zeros((len(c), states if all_words else 0))
+                    if probable is not None:
+                        for j in range(states):
+                            q[:, j] = np.bincount(local, weights=probable[:, j], minlength=len(c))
+                    q = (q / np.maximum(c, 1)[:, None]).astype("<f2")
+                    at = np.flatnonzero(sizes)
+                    stops = np.cumsum(sizes)[at]
+                    starts = stops - sizes[at]
+                    edges = pa.array(np.append(starts, len(c)), pa.int32())
+                    spans = list(zip(starts.tolist(), stops.tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at, pa.int64()), pa.array([row["chunk"]] * len(at), pa.int64()), pa.array(starts, pa.int32()), pa.ListArray.from_arrays(edges, row["words"]), pa.array([c[i:j].astype("<u4").tobytes() for i, j in spans], pa.binary()), pa.array([q[i:j].tobytes() for i, j in spans], pa.binary())],
+                        names=PARTS,
+                    )
+            # The model's own counts go as blocks of rows, to buckets of negative numbers.
+            at = [i for i in range(0, len(total), BLOCK) if total[i : i + BLOCK].any()]
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in at], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.binary()), pa.array([total[i : i + BLOCK].astype("<f4").tobytes() for i in at], pa.binary())], names=PARTS)
+
+        parts = encoded.select(*(["training"] if chosen else []), "chunk", "lengths", "ids", *(["words", "sizes"] if last else [])).mapInArrow(run, PART_KINDS)
+        got = common.materialise(_summed(parts, states if all_words else 0, states, listed), "expected", sweep=True)
         total = np.zeros((size + 1 + states, states))
-        total[np.asarray(got.column("i"), np.int64)] = np.stack([np.asarray(got.column(c)) for c in cols], 1) if got.num_rows else 0
+        for r in got.filter("bucket < 0").select("bucket", "q").toArrow().to_pylist():
+            x = np.frombuffer(r["q"], np.float64).reshape(-1, states)
+            total[-1 - r["bucket"] :][: len(x)] = x
+        if last:
+            words = got
+        else:
+            common.drop_table(spark, got)
         shared.unpersist()
         emit = total[:size] + prior * base[:, None]
         move, start = total[size + 1 :] + 0.1, total[size] + 0.1
-        model = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), (emit / emit.sum(0)).astype(np.float32))
+        model = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), (emit / emit.sum(0)).astype(np.float32), _shares(total[other]))
     return model, words
 
 
-def tail_emissions(words: DataFrame, vocabulary: Vocabulary, states: int, weight: float = 1.0) -> DataFrame:
-    """``word, c, r``: for each word beyond the head, its emission in each state as a ratio to its share of all other words.
+PARTS = ["bucket", "chunk", "start", "words", "c", "q"]
+PART_KINDS = "bucket long, chunk long, start int, words array<string>, c binary, q binary"
+BLOCK = 2048  # rows of the model that a task sends at once
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one at a time; of lists of texts the Arrow array, of other columns the value."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {k: c[i].values if k == "words" else c[i].as_py() for k, c in zip(b.schema.names, b.columns, strict=True)}
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(counts / max(counts.sum(), 1e-300), 1e-12)
+
 
-    By Bayes' rule the ratio is the state's probability given the word over that given any word beyond the head; ``weight``
-    pseudo-tokens that follow the latter smooth it. The ratios are scaled so that in each state the shares of all known
-    words sum to what they sum to without them: emissions stay a distribution, and unknown words keep their share.
+def _summed(parts: DataFrame, width: int, states: int, listed: bool) -> DataFrame:
+    """``parts`` (one for each chunk and bucket: the words at ``start`` and after among the chunk's, how often each occurs, and
+    ``width`` shares of it) with the counts and shares of all chunks, without the words. If ``listed``, each bucket also has
+    a row without a chunk that holds its distinct words. Blocks of the model (negative buckets) are added up.
+
+    A task holds one bucket at a time, which is a bounded part of the vocabulary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held, block = None, {}, [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            if now < 0:
+                yield pa.RecordBatch.from_pylist([{"bucket": now, "q": block.tobytes()}], schema)
+                return
+            n = len(number)
+            c, k = np.zeros(n, np.int64), np.zeros((n, width))
+            for _, _, at, own, q in held:  # a chunk has a word once
+                own = np.frombuffer(own, "<u4")
+                c[at] += own
+                k[at] += np.frombuffer(q, "<f2").reshape(len(at), width) * own[:, None].astype(np.float64)
+            q = (k / np.maximum(c, 1)[:, None]).astype("<f2")
+            if listed:
+                yield pa.RecordBatch.from_pylist([{"bucket": now, "words": list(number), "c": c.tobytes(), "q": q.tobytes()}], schema)
+            for i in range(0, len(held), 256):
+                yield pa.RecordBatch.from_pylist([{"bucket": now, "chunk": chunk, "start": start, "c": c[at].tobytes(), "q": q[at].tobytes()} for chunk, start, at, _, _ in held[i : i + 256]], schema)
+
+        for b in batches:
+            for row in _rows(b.slice(i, 1) for i in range(b.num_rows)):
+                if row["bucket"] != now:
+                    yield from out()
+                    now, number, held, block = row["bucket"], {}, [], 0.0
+                if now < 0:
+                    block = block + np.frombuffer(row["q"], "<f4").astype(np.float64)
+                else:
+                    at = np.array([number.setdefault(w, len(number)) for w in row["words"].to_pylist()], np.int32)
+                    held.append((row["chunk"], row["start"], at, row["c"], row["q"]))
+        yield from out()
+
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.string())), ("c", pa.binary()), ("q", pa.binary())])
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PART_KINDS)
+
+
+def _ratios(c: np.ndarray, q: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Emissions of words beyond the head in each state, as ratios to their shares of all other words by count.
+
+    A word's share of the other words' tokens in a state is its expected count there plus one, all over those of all such
+    words and one unknown word; expected counts are scaled so that each state has as many tokens beyond the head as the
+    texts. A word's ratio is then 1 if it is unknown, and the shares of a state sum to 1.
     """
-    cols = [f"k{j}" for j in range(states)]
-    words = words.filter("word IS NOT NULL")
-    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cols)).first()
-    whole = max(sum(sums), 1e-300)
-    share = [max(s / whole, 1e-12) for s in sums]
-    seen = sum(F.col(c) for c in cols)
-    own = words.select("word", "c", *(((F.col(c) + weight * p) / (seen + weight) / p).alias(c) for c, p in zip(cols, share, strict=True)))
-    total = own.agg(*(F.sum((F.col("c") + 1) * F.col(c)).alias(c) for c in cols), F.sum(F.col("c") + 1).alias("all")).first()
-    scale = [(total["all"] / total[c]) if total["all"] else 1.0 for c in cols]
-    return own.select("word", "c", F.array(*((F.col(c) * x).cast("float") for c, x in zip(cols, scale, strict=True))).alias("r"))
-
-
-def score(docs: DataFrame, training: Column, states: int = 8, rounds: int = 3, most_head: int = 1 << 16, all_words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    c = c[:, None].astype(np.float64)
+    return (c * q / share + 1) / (c + 1)
+
+
+def tail_emissions(words: DataFrame, vocabulary: Vocabulary, states: int) -> DataFrame:
+    """``word, c, r`` of the words listed by ``train``: each word beyond the head with its count and ``_ratios``."""
+    listed = words.filter("bucket >= 0 AND chunk IS NULL")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(states)
+        for row in _rows(batches):
+            total += np.frombuffer(row["c"], np.int64) @ np.frombuffer(row["q"], "<f2").reshape(-1, states).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["k"])
+
+    share = _shares(sum((np.array(r.k) for r in listed.select("c", "q").mapInArrow(sums, "k array<double>").collect()), np.zeros(states)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            c = np.frombuffer(row["c"], np.int64)
+            r = _ratios(c, np.frombuffer(row["q"], "<f2").reshape(-1, states).astype(np.float64), share)
+            yield pa.RecordBatch.from_arrays([row["words"], pa.array(c), pa.array(r.tolist(), pa.list_(pa.float64()))], names=["word", "c", "r"]).filter(pa.array(c > 0))
+
+    return listed.select("words", "c", "q").mapInArrow(run, "word string, c long, r array<double>")
+
+
+def score(docs: DataFrame, training: Column, states: int = 8, rounds: int = 3, most_head: int = 1 << 16, all_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, training, n_tokens, n_known, train_tokens, base_score, score`` of each row; the model learns from the ``training`` rows.
 
-    ``base_score`` is the add-one unigram log10 probability, ``score`` the model's. Words beyond the head of ``most_head`` have
-    emissions of their own with ``all_words`` only, at the cost of joins of all their tokens. A null text counts as the empty
+    ``base_score`` is the add-one unigram log10 probability, ``score`` the model's. All words have emissions of their own,
+    those beyond the head of ``most_head`` from the last round, unless ``all_words`` is false. A null text counts as the empty
     text, which is the end alone. Null and repeated ids are scored row by row; extra columns are ignored; an empty table gives
     an empty result. With no training rows both scores know no word and give each token probability 1.
     """
     spark = docs.sparkSession
     vocabulary = count_words(docs, training, most_head, text_col)
     encoded = encode(docs, vocabulary, {"training": F.coalesce(training, F.lit(False))}, id_col, text_col)
-    model, words = train(encoded.filter("training"), vocabulary, states, rounds, all_words=all_words)
-    n, v, size = vocabulary.tokens, vocabulary.words, len(vocabulary.head)
+    model, words = train(encoded, vocabulary, states, rounds, all_words=all_words, listed=False)
+    n, v, size, width = vocabulary.tokens, vocabulary.words, len(vocabulary.head), states if all_words else 0
     bottom = math.log10(n + v + 1)
     tail_bottom = math.log10(vocabulary.tail_tokens + vocabulary.tail_words + 1)
     shared = spark.sparkContext.broadcast((model, vocabulary.head_counts))
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, counts = shared.value
         logs = np.append(np.log10(counts + 1.0), 0.0) - bottom
-        for seqs, rows in _grouped(batches, 3):
-            lanes = Lanes(seqs)
-            lengths = np.array([len(s) for s in seqs], np.int64)
-            cuts = np.cumsum(lengths) - lengths
-            flat = np.concatenate(seqs)
-            beyond = flat == size
-            others = np.add.reduceat(beyond.astype(np.int64), cuts)
-            if all_words:
-                hits = rows.column("hits").combine_chunks()
-                many = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(hits), 0), np.int64)
-                if many.any():
-                    found = hits.flatten()
-                    nth = np.asarray(found.field("nth"), np.int64) + np.repeat(np.cumsum(others) - others, many)
-                    lanes.set_tail(lanes.place[np.flatnonzero(beyond)[nth]], np.asarray(found.field("r").flatten(), np.float32).reshape(len(nth), -1))
-            own = hmm.forward(lanes)[0]
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c).combine_chunks() for c in range(3)), pa.array(lengths), pa.array(lengths - others), pa.array(np.add.reduceat(logs[flat], cuts)), pa.array(own - others * tail_bottom)],
-                names=["row", "doc_id", "training", "n_tokens", "known", "base", "own"],
-            )
-
-    # What lies beyond the head: each text's words meet their counts in a shuffle join, which no table has to fit.
-    beyond = encoded.select("row", F.posexplode("tail").alias("nth", "word"))
-    found = beyond.join(tail_emissions(words, vocabulary, states) if all_words else vocabulary.counts, "word").groupBy("row")
-    sums = F.sum(F.log10(F.col("c") + 1)).alias("gain"), F.count("*").alias("more")
-    sequences, kinds = encoded.select("row", "doc_id", "training", "ids"), f"row long, doc_id {kind}, training boolean, n_tokens long, known long, base double, own double"
-    if all_words:
-        found = common.materialise(found.agg(*sums, F.collect_list(F.struct("nth", "r")).alias("hits")), "beyond")
-        sequences = sequences.join(found.select("row", "hits"), "row", "left")
-    else:
-        found = found.agg(*sums)
-    out = sequences.mapInArrow(run, kinds).join(found.select("row", "gain", "more"), "row", "left")
-    gain = F.coalesce("gain", F.lit(0.0))
-    out = out.select(
-        F.col("doc_id").alias(id_col),
-        "training",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"),
-        (F.col("own") + gain).alias("score"),
-    )
-    return common.result(out, "scores", encoded, vocabulary.counts, *([words, found] if all_words else []))
+        held: list[tuple[int, bytes, bytes]] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                c, q, start, lengths, ids = (b.column(k)[i].as_py() for k in range(2, 7))
+                if ids is None:  # the words of the chunk come before it
+                    held.append((start, c, q))
+                    continue
+                held.sort()
+                c = np.frombuffer(b"".join(x for _, x, _ in held), np.int64)
+                q = np.frombuffer(b"".join(x for _, _, x in held), "<f2").reshape(len(c), width)
+                held = []
+                flat, lengths = np.frombuffer(ids, "<u4").astype(np.int64), np.frombuffer(lengths, "<i4").astype(np.int64)
+                cuts = np.cumsum(lengths) - lengths
+                beyond = np.flatnonzero(flat >= size)
+                local = flat[beyond] - size
+                flat[beyond] = size
+                lanes = Lanes(_sequences(flat, lengths))
+                if width and len(beyond):
+                    lanes.set_tail(lanes.place[beyond], _ratios(c, q, hmm.share).astype(np.float32)[local])
+                others, gain = np.zeros(len(flat), np.int64), np.zeros(len(flat))
+                others[beyond], gain[beyond] = 1, np.log10(c + 1.0)[local]
+                unknown = np.zeros(len(flat), np.int64)
+                unknown[beyond] = c[local] == 0
+                others, unknown, gain = (np.add.reduceat(x, cuts) for x in (others, unknown, gain))
+                base = np.add.reduceat(logs[flat], cuts) + gain
+                own = hmm.forward(lanes)[0] - others * tail_bottom + gain
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k)[i].values for k in (7, 8)), pa.array(lengths), pa.array(lengths - unknown), pa.array(base), pa.array(own)],
+                    names=["doc_id", "training", "n_tokens", "n_known", "base_score", "score"],
+                )
+
+    # Each chunk meets the counts of its words beyond the head in one shuffle; only a bucket and a chunk are held at a time.
+    texts = encoded.select("chunk", F.lit(True).alias("last"), *(F.lit(None).cast(t).alias(k) for k, t in (("c", "binary"), ("q", "binary"), ("start", "int"))), "lengths", "ids", "doc_id", "training")
+    counted = words.filter("bucket >= 0").select("chunk", F.lit(False).alias("last"), "c", "q", "start", *(F.lit(None).cast(texts.schema[k].dataType).alias(k) for k in ("lengths", "ids", "doc_id", "training")))
+    both = counted.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "last")
+    out = both.mapInArrow(run, f"doc_id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double")
+    out = out.select(F.col("doc_id").alias(id_col), "training", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return common.result(out, "scores", encoded, vocabulary.counts, words, sweep=True)

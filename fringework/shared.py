@@ -66,19 +66,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    With ``sweep`` the files of its shuffles go as soon as it is written, not with some later garbage collection.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    try:
+        spark.conf.set(key, "true" if sweep else before)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out
 
 
-def result(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+def result(df: DataFrame, name: str, *used: DataFrame, sweep: bool = False) -> DataFrame:
     """``df`` written and read back, after which the tables it was made from are deleted."""
-    out = materialise(df, name)
+    out = materialise(df, name, sweep)
     for t in used:
         drop_table(df.sparkSession, t)
     return out

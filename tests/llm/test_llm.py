@@ -201,6 +201,21 @@ def test_lm_head_and_tail_make_a_distribution(spark):
     assert np.allclose(model.emit.sum(0), 1, atol=1e-5) and np.allclose(model.move.sum(1), 1)
 
 
+def test_lm_query_gives_all_words_emissions_of_their_own(spark, tmp_path, docs, monkeypatch):
+    """Whatever the head holds: with one of 60 words the query scores as plain loops that give each other word its own."""
+    some = docs.filter("doc_id % 20 = 3")
+    some.repartition(4).write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/documents.parquet")
+    score = hmm.score
+    monkeypatch.setattr(hmm, "score", lambda *a, **k: score(*a, **{"states": 2, "rounds": 2, "most_head": 60} | k))
+    got = {r.doc_id: r.score for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect()}
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    want = model_by_hand(rows, lambda i: not held_out(i, 7), 2, 2, 60, True)
+    shared = model_by_hand(rows, lambda i: not held_out(i, 7), 2, 2, 60, False)
+    assert got.keys() == want.keys() and any(abs(x - shared[i]) > 0.01 * abs(x) for i, x in want.items())
+    for i, x in want.items():
+        assert abs(got[i] - x) < 2e-4 * abs(x) + 1e-3
+
+
 def test_lm_end_outside_the_head(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "a x")], "doc_id long, text string")
     one, two = hmm.score(docs, F.col("doc_id") == 1).orderBy("doc_id").collect()
