@@ -14,7 +14,9 @@ fingerprint has 1,024 bits over the distinct shingles; a bucket holds the texts
 permutations of their shingles, with ``BANDS`` such buckets a text, and is searched by the same index under the rising limits
 ``WIDE_MOST``. Under the first limit texts are alike beyond doubt. Of the other pairs a bucket gives ``FORESTS`` forests
 without a pair in common that span its components, nearly the nearest first, so that a group isn't listed pair by pair, and
-the shingles of these pairs are compared. A link is lost only if that many other pairs across the same cut all fail.
+the shingles of these pairs are compared. What the index leaves apart is then looked at by an exact way, so that no link is
+lost to bands, limits or forests: two sets with a share in common have one of their first shingles in common, in any order
+of all shingles, of which the commonest come last; pairs of different components that meet in one are compared (``_rest``).
 """
 
 from __future__ import annotations
@@ -70,7 +72,10 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, list[int]
 
     A text without words has number 0 and no bucket.
     """
-    h = shingle_set(text, shingle)
+    return _wide(shingle_set(text, shingle))
+
+
+def _wide(h: np.ndarray) -> tuple[int, list[int], bytes]:
     if not len(h):
         return 0, [], bytes(8 * WIDE_WORDS)
     ones, least = np.zeros(64 * WIDE_WORDS, np.int64), np.full(BANDS * ROWS, ~np.uint64(0))
@@ -461,28 +466,88 @@ def _alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, shingle: int, sh
     return pairs.join(one, "a").join(two, "b").filter(common_ones.cast("long") * 1000 >= all_ones.cast("long") * round(share * 1000)).select("a", "b").unionByName(sure)
 
 
+#: Shingles that come last in the order of all shingles: those that ``COMMON_LEAST`` or more of a ``COMMON_PART``-th of the
+#: texts have, the commonest ``MOST_COMMON`` at most. Which ones do is a matter of cost, not of what is found.
+COMMON_PART, COMMON_LEAST, MOST_COMMON = 16, 3, 1 << 17
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The commonest shingles, the commonest last, of a sample of the different texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 0):
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["h"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0).select("text").distinct()
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_LEAST)
+    return np.asarray(found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h"), np.int64).view(np.uint64)[::-1]
+
+
+def _first_shingles(h: np.ndarray, last: np.ndarray, place: np.ndarray, share: int) -> np.ndarray:
+    """Of a set, in ascending order, the shingles of which a set with ``share`` thousandths in common has one, too. ``last``:
+    the common shingles in ascending order, ``place``: their places in the order of all."""
+    many = len(h) - -(-len(h) * share // 1000) + 1 if len(h) else 0
+    if not len(last):
+        return h[:many]
+    at = np.minimum(np.searchsorted(last, h), len(last) - 1)
+    late = last[at] == h
+    rare = h[~late]
+    return rare[:many] if len(rare) >= many else np.concatenate([rare, h[late][np.argsort(place[at[late]])][: many - len(rare)]])
+
+
+def _rest(whole: DataFrame, star: DataFrame, share: float, used: list[DataFrame]) -> DataFrame:
+    """Pairs ``a, b, near`` of classes in different components that have one of their first shingles in common and sizes that
+    allow the share: all that can be alike. whole: ``code, size, first`` of each row; star: ``node, root``."""
+    rooted = whole.filter("size > 0").join(star, F.col("code") == F.col("node"), "left").select("code", "size", F.coalesce("root", "code").alias("root"), "first")
+    entries = rooted.select("code", "size", "root", F.explode("first").alias("key"))
+    keys = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    keys = common.materialise(keys, "keys", sweep=True)
+    met = common.materialise(entries.join(keys, "key", "left_semi").distinct(), "met", sweep=True)
+    one, two = (met.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("code", "size", "root"))) for x in "ab")
+    of = round(share * 1000)
+    fits = (F.least("size_a", "size_b") * 1000 >= F.greatest("size_a", "size_b") * of) & (F.col("code_a") < F.col("code_b")) & (F.col("root_a") != F.col("root_b"))
+    out = one.join(two, "key").filter(fits).select(F.col("code_a").alias("a"), F.col("code_b").alias("b"), F.lit(False).alias("near")).distinct()
+    out = common.materialise(out, "rest", sweep=True)
+    used += [keys, met, out]
+    return out
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8, most: tuple[int, ...] = WIDE_MOST, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``groups``, but texts link that have ``share`` or more of their distinct ``shingle``-word shingles in common.
 
     ``most``: rising limits of differing bits, fit for a share of 0.8: within the first a pair is taken as alike, within the
-    others it is a candidate. ``code`` names the set of shingles. Texts without words (null ones too) are one group. Nulls, repeated
+    others it is a candidate. Pairs that these leave apart are found by their first shingles. ``code`` names the set of shingles. Texts without words (null ones too) are one group. Nulls, repeated
     rows, extra columns and empty tables: as ``groups``.
     """
-    common.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    common.ship(spark)
     kind = docs.select(id_col).dtypes[0][1]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    late = _common_shingles(texts, shingle)
+    order = np.argsort(late)
+    shared, of = spark.sparkContext.broadcast((late[order], order)), round(share * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = shared.value
         for b in common.slices(batches, 1):
-            code, bands, wide = zip(*(wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "code", "bands", "wide"])
-
-    whole = common.materialise(texts.mapInArrow(run, f"doc_id {kind}, code long, bands array<long>, wide binary"), "codes")
-    codes = common.materialise(whole.groupBy("code").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("wide").alias("wide")), "distinct")
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            code, bands, wide = zip(*map(_wide, sets), strict=True)
+            first = [_first_shingles(h, last, place, of) for h in sets]
+            ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            first = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(map(len, sets), pa.int64()), first], names=["doc_id", "code", "bands", "wide", "size", "first"])
+
+    whole = common.materialise(texts.mapInArrow(run, f"doc_id {kind}, code long, bands array<long>, wide binary, size long, first array<long>"), "codes")
+    codes = common.materialise(whole.groupBy("code").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("wide").alias("wide")), "distinct", sweep=True)
     rows = whole.select("doc_id", "code")
     rows._table = whole._table  # so that ``drop_table`` takes it
     used: list[DataFrame] = []
-    return _grouped(rows, codes, _alike(texts, codes, _wide_links(codes, most, block, used), shingle, share, used), used)
+    found = common.materialise(_alike(texts, codes, _wide_links(codes, most, block, used), shingle, share, used), "found", sweep=True)
+    star = components.stars(found)
+    more = _alike(texts, codes, _rest(whole, star, share, used), shingle, share, used)
+    used += [found, star]
+    return _grouped(rows, codes, found.unionByName(more), used)
 
 
 def hexadecimal(code: Column) -> Column:

@@ -390,6 +390,22 @@ def test_similar_groups_match_brute_force(spark, docs, block):
     assert all(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs if sets[i] == sets[j])
 
 
+@pytest.mark.parametrize("limits", [simhash.WIDE_MOST, (0, 1)])
+def test_similar_groups_lose_no_link(spark, limits):
+    """Pairs at a share of exactly 0.8, of which bands and limits of bits miss some; and limits under which the index finds none."""
+    r, rows = random.Random(5), []
+    common_line = " ".join(f"c{j}" for j in range(30))
+    for i in range(400):  # runs of words off either end: 72 shingles in common of 90
+        w = [f"w{r.random()}" for _ in range(94)]
+        one, two = w[:85], w[9:]
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))] if i % 2 else [(2 * i, common_line + " " + " ".join(w[:30])), (2 * i + 1, common_line + " " + " ".join(w[:36]))]
+    sets = [shingles_by_hand(t) for _, t in rows]
+    pairs, label = similar_by_hand(sets)
+    assert len(pairs) >= 400 and any(10 * len(sets[i] & sets[j]) == 8 * len(sets[i] | sets[j]) for i, j in pairs)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), most=limits).collect()}
+    assert got == {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
+
+
 def test_similar_groups_of_odd_rows(odd, nothing):
     rows = simhash.similar_groups(odd).collect()
     assert len(rows) == len(ODD)
