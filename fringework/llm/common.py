@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from fringework import shared
 from fringework.shared import drop_table, materialise, new_path, result, run_dir, shared_dir, table
 
-__all__ = ["crc_mod", "drop_table", "gathered", "held", "materialise", "new_path", "result", "run_dir", "shared_dir", "ship", "slices", "table", "words_of"]
+__all__ = ["crc_mod", "drop_table", "gathered", "held", "let_go", "materialise", "new_path", "result", "run_dir", "shared_dir", "ship", "slices", "table", "words_of"]
 
 #: Texts are handled in slices of about this many characters, whatever the size of an Arrow batch.
 SLICE_CHARS = 8_000_000
@@ -29,6 +31,18 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what ``held`` keeps, in tasks that need none of it: a Python worker and what it holds outlive a stage, and count
+    as the executor's memory in the next one."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages else
+        if trim:
+            trim(0)
+
+
 #: Rows of an Arrow batch of texts. Texts can be long, and a batch is held several times on its way to Python and back.
 BATCH_ROWS = 1000
 

@@ -298,6 +298,7 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 4000, most_grams: int
     sample = own.join(F.broadcast(shares) if few else shares, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         total: Counter = Counter()
         for b in common.slices(batches, 0):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

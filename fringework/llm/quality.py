@@ -185,6 +185,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for b in common.slices(batches, 1, SLICE):
             m = metrics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in BASE), pa.array(base_failed(m)), pa.array(patterns(m))], names=["doc_id", *BASE, "base_failed", "pattern"])
@@ -225,6 +226,7 @@ def keep_good(docs: DataFrame, keep: float = 0.5, text_col: str = "text") -> Dat
     shared = spark.sparkContext.broadcast(fit(count_patterns(measured(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         quality = shared.value
         for b in common.slices(batches, place, SLICE):
             m = metrics(b.column(place))

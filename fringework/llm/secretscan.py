@@ -385,6 +385,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for b in common.slices(batches, 1):
             both = [scan(t) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _, _ in both], pa.int64()) for k in KINDS]
@@ -408,6 +409,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", text_col: str = "text", leng
     size = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for b in common.slices(batches, place):
             texts, sizes, changed = b.column(place).to_pylist(), None, False
             if size is not None:

@@ -16,7 +16,9 @@ permutations of their shingles, with ``BANDS`` such buckets a text, and is searc
 without a pair in common that span its components, nearly the nearest first, so that a group isn't listed pair by pair, and
 the shingles of these pairs are compared. What the index leaves apart is then looked at by an exact way, so that no link is
 lost to bands, limits or forests: two sets with a share in common have one of their first shingles in common, in any order
-of all shingles, of which the commonest come last; pairs of different components that meet in one are compared (``_rest``).
+of all shingles, of which the commonest come last; pairs of different components that meet in one, at places and of sizes
+that allow the share, are looked at (``_rest``). Bit maps of their sets say of most that too many shingles differ
+(``_map_allows``); the others are compared.
 """
 
 from __future__ import annotations
@@ -96,6 +98,22 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(list(_hashes(words, shingle)))) if words else np.zeros(0, np.uint64)
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes ends in each number of 6 or more bits, two to four such numbers a hash. Two
+    maps of a width differ in as many bits as hashes that one set has alone, at most; half of a map on the other is the map
+    of half the width."""
+    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _map_allows(one: bytes, two: bytes, sizes: int, share: int) -> bool:
+    """False only if sets of these maps and this sum of sizes have less than ``share`` thousandths in common."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (one, two)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (1000 + share) <= sizes * (1000 - share)
+
+
 def set_number(hashes: np.ndarray) -> int:
     """A signed number that names a set of shingles; 0 for none."""
     return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42)) if len(hashes) else 0
@@ -312,6 +330,7 @@ def _links(units: DataFrame, *most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(own[differ]), pa.array(root[differ])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         held: list[list[np.ndarray]] = [[] for _ in range(4 if named else 3)]
         rows, last = 0, None
         for b in batches:
@@ -430,26 +449,27 @@ def _wide_links(codes: DataFrame, most: tuple[int, ...], block: int, used: list[
     each pair of blocks is a unit, so that a task holds at most two blocks of it and no link is lost.
     """
     entries = codes.select("code", F.explode("bands").alias("key"))
-    sizes = common.materialise(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    sizes = common.materialise(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared", sweep=True)
     used.append(sizes)
     members = entries.join(sizes, "key").join(codes.select("code", "wide"), "code")
     pieces = F.ceil(F.col("n") / block)
     own = F.pmod(F.xxhash64("code"), pieces)
     both = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda j: F.least(own, j) * pieces + F.greatest(own, j))
     units = members.select(F.explode(F.when(F.col("n") > block, both).otherwise(F.array(F.lit(0).cast("long")))).alias("path"), "key", "code", "wide")
-    out = common.materialise(_links(units, *most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").distinct(), "candidates")
+    out = common.materialise(_links(units, *most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "near").distinct(), "candidates", sweep=True)
     used.append(out)
     return out
 
 
-def _alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, shingle: int, share: float, used: list[DataFrame]) -> DataFrame:
-    """The pairs that are ``near``, and those whose sets of shingles have ``share`` or more in common. Only texts of the latter
-    are read again, one a class. docs: ``doc_id, text``; codes: ``code, least`` with the id of a row of each class."""
+def _alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, shingle: int, share: float, name: str) -> DataFrame:
+    """The pairs that are ``near``, and those whose sets of shingles have ``share`` or more in common, as a table. Only texts of
+    the latter are read again, one a class. docs: ``doc_id, text``; codes: ``code, least`` with the id of a row of each class."""
     sure, pairs = pairs.filter("near").select("a", "b"), pairs.filter("not near").select("a", "b")
-    wanted = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct().join(codes.select("code", "least"), "code"), "wanted")
+    wanted = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct().join(codes.select("code", "least"), "code"), "wanted", sweep=True)
     texts = docs.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for b in common.slices(batches, 0):
             found = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
             ends = np.cumsum([0, *map(len, found)])
@@ -458,12 +478,12 @@ def _alike(docs: DataFrame, codes: DataFrame, pairs: DataFrame, shingle: int, sh
 
     # Rows of one id can have several texts, so the classes are looked at again.
     sets = texts.mapInArrow(run, "code long, hashes array<long>").join(wanted.select("code"), "code", "left_semi").groupBy("code").agg(F.first("hashes").alias("hashes"))
-    sets = common.materialise(sets, "sets")
-    used += [wanted, sets]
+    sets = common.result(sets, "sets", wanted, sweep=True)
     one, two = (sets.select(F.col("code").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
     common_ones = F.size(F.array_intersect("of_a", "of_b"))
     all_ones = F.size("of_a") + F.size("of_b") - common_ones
-    return pairs.join(one, "a").join(two, "b").filter(common_ones.cast("long") * 1000 >= all_ones.cast("long") * round(share * 1000)).select("a", "b").unionByName(sure)
+    alike = pairs.join(one, "a").join(two, "b").filter(common_ones.cast("long") * 1000 >= all_ones.cast("long") * round(share * 1000)).select("a", "b").unionByName(sure)
+    return common.result(alike, name, sets, sweep=True)
 
 
 #: Shingles that come last in the order of all shingles: those that ``COMMON_LEAST`` or more of a ``COMMON_PART``-th of the
@@ -475,13 +495,16 @@ def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     """The commonest shingles, the commonest last, of a sample of the different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for b in common.slices(batches, 0):
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["h"])
 
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0).select("text").distinct()
-    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_LEAST)
-    return np.asarray(found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h"), np.int64).view(np.uint64)[::-1]
+    found = common.materialise(some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_LEAST), "common", sweep=True)
+    out = np.asarray(found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h"), np.int64).view(np.uint64)[::-1]
+    common.drop_table(texts.sparkSession, found)
+    return out
 
 
 def _first_shingles(h: np.ndarray, last: np.ndarray, place: np.ndarray, share: int) -> np.ndarray:
@@ -496,21 +519,34 @@ def _first_shingles(h: np.ndarray, last: np.ndarray, place: np.ndarray, share: i
     return rare[:many] if len(rare) >= many else np.concatenate([rare, h[late][np.argsort(place[at[late]])][: many - len(rare)]])
 
 
-def _rest(whole: DataFrame, star: DataFrame, share: float, used: list[DataFrame]) -> DataFrame:
-    """Pairs ``a, b, near`` of classes in different components that have one of their first shingles in common and sizes that
-    allow the share: all that can be alike. whole: ``code, size, first`` of each row; star: ``node, root``."""
-    rooted = whole.filter("size > 0").join(star, F.col("code") == F.col("node"), "left").select("code", "size", F.coalesce("root", "code").alias("root"), "first")
-    entries = rooted.select("code", "size", "root", F.explode("first").alias("key"))
-    keys = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    keys = common.materialise(keys, "keys", sweep=True)
-    met = common.materialise(entries.join(keys, "key", "left_semi").distinct(), "met", sweep=True)
-    one, two = (met.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("code", "size", "root"))) for x in "ab")
-    of = round(share * 1000)
-    fits = (F.least("size_a", "size_b") * 1000 >= F.greatest("size_a", "size_b") * of) & (F.col("code_a") < F.col("code_b")) & (F.col("root_a") != F.col("root_b"))
-    out = one.join(two, "key").filter(fits).select(F.col("code_a").alias("a"), F.col("code_b").alias("b"), F.lit(False).alias("near")).distinct()
-    out = common.materialise(out, "rest", sweep=True)
-    used += [keys, met, out]
-    return out
+def _rest(codes: DataFrame, star: DataFrame, share: float) -> DataFrame:
+    """Pairs ``a, b, near`` of classes in different components that can be alike: all those that have one of their first
+    shingles in common, but for pairs whose sizes, places of that shingle or maps show that they aren't.
+
+    codes: ``code, size, first, map``; star: ``node, root``. If two sets have the shingle at place i of a set of n as the
+    first one in common, n - i at most are common, so that the other has ``most`` shingles at most.
+    """
+    spark, of = codes.sparkSession, round(share * 1000)
+    rooted = codes.filter("size > 0").join(star, F.col("code") == F.col("node"), "left").select("code", "size", F.coalesce("root", "code").alias("root"), F.posexplode("first").alias("i", "key"))
+    most = F.floor((F.col("size") - F.col("i")) * (1000 + of) / of) - F.col("size")
+    entries = rooted.select("key", "code", "root", "size", most.alias("most"))
+    keys = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least_size"), F.max("most").alias("most_most"))
+    keys = common.materialise(keys.filter("low < high").drop("low", "high"), "keys", sweep=True)
+    met = entries.join(keys, "key").filter("most >= least_size and size <= most_most").drop("least_size", "most_most")
+    met = common.result(met, "met", keys, sweep=True)
+    one, two = (met.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("code", "root", "size", "most"))) for x in "ab")
+    fits = (F.col("size_b") <= F.col("most_a")) & (F.col("size_a") <= F.col("most_b")) & (F.col("code_a") < F.col("code_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = common.result(one.join(two, "key").filter(fits).select(F.col("code_a").alias("a"), F.col("code_b").alias("b")).distinct(), "pairs", met, sweep=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_map_allows(x, y, n, of) for x, y, n in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own, other = (codes.select(F.col("code").alias(x), F.col("map").alias(f"map_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    looked = pairs.join(own, "a").join(other, "b").select("a", "b", "map_a", "map_b", (F.col("size_a") + F.col("size_b")).alias("sizes"))
+    out = looked.mapInArrow(run, "a long, b long").withColumn("near", F.lit(False))
+    return common.result(out, "rest", pairs, sweep=True)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8, most: tuple[int, ...] = WIDE_MOST, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -529,6 +565,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8, most:
     shared, of = spark.sparkContext.broadcast((late[order], order)), round(share * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         last, place = shared.value
         for b in common.slices(batches, 1):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
@@ -536,18 +573,22 @@ def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8, most:
             first = [_first_shingles(h, last, place, of) for h in sets]
             ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
             first = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(map(len, sets), pa.int64()), first], names=["doc_id", "code", "bands", "wide", "size", "first"])
+            parity = pa.array([parity_map(h) if len(h) else b"" for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(map(len, sets), pa.int64()), first, parity], names=["doc_id", "code", "bands", "wide", "size", "first", "map"])
 
-    whole = common.materialise(texts.mapInArrow(run, f"doc_id {kind}, code long, bands array<long>, wide binary, size long, first array<long>"), "codes")
-    codes = common.materialise(whole.groupBy("code").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("wide").alias("wide")), "distinct", sweep=True)
-    rows = whole.select("doc_id", "code")
-    rows._table = whole._table  # so that ``drop_table`` takes it
+    whole = common.materialise(texts.mapInArrow(run, f"doc_id {kind}, code long, bands array<long>, wide binary, size long, first array<long>, map binary"), "whole")
+    rows = common.materialise(whole.select("doc_id", "code"), "codes")
+    codes = common.result(whole.groupBy("code").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("bands", "wide", "size", "first", "map"))), "distinct", whole, sweep=True)
     used: list[DataFrame] = []
-    found = common.materialise(_alike(texts, codes, _wide_links(codes, most, block, used), shingle, share, used), "found", sweep=True)
+    candidates = _wide_links(codes, most, block, used)
+    found = _alike(texts, codes, candidates, shingle, share, "found")
+    for t in used:
+        common.drop_table(spark, t)
     star = components.stars(found)
-    more = _alike(texts, codes, _rest(whole, star, share, used), shingle, share, used)
-    used += [found, star]
-    return _grouped(rows, codes, found.unionByName(more), used)
+    rest = _rest(codes, star, share)
+    least = common.result(codes.select("code", "least"), "least", codes, star)
+    more = _alike(texts, least, rest, shingle, share, "more")
+    return _grouped(rows, least, found.unionByName(more), [found, more, rest])
 
 
 def hexadecimal(code: Column) -> Column:

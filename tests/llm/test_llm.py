@@ -406,6 +406,52 @@ def test_similar_groups_lose_no_link(spark, limits):
     assert got == {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
 
 
+def test_maps_rule_out_no_alike_sets():
+    r = random.Random(8)
+    ruled_out = 0
+    for n in (1, 2, 5, 31, 32, 33, 90, 500, 5000):
+        for drop in (0, 0.05, 0.1, 0.12, 0.2, 0.5, 1):
+            one = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+            kept = one[: n - int(n * drop)]
+            two = np.unique(np.concatenate([kept, np.array([r.getrandbits(64) for _ in range(r.choice([0, n - len(kept)]) or int(not len(kept)))], np.uint64)]))
+            alike = 5 * len(np.intersect1d(one, two)) >= 4 * len(np.union1d(one, two))
+            allowed = simhash._map_allows(simhash.parity_map(one), simhash.parity_map(two), len(one) + len(two), 800)
+            assert allowed or not alike, (n, drop)
+            ruled_out += not allowed
+    assert ruled_out >= 15 and 16 * len(simhash.parity_map(one)) <= 8 * 8 * len(one)
+
+
+def test_texts_that_share_shingles_but_are_not_alike_are_not_read_again(spark, monkeypatch):
+    """Texts with a sixth of their words their own and the rest in common: no two are alike, and no pair or set is moved."""
+    r, seen = random.Random(13), {}
+    base = [f"c{j}" for j in range(120)]
+    rows = [(i, " ".join([f"w{r.random()}" for _ in range(24)] + base)) for i in range(200)]
+    rows += [(1000 + i, " ".join(base[:40] + [f"v{r.random()}"] * 5 + base[40 + i : 90 + i])) for i in range(8)]
+    sets = [shingles_by_hand(t) for _, t in rows]
+    pairs, label = similar_by_hand(sets)
+    materialise = common.materialise
+
+    def counted(df, name, sweep=False):
+        out = materialise(df, name, sweep)
+        if name in ("pairs", "rest", "wanted", "sets"):
+            seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialise", counted)
+    monkeypatch.setattr(common.shared, "materialise", counted)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), most=(0, 1)).collect()}
+    assert got == {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
+    assert seen["pairs"] <= 100 and seen["rest"] <= 60 and seen["sets"] <= 16, seen
+
+
+def test_held_models_are_let_go():
+    common.held("a model", lambda: [1])
+    common.let_go()
+    assert common.held("a model", lambda: [2]) == [2]
+    common.let_go()
+    assert not common._held
+
+
 def test_similar_groups_of_odd_rows(odd, nothing):
     rows = simhash.similar_groups(odd).collect()
     assert len(rows) == len(ODD)
